@@ -231,13 +231,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, lengths_only: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, lengths_only: bool = False
+) -> DataFrame:
     """(id, ids) of every row: the token ids of its text, without special tokens.
 
     Empty and null texts have the empty list.  Strings of special tokens are
     ordinary text.  ``vocabulary`` is the path of a file of ranks on the driver;
     its bytes (under 1 MB for the dealt ones) go to the workers once.  With
-    ``lengths_only`` the result has n_tokens in place of ids.
+    ``lengths_only`` the result has n_tokens in place of ids, and ``id_column``
+    may be any column that goes along, such as a struct.
     """
     with open(vocabulary or vocabulary_path(), "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -262,7 +265,6 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 yield pa.RecordBatch.from_arrays([keys, out], names=["id", "out"])
                 at = to
 
-    result = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(
-        rows, f"id long, out {'long' if lengths_only else 'array<int>'}"
-    )
+    taken = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    result = taken.mapInArrow(rows, f"id {taken.schema['id'].dataType.simpleString()}, out {'long' if lengths_only else 'array<int>'}")
     return result.select(F.col("id").alias(id_column), F.col("out").alias("n_tokens" if lengths_only else "ids"))
