@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,5 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the shared folder.
+
+    A checkpoint remembers constraints of its plan that a later union may not
+    resolve; a table remembers nothing.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
