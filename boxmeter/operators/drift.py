@@ -296,7 +296,7 @@ def changes(files: DataFrame) -> DataFrame:
                 else:
                     found, state = step(state, fields)
                     out += [(r.run_id, *c) for c in found]
-            yield pd.DataFrame(out, columns=["run_id", "change", "field", "new_field"])
+            yield pd.DataFrame(out, columns=["run_id", "change", "field", "new_field"], dtype=object)
 
     return ranged.mapInPandas(run, "run_id long, change string, field string, new_field string")
 

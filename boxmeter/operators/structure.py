@@ -251,10 +251,10 @@ def flatten(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     "node": np.arange(len(x.doc)) - base,
                     "parent": np.where(x.parent < 0, -1, x.parent - base),
                     "depth": x.depth,
-                    "key": [x.key(i) for i in every],
+                    "key": pd.Series([x.key(i) for i in every], dtype=object),
                     "place": x.place,
-                    "kind": [KINDS[k] for k in x.kind],
-                    "value": [None if x.kind[i] in (OBJECT, ARRAY) else x.value(i) for i in every],
+                    "kind": pd.Series([KINDS[k] for k in x.kind], dtype=object),
+                    "value": pd.Series([None if x.kind[i] in (OBJECT, ARRAY) else x.value(i) for i in every], dtype=object),
                 }
             )
 
@@ -377,7 +377,7 @@ def flat_tables(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             _emit(index(_bytes(b["text"])), b["doc_id"].to_numpy(), out)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).filter(
         "doc_id IS NOT NULL AND text IS NOT NULL"
