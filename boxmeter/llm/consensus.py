@@ -198,7 +198,7 @@ def _tables_of(flat: np.ndarray) -> list[np.ndarray]:
     """Per field the (annotators, true, label) arrays of rows that hold all fields one after the other."""
     out, at = [], 0
     for k in SIZES:
-        out.append(flat[:, at : at + k * k].reshape(-1, k, k))
+        out.append(flat[:, at : at + k * k].reshape(len(flat), k, k))
         at += k * k
     return out
 
@@ -294,12 +294,12 @@ def fit(labels: DataFrame, rounds: int = 40, tolerance: float = 1e-4, broadcast_
             truths = np.sum(pdf[pdf["total"]]["counts"].tolist() or [np.zeros(_WIDTH)], axis=0)
             pdf = pdf[~pdf["total"]].sort_values("annotator")
             names = pdf["annotator"].to_numpy(np.int64)
-            counts = np.array(pdf["counts"].tolist()).reshape(-1, _WIDTH)
+            counts = np.array(pdf["counts"].tolist(), float).reshape(-1, _WIDTH)
             new, flat = [], []
             for f, c in enumerate(_tables_of(counts)):
                 share, _ = annotator_update(c, types[f])
                 t = type_update(type_sums(c, share), share.sum(axis=0), _truth_part(truths, f))
-                flat.append(annotator_update(c, t)[1].reshape(len(names), -1))
+                flat.append(annotator_update(c, t)[1].reshape(len(names), SIZES[f] ** 2))
                 new.append(t)
             tables = _Tables(names, np.concatenate(flat, axis=1))
         else:
