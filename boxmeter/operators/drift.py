@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxmeter.operators.structure import KINDS, NULL, OBJECT, Index, _bytes, index, members
+from boxmeter.operators.structure import KINDS, NULL, OBJECT, Index, _bytes, index, members, parts_of
 from boxmeter.session import cut
 
 #: Field: (name, type or None for null, JSON text).
@@ -203,9 +203,9 @@ def meta_fields(df: DataFrame, root: str = "meta") -> DataFrame:
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (p for batch in batches for p in parts_of(batch, "content")):
             x = index(_bytes(b["content"]))
-            inside = members(x)
+            inside = members(x, x.depth <= 2)
             found: list = [None] * len(b)
             for top in inside.get(-1, ()):
                 found[x.doc[top]] = _meta(x, inside, top, root)

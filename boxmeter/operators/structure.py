@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OBJECT, ARRAY, STRING, NUMBER, TRUE, FALSE, NULL = range(7)
+#: Characters indexed at once; a longer text goes alone.
+CHUNK = 1 << 20
 KINDS = ["object", "array", "string", "number", "boolean", "boolean", "null"]
 _NUMBER = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 _WORDS = {b"true": TRUE, b"false": FALSE, b"null": NULL}
@@ -74,13 +76,6 @@ def _unquote(b: bytes) -> str:
     return json.loads(b).encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # no half surrogate pairs
 
 
-def _spans(starts: np.ndarray, flags: np.ndarray, n: int) -> np.ndarray:
-    """Number of flags in each text."""
-    c = np.concatenate([[0], np.cumsum(flags)])
-    ends = np.concatenate([starts[1:], [n]])
-    return c[ends] - c[starts]
-
-
 def index(texts: list[bytes]) -> Index:
     """Structural index of a list of JSON texts.  Empty and broken texts are invalid and give no values."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -88,28 +83,32 @@ def index(texts: list[bytes]) -> Index:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
     n, bad = len(data), np.zeros(len(texts), bool)
-    pos = np.arange(n)
-    doc_of = np.repeat(np.arange(len(texts)), sizes + 1) if len(texts) else np.zeros(n, np.int64)
+    pos = np.arange(n, dtype=np.int32)
+    doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1) if len(texts) else np.zeros(n, np.int32)
 
     # escapes: a byte behind an odd run of backslashes
     slash = data == 92
-    run_start = np.maximum.accumulate(np.where(~slash, pos, -1))
-    odd = slash & ((pos - run_start) % 2 == 1)
-    escaped = np.concatenate([[False], odd[:-1]])
+    escaped = np.zeros(n, bool)
+    if slash.any():
+        run_start = np.maximum.accumulate(np.where(slash, np.int32(-1), pos))
+        odd = slash & ((pos - run_start) & 1 == 1)
+        escaped[1:] = odd[:-1]
     # quote bitmap and, by a prefix sum in each text, the parity that tells inside from outside
     quote = (data == 34) & ~escaped
-    count = np.cumsum(quote)
-    base = np.where(begin > 0, count[begin - 1], 0) if len(texts) else np.zeros(0, np.int64)
-    level = count - base[doc_of] if len(texts) else count
-    inside = (level % 2 == 1) & ~quote
-    opening = quote & (level % 2 == 1)
-    closing = quote & (level % 2 == 0)
-    bad |= _spans(begin, quote, n) % 2 == 1
+    count = np.cumsum(quote, dtype=np.int32)
+    base = np.where(begin > 0, count[begin - 1], 0).astype(np.int32) if len(texts) else np.zeros(0, np.int32)
+    odd_level = ((count - base[doc_of]) & 1 == 1) if len(texts) else count & 1 == 1
+    inside = odd_level & ~quote
+    opening = quote & odd_level
+    closing = quote & ~odd_level
+    if len(texts):
+        last = count[np.append(begin[1:], n) - 1]
+        bad |= (last - base) % 2 == 1
     flaws = (inside & (data < 32)) | (inside & escaped & ~_ESCAPED[data]) | (~inside & ~quote & slash)
     u = np.flatnonzero(inside & escaped & (data == 117))
     if len(u):
         flaws[u] |= ~np.logical_and.reduce([_HEX[data[np.minimum(u + k, n - 1)]] & inside[np.minimum(u + k, n - 1)] for k in range(1, 5)])
-    np.logical_or.at(bad, doc_of[np.flatnonzero(flaws)], True)
+    bad[doc_of[np.flatnonzero(flaws)]] = True
 
     # tokens outside of strings
     outside = ~inside & ~quote
@@ -138,7 +137,7 @@ def index(texts: list[bytes]) -> Index:
     before = np.where(first > 0, total[np.minimum(first, len(total)) - 1], 0) if len(total) else np.zeros(len(texts), np.int64)
     depth = total - before[td] if len(tok) else total  # after the token
     bad |= n_tok == 0
-    np.logical_or.at(bad, td[depth < 0], True)
+    bad[td[depth < 0]] = True
     if len(tok):
         has = n_tok > 0
         last = np.where(has, first + n_tok - 1, 0)
@@ -159,7 +158,7 @@ def index(texts: list[bytes]) -> Index:
         if len(a) == len(b):
             fits = is_open[a] & is_close[b] & (tk[b] - tk[a] == 1) & (td[a] == td[b]) & (own[a] == own[b])
             mate[a], mate[b] = b, a
-            np.logical_or.at(bad, td[a[~fits]], True)
+            bad[td[a[~fits]]] = True
         else:  # cannot be with depths that close; kept as a guard
             bad[td[order]] = True
     # container of each token: the last open bracket of the depth above
@@ -186,7 +185,7 @@ def index(texts: list[bytes]) -> Index:
     fine |= (tk == COLON) & in_object & prev_key
     fine |= (tk == COMMA) & (inner >= 0) & after_value & ~prev_key
     fine |= is_close & ((after_value & ~prev_key) | (prev == OPEN_O) & (tk == CLOSE_O) | (prev == OPEN_A) & (tk == CLOSE_A))
-    np.logical_or.at(bad, td[~fine], True)
+    bad[td[~fine]] = True
 
     # values
     val = np.flatnonzero(starts_value & ~is_key)
@@ -212,11 +211,11 @@ def index(texts: list[bytes]) -> Index:
     key_tok = np.where(keyed, val - 2, 0)
     # place among the values of the same parent
     parent = np.where(up >= 0, number[np.maximum(up, 0)], -1)
-    by = np.lexsort((np.arange(len(val)), parent, td[val]))
+    by = np.argsort(parent, kind="stable")
     place = np.zeros(len(val), np.int64)
     if len(val):
-        p, t = parent[by], td[val][by]
-        fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (t[1:] != t[:-1])])
+        p = parent[by]
+        fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (p[1:] < 0)])  # every text has one value at the top
         at = np.arange(len(val))
         place[by] = at - np.maximum.accumulate(np.where(fresh, at, 0))
     return Index(
@@ -225,6 +224,16 @@ def index(texts: list[bytes]) -> Index:
     )
 
 
+def parts_of(batch: pd.DataFrame, column: str, limit: int = CHUNK) -> Iterator[pd.DataFrame]:
+    """A batch in stretches of about ``limit`` characters: the index takes some tens of bytes of memory for each."""
+    if not len(batch):
+        return
+    sizes = batch[column].str.len().fillna(0).to_numpy(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // limit)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+        yield batch.iloc[a:b]
+
+
 def _bytes(column: pd.Series) -> list[bytes]:
     return [b"" if t is None or t is pd.NA or t != t else t.encode("utf-8", "surrogatepass") for t in column]
 
@@ -240,7 +249,7 @@ def flatten(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (p for batch in batches for p in parts_of(batch, "text")):
             ids, x = b["doc_id"].to_numpy(), index(_bytes(b["text"]))
             first = np.searchsorted(x.doc, np.arange(len(ids)))
             base = first[x.doc] if len(x.doc) else x.doc
@@ -263,10 +272,11 @@ def flatten(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
-def members(x: Index) -> dict[int, list[int]]:
-    """The values in each container, in order."""
+def members(x: Index, kept: np.ndarray | None = None) -> dict[int, list[int]]:
+    """The values in each container, in order; ``kept`` leaves values out."""
+    at = np.arange(len(x.parent)) if kept is None else np.flatnonzero(kept)
     out: dict[int, list[int]] = {}
-    for i, p in enumerate(x.parent.tolist()):
+    for i, p in zip(at.tolist(), x.parent[at].tolist()):
         out.setdefault(p, []).append(i)
     return out
 
@@ -274,7 +284,7 @@ def members(x: Index) -> dict[int, list[int]]:
 _DAMAGE_FIELDS = ("damage_type", "part", "severity", "action", "confidence", "annotation_id", "description")
 _BOX_NAMES = ("bounding_box", "bbox")
 FLAT = (
-    "kind string, doc_id long, image_no long, image_id string, damage_no long, box_no long, status string, "
+    "kind string, doc_id long, digest long, image_no long, image_id string, damage_no long, box_no long, status string, "
     + ", ".join(f"{c} string" for c in _DAMAGE_FIELDS)
     + ", number double"
 )
@@ -308,98 +318,101 @@ def _entries(x: Index, inside: dict[int, list[int]], top: int) -> Iterator[tuple
             yield int(x.place[i]), image, i, holder
 
 
-def _damages(x: Index, inside: dict[int, list[int]], j: int | None) -> list[tuple[int, int]]:
+def _damages(x: Index, inside: dict[int, list[int]], j: int | None, size: np.ndarray) -> list[tuple[int, int]]:
     """(place, value) of the damage objects listed at value j: a list, an object of numbered places, or one object alone."""
-    if j is None:
+    if j is None or not size[j]:
         return []
     listed = inside.get(j, [])
     if x.kind[j] == ARRAY:
         return [(int(x.place[i]), i) for i in listed if x.kind[i] == OBJECT]
-    if x.kind[j] == OBJECT and listed:
-        if all((x.key(i) or "").isdigit() for i in listed):
+    if x.kind[j] == OBJECT:
+        # the first member follows its object
+        if all((x.key(i) or "").isdigit() for i in [j + 1, *listed]):
             return [(n, i) for n, i in enumerate(sorted(listed, key=lambda i: int(x.key(i)))) if x.kind[i] == OBJECT]
         return [(0, j)]
     return []
 
 
-def _emit(x: Index, ids: np.ndarray, out: list[tuple]) -> None:
-    inside = members(x)
+def _emit(x: Index, ids: np.ndarray, digests: np.ndarray, kinds: tuple[str, ...], out: list[tuple]) -> None:
+    fields, boxes = "damage" in kinds, "box" in kinds
+    # places alone need the containers and what stands near the top
+    narrow = lambda y, depth: None if fields or boxes else (y.kind <= ARRAY) | (y.kind == NULL) | (y.depth <= depth)
+    count = lambda y: np.bincount(y.parent[y.parent >= 0], minlength=len(y.parent))
+    inside, size = members(x, narrow(x, 4)), count(x)
     nested: list[tuple[tuple, str | None, bytes]] = []  # damages that are JSON within a string
     no_fields = [None] * len(_DAMAGE_FIELDS)
 
-    def image(head: tuple, status: str | None, x: Index, inside: dict, j: int | None) -> None:
-        found = _damages(x, inside, j)
+    def image(head: tuple, status: str | None, x: Index, inside: dict, j: int | None, size: np.ndarray) -> None:
+        found = _damages(x, inside, j, size)
         out.append(("image", *head, None if found else -1, None, status, *no_fields, None))
         for no, i in found:
+            if not fields and not boxes:
+                out.append(("place", *head, no, None, None, *no_fields, None))
+                continue
             own = {x.key(k): k for k in inside.get(i, ())}
-            texts = [x.value(own[f]) if f in own else None for f in _DAMAGE_FIELDS]
-            out.append(("damage", *head, no, None, None, *texts, None))
-            for name in _BOX_NAMES:
+            if fields:
+                texts = [x.value(own[f]) if f in own else None for f in _DAMAGE_FIELDS]
+                out.append(("damage", *head, no, None, None, *texts, None))
+            for name in _BOX_NAMES if boxes else ():
                 if (b := own.get(name)) is not None and x.kind[b] == ARRAY:
                     for k in inside.get(b, ()):
                         number = float(x.value(k)) if x.kind[k] == NUMBER else None
                         out.append(("box", *head, no, int(x.place[k]), None, *no_fields, number))
 
     for top in inside.get(-1, ()):
-        doc = int(ids[x.doc[top]])
-        out.append(("document", doc, None, None, None, None, None, *no_fields, None))
+        doc = (int(ids[x.doc[top]]), int(digests[x.doc[top]]))
+        out.append(("document", *doc, None, None, None, None, None, *no_fields, None))
         for place, image_id, _, holder in _entries(x, inside, top):
             status = x.value(holder["status"]) if "status" in holder else None
             j = holder.get("damages")
             if j is not None and x.kind[j] == STRING:
-                nested.append(((doc, place, image_id), status, x.value(j).encode("utf-8", "surrogatepass")))
+                nested.append(((*doc, place, image_id), status, x.value(j).encode("utf-8", "surrogatepass")))
             else:
-                image((doc, place, image_id), status, x, inside, j)
+                image((*doc, place, image_id), status, x, inside, j, size)
     if nested:
         y = index([t for _, _, t in nested])
-        within = members(y)
+        within, sizes = members(y, narrow(y, 1)), count(y)
         tops = {int(y.doc[t]): t for t in within.get(-1, ())}
         for n, (head, status, _) in enumerate(nested):
-            image(head, status, y, within, tops.get(n))
+            image(head, status, y, within, tops.get(n), sizes)
 
 
-def flat_tables(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def flat_tables(df: DataFrame, id_column: str, text_column: str, kinds: tuple[str, ...] = ("document", "image", "damage", "box")) -> DataFrame:
     """Documents, images, damages and box numbers of nested evaluation files, as one table of tagged rows.
 
     ``kind`` says which table a row belongs to (document, image, damage, box);
     doc_id, image_no (place of the image entry) and damage_no (place among what
     is listed for the image, empty places counted) link a row to its parents.
-    An image row has damage_no -1 where the image has no damage object.
-    One valid text per document is read: rows with the same id are copies or
-    damaged deliveries, so the first whole text in byte order of its digest
-    counts.  Entries may stand in an object by image id or in a list; damages in
-    a list, in an object of numbered places, alone, or as JSON in a string.
-    Null entries and invalid texts give nothing.
+    An image row has damage_no -1 where the image has no damage object.  Without
+    damage and box in ``kinds`` damages come as rows of kind place that only
+    hold the links, which is much less work.
+    Rows with the same id are copies or damaged deliveries: of the whole texts
+    of a document the one of smallest digest counts.  Entries may stand in an
+    object by image id or in a list; damages in a list, in an object of numbered
+    places, alone, or as JSON in a string.  Null entries and invalid texts give
+    nothing.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FLAT.split(", ")]
-        for b in batches:
+        for b in (p for batch in batches for p in parts_of(batch, "text")):
             out: list[tuple] = []
-            _emit(index(_bytes(b["text"])), b["doc_id"].to_numpy(), out)
-            yield pd.DataFrame(out, columns=names, dtype=object)
+            _emit(index(_bytes(b["text"])), b["doc_id"].to_numpy(), b["digest"].to_numpy(), kinds, out)
+            yield pd.DataFrame([r for r in out if r[0] in kinds or r[0] == "place"], columns=names, dtype=object)
 
-    texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).filter(
+    texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("digest")).filter(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
-    return one_whole_text(texts).mapInPandas(rows, FLAT)
-
-
-def one_whole_text(texts: DataFrame) -> DataFrame:
-    """(doc_id, text): of each document one text that is whole JSON; documents without one are left out."""
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[index(_bytes(b["text"])).valid]
-
-    # copies are equal, so distinct texts are few per document; the smallest whole one is taken
-    return texts.mapInPandas(whole, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # copies fall together before one delivery per document is chosen; whole texts never move
+    flat = texts.mapInPandas(rows, FLAT).distinct()
+    first = F.min("digest").over(Window.partitionBy("doc_id"))
+    return flat.withColumn("first", first).filter("digest = first").drop("first", "digest")
 
 
 def damage_places(flat: DataFrame) -> DataFrame:
     """(doc_id, image_id, damage_no): one row per damage object, and -1 for an image entry without any."""
     return (
-        flat.filter("kind = 'damage' OR kind = 'image' AND damage_no = -1")
+        flat.filter("kind IN ('damage', 'place') OR kind = 'image' AND damage_no = -1")
         .select("doc_id", "image_id", "damage_no")
         .distinct()
     )

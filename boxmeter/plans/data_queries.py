@@ -13,21 +13,21 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-def _flat(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _flat(spark: SparkSession, d: str, *kinds: str) -> dict[str, DataFrame]:
     gt = _read(spark, d, "gt_dev").select("doc_id", F.to_json(F.struct("images"), {"ignoreNullFields": "false"}).alias("content"))
     return {
-        "gt": structure.flat_tables(gt, "doc_id", "content"),
-        "pred": structure.flat_tables(_read(spark, d, "predictions_dev_v3"), "run_id", "content"),
+        "gt": structure.flat_tables(gt, "doc_id", "content", kinds),
+        "pred": structure.flat_tables(_read(spark, d, "predictions_dev_v3"), "run_id", "content", kinds),
     }
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    flat = {src: structure.damage_places(t).select(F.lit(src).alias("src"), "*") for src, t in _flat(spark, d).items()}
+    flat = {src: structure.damage_places(t).select(F.lit(src).alias("src"), "*") for src, t in _flat(spark, d, "image").items()}
     return flat["gt"].unionByName(flat["pred"])
 
 
 def _table(spark: SparkSession, d: str, kind: str, columns: list[str]) -> DataFrame:
-    flat = {src: t.filter(F.col("kind") == kind).select(F.lit(src).alias("src"), *columns) for src, t in _flat(spark, d).items()}
+    flat = {src: t.filter(F.col("kind") == kind).select(F.lit(src).alias("src"), *columns) for src, t in _flat(spark, d, kind).items()}
     return flat["gt"].unionByName(flat["pred"])
 
 

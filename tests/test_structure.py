@@ -69,6 +69,8 @@ FILE = {
         "12": {"damages": "not json"},
         "13": None,
         "14": {"damages": []},
+        "15": {"damages": {"3": {"part": "door"}, "1": None, "2": {}}},
+        "16": {"damages": {"0": "text", "1": 5}},
     },
 }
 
@@ -79,8 +81,9 @@ def test_places_of_damages(spark):
     df = spark.createDataFrame(rows, "run_id long, content string").selectExpr("*", "'x' AS text", "1 AS doc_id")
     flat = S.flat_tables(df, "run_id", "content")
     got = {tuple(r) for r in S.damage_places(flat).collect()}
-    assert got == {
-        (1, "7", 0), (1, "7", 2), (1, "8", -1), (1, "9", 0), (1, "9", 1), (1, "10", 0), (1, "11", 0), (1, "12", -1), (1, "14", -1),
+    narrow = {tuple(r) for r in S.damage_places(S.flat_tables(df, "run_id", "content", ("image",))).collect()}
+    assert got == narrow == {
+        (1, "7", 0), (1, "7", 2), (1, "8", -1), (1, "9", 0), (1, "9", 1), (1, "10", 0), (1, "11", 0), (1, "12", -1), (1, "14", -1), (1, "15", 1), (1, "15", 2), (1, "16", -1),
         (2, "5", 0), (2, "6", -1),
     }
     boxes = [(r.damage_no, r.box_no, r.number) for r in flat.filter("kind = 'box'").orderBy("box_no").collect()]
