@@ -20,7 +20,10 @@ TAIL = r"(?:[\s �…]|\.{2,}|[\[(](?:\.{2,}|…|truncated|cut|gekürzt|обр
 #: Marks in brackets say by themselves that something is missing.
 MARK = r"[\[(](?:\.{2,}|…|truncated|cut|gekürzt|обрезано)[\])][\s ]*$"
 SENTENCE = r"(?<=[.?!][\"')\]”»]{0,2})[\s ]+(?![\s \p{Ll}\p{N}])|[\s ]*\n[\s ]*"
-TOKEN = r"[\p{L}\p{M}]+|\p{N}+(?:[.,:]\p{N}+)*|[^\s \p{L}\p{M}\p{N}]"
+NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*"
+TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s \p{L}\p{M}\p{N}]"
+#: Up to the second word of a sentence.
+OPENING = r"^[^\p{L}]*[\p{L}\p{M}]*(?:[^\p{L}]+[\p{L}\p{M}]+)?"
 #: Tokens longer than this are one and the same long word.
 LONG = 48
 
@@ -43,8 +46,9 @@ SELECT doc_id, text_hash, marked,
        OR ((length(body) - length(replace(body, '```', ''))) div 3) % 2 = 1 AS open_structure,
        size(sentences) AS n_sentences,
        transform(sentences, s -> named_struct(
-         'tokens', transform(regexp_extract_all(regexp_replace(s, '[.?!]+$', ''), :token, 0),
-                             w -> CASE WHEN w RLIKE '^\\\\p{{N}}' THEN '0' WHEN length(w) > :long THEN '~' ELSE lower(w) END),
+         'tokens', transform(regexp_extract_all(regexp_replace(lower(regexp_replace(s, '[.?!]+$', '')), :number, '0'), :token, 0),
+                             w -> CASE WHEN length(w) > :long THEN '~' ELSE w END),
+         'head', trim(regexp_replace(regexp_extract(lower(s), :opening, 0), '[^\\p{{L}}\\p{{M}}]+', ' ')),
          'ended', s RLIKE '[.?!][\\"\\')\\\\]\\u201d\\u00bb]*$',
          'stop', s RLIKE '[^.?!][.]$')) AS sentences
 FROM parts
@@ -55,13 +59,12 @@ WHERE size(sentences) > 0
 # Positions inside are counted; the last of each text stays a row of its own.
 _POSITIONS = """
 WITH sentences AS (
-  SELECT text_hash, doc_id, marked, open_structure, n_sentences, at, s.tokens AS t, s.ended, s.stop,
-         slice(filter(s.tokens, w -> w RLIKE '^\\\\p{{L}}'), 1, 2) AS h
+  SELECT text_hash, doc_id, marked, open_structure, n_sentences, at, s.tokens AS t, s.head, s.ended, s.stop
   FROM {texts} LATERAL VIEW posexplode(sentences) AS at, s
   WHERE size(s.tokens) > 0
 ), positions AS (
   SELECT at = n_sentences - 1 AND i = size(t) - 1 AS final, i = size(t) - 1 AND ended AS sentence_end,
-         doc_id, text_hash, marked, open_structure, ended, stop, concat_ws(' ', h) AS head,
+         doc_id, text_hash, marked, open_structure, ended, stop, head,
          coalesce(get(t, i - 3), '^') AS x, coalesce(get(t, i - 2), '^') AS a, coalesce(get(t, i - 1), '^') AS b, get(t, i) AS c
   FROM sentences LATERAL VIEW explode(sequence(0, size(t) - 1)) AS i
 )
@@ -164,7 +167,7 @@ def endings(docs: DataFrame, rare: float = 0.01, lean: float = 5.0) -> DataFrame
     bigram.  Null, empty and blank texts give no row.  doc_id is taken to be unique.
     """
     spark = docs.sparkSession
-    args = {"tail": TAIL, "mark": MARK, "sentence": SENTENCE, "token": TOKEN, "long": LONG}
+    args = {"tail": TAIL, "mark": MARK, "sentence": SENTENCE, "token": TOKEN, "number": NUMBER, "opening": OPENING, "long": LONG}
     texts = spark.sql(_SENTENCES, args, docs=docs.select("doc_id", "text"))
     positions = cut(spark.sql(_POSITIONS, texts=texts))
     finals = positions.filter("doc_id IS NOT NULL")
