@@ -41,14 +41,14 @@ def disagreements(pairs: DataFrame) -> DataFrame:
 
 
 def cohens_kappa(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, agreement, kappa from contingency counts alone; kappa is null where chance agreement is 1."""
+    """keys (at least one), n, agreement, kappa from contingency counts alone; kappa is null where chance agreement is 1."""
     cells = pairs.groupBy(*keys, "va", "vb").agg(F.count("*").alias("m"))
     n = cells.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(F.when(F.col("va").eqNullSafe(F.col("vb")), F.col("m")).otherwise(0)).alias("agree"))
     ma = cells.groupBy(*keys, F.col("va").alias("v")).agg(F.sum("m").alias("ma"))
     mb = cells.groupBy(*keys, F.col("vb").alias("v")).agg(F.sum("m").alias("mb"))
     same = [ma[k].eqNullSafe(mb[k]) for k in [*keys, "v"]]
     chance = ma.join(mb, same).select(*[ma[k] for k in keys], (F.col("ma") * F.col("mb")).alias("x")).groupBy(*keys).agg(F.sum("x").alias("x"))
-    out = n.join(chance, keys, "left") if keys else n.crossJoin(chance)
+    out = n.join(chance, keys, "left")
     x, total = F.coalesce("x", F.lit(0)), F.col("n") * F.col("n")
     kappa = F.when(x < total, ratio(F.col("agree") * F.col("n") - x, total - x))
     return out.select(*keys, "n", ratio(F.col("agree"), F.col("n")).alias("agreement"), kappa.alias("kappa"))

@@ -179,7 +179,8 @@ def selective_curve(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: Da
         "image_id", "confidence", F.coalesce("matched", F.lit(False)).alias("matched"), F.coalesce("right", F.lit(False)).alias("right")
     )
     levels = spark.createDataFrame([(t,) for t in THRESHOLDS], "threshold double")  # eight rows
-    kept = records.crossJoin(F.broadcast(levels)).filter("confidence >= threshold")
+    upto = lambda c: F.explode(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: t <= F.col(c))).alias("threshold")
+    kept = records.select("matched", "right", upto("confidence"))
     at = kept.groupBy("threshold").agg(F.count("*").alias("accepted"), F.count_if("matched").alias("matched"), F.count_if(F.col("matched") & F.col("right")).alias("right"))
     facts = (
         images.select("image_id")
@@ -187,13 +188,13 @@ def selective_curve(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: Da
         .join(records.groupBy("image_id").agg(F.count("*").alias("n"), F.min("confidence").alias("low"), F.bool_and(F.col("matched") & F.col("right")).alias("all_right")), "image_id", "left")
         .select(F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("low", F.lit(float("inf"))).alias("low"), F.coalesce("all_right", F.lit(True)).alias("all_right"))
     )
-    auto = facts.crossJoin(F.broadcast(levels)).filter("low >= threshold").groupBy("threshold").agg(
+    auto = facts.select("n", "n_gt", "all_right", upto("low")).groupBy("threshold").agg(
         F.count("*").alias("images_all_predictions_accepted"), F.count_if((F.col("n") == F.col("n_gt")) & F.col("all_right")).alias("images_fully_correct_and_accepted")
     )
-    totals = records.agg(F.count("*").alias("n_pred")).crossJoin(g.agg(F.count("*").alias("n_gt")))  # one row
+    totals = records.select(F.lit(1).alias("p")).unionByName(g.select(F.lit(0).alias("p"))).agg(F.count_if(F.col("p") == 1).alias("n_pred"), F.count_if(F.col("p") == 0).alias("n_gt"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
-        levels.join(at, "threshold", "left").join(auto, "threshold", "left").crossJoin(F.broadcast(totals))
+        levels.join(at, "threshold", "left").join(auto, "threshold", "left").withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one")  # totals are one row
         .select(
             "threshold", zero("accepted").alias("accepted"), ratio(zero("accepted"), F.col("n_pred")).alias("coverage"), ratio(F.col("matched"), F.col("accepted")).alias("precision"),
             ratio(F.col("right"), F.col("matched")).alias("type_accuracy"), ratio(zero("matched"), F.col("n_gt")).alias("recall"),

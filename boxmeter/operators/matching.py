@@ -110,12 +110,65 @@ def _fold(g: DataFrame, p: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("image_id", "m.gt", "m.pred", "m.iou")
 
 
-def suppress_duplicates(boxes: DataFrame, threshold: float) -> DataFrame:
+def _same_place_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(image_id, damage_type, a, b): boxes a of ``left`` and b of ``right`` in the same place, without looking at all pairs.
+
+    Boxes that overlap have their middles within the larger one's longer side,
+    so both meet in a grid of that size or in the cell next to it.
+    """
+    level = F.ceil(F.log2(F.greatest(F.lit(1e-9), F.col("box")[2], F.col("box")[3])))
+    cell = lambda i, k: F.floor((F.col("box")[i] + F.col("box")[i + 2] / 2) / F.pow(F.lit(2.0), F.col(k)))
+    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    kept = lambda df, name: df.select("image_id", "damage_type", F.col("idx").cast("long").alias(name), "box", level.alias("own"))
+    l, r = kept(left, "a"), kept(right, "b")
+    top = l.select("image_id", "own").union(r.select("image_id", "own")).groupBy("image_id").agg(F.max("own").alias("top"))
+
+    def large(df: DataFrame, name: str) -> DataFrame:
+        at = df.withColumn("k", F.col("own")).withColumn("cx", cell(0, "k")).withColumn("cy", cell(1, "k"))
+        return at.select("image_id", "damage_type", "k", "cx", "cy", name, F.col("box").alias(f"{name}_box"))
+
+    def small(df: DataFrame, name: str) -> DataFrame:
+        at = df.join(top, "image_id").withColumn("k", F.explode(F.sequence("own", "top")))
+        at = at.withColumn("cx", F.explode(F.transform(near, lambda d: cell(0, "k") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: cell(1, "k") + d)))
+        return at.select("image_id", "damage_type", "k", "cx", "cy", name, F.col("box").alias(f"{name}_box"))
+
+    on = ["image_id", "damage_type", "k", "cx", "cy"]
+    columns = ["image_id", "damage_type", "a", "b", "a_box", "b_box"]
+    met = large(l, "a").join(small(r, "b"), on).select(*columns).union(small(l, "a").join(large(r, "b"), on).select(*columns))
+    return met.filter(same_place(F.col("a_box"), F.col("b_box"), threshold)).select("image_id", "damage_type", "a", "b").distinct()
+
+
+def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
+    """(image_id, idx): in each round the boxes that no stronger live one covers are kept, and what they cover goes."""
+    b = boxes.select("image_id", "damage_type", F.col("idx").cast("long").alias("idx"), "confidence", "box")
+    rank = lambda n: b.select("image_id", F.col("idx").alias(n), F.struct((-F.col("confidence")).alias("r"), "idx").alias(f"r{n}"))
+    pairs = _same_place_pairs(b, b, threshold).join(rank("a"), ["image_id", "a"]).join(rank("b"), ["image_id", "b"])
+    pairs = cut_table(pairs.filter("ra < rb").select("image_id", "a", "b"))  # a is stronger than b
+    gone: DataFrame | None = None
+    while not is_empty(pairs):
+        weaker = pairs.select("image_id", F.col("b").alias("a")).distinct()
+        lost = cut_table(pairs.join(weaker, ["image_id", "a"], "left_anti").select("image_id", "b").distinct())
+        gone = lost if gone is None else gone.union(lost)
+        pairs = cut_table(pairs.join(lost, ["image_id", "b"], "left_anti").join(lost.withColumnRenamed("b", "a"), ["image_id", "a"], "left_anti"))
+    all_ = b.select("image_id", "idx")
+    return all_ if gone is None else all_.join(gone.withColumnRenamed("b", "idx"), ["image_id", "idx"], "left_anti")
+
+
+def suppress_duplicates(boxes: DataFrame, threshold: float, fold_boxes: int = FOLD_BOXES) -> DataFrame:
     """(image_id, idx) of the boxes kept: by falling confidence, a box goes if a kept one of its type is in the same place.
 
     ``boxes`` has image_id, idx, damage_type, confidence, box.  A prediction is
-    compared with kept ones of its own type only, so types are folded apart.
+    compared with kept ones of its own type only, so types are folded apart;
+    images with more than ``fold_boxes`` boxes go in rounds over near pairs.
     """
+    big = boxes.groupBy("image_id").count().filter(F.col("count") > fold_boxes).select("image_id")
+    if not is_empty(big := cut(big)):
+        rest = _suppress_in_rounds(boxes.join(big, "image_id", "left_semi"), threshold)
+        return _suppress_by_fold(boxes.join(big, "image_id", "left_anti"), threshold).unionByName(rest)
+    return _suppress_by_fold(boxes, threshold)
+
+
+def _suppress_by_fold(boxes: DataFrame, threshold: float) -> DataFrame:
     per = boxes.groupBy("image_id", "damage_type").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), F.col("idx").cast("long").alias("idx"), "box"))).alias("b")
     )
@@ -126,12 +179,10 @@ def suppress_duplicates(boxes: DataFrame, threshold: float) -> DataFrame:
     return per.select("image_id", F.explode(kept).alias("k")).select("image_id", "k.idx")
 
 
-def second_look(found: DataFrame, fresh: DataFrame, threshold: float) -> DataFrame:
+def second_look(found: DataFrame, fresh: DataFrame, threshold: float, fold_boxes: int = FOLD_BOXES) -> DataFrame:
     """(image_id, idx, look): all boxes of the first look, and those of the second that repeat none of them nor each other."""
-    f = found.select("image_id", "damage_type", F.col("box").alias("old"))
-    pairs = fresh.join(f, ["image_id", "damage_type"])
-    seen = pairs.filter(same_place(F.col("old"), F.col("box"), threshold)).select("image_id", "idx").distinct()
-    new = suppress_duplicates(fresh.join(seen, ["image_id", "idx"], "left_anti"), threshold)
+    seen = _same_place_pairs(found, fresh, threshold).select("image_id", F.col("b").alias("idx")).distinct()
+    new = suppress_duplicates(fresh.withColumn("idx", F.col("idx").cast("long")).join(seen, ["image_id", "idx"], "left_anti"), threshold, fold_boxes)
     return found.select("image_id", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("look")).unionByName(new.select("image_id", "idx", F.lit(2).alias("look")))
 
 

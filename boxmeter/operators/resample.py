@@ -71,10 +71,10 @@ def seeded_draws(spark: SparkSession, n_images: int, resamples: int = RESAMPLES,
 
 def hashed_draws(images: DataFrame, resamples: int, a: int = 7919, b: int = 104729) -> DataFrame:
     """(resample, position, times): each of the n positions of ``images`` draws a position by modular arithmetic, in parallel."""
-    n = images.agg(F.count("*").alias("n"))  # one row
-    each = images.select("position").crossJoin(F.broadcast(n)).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    n = images.count()
+    each = images.select("position").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     x = (F.col("position") * a + F.col("resample") * b + F.col("position") * F.col("position") * 31 + F.col("resample") * F.col("position") * 17) % 1000003
-    return each.select("resample", ((x * 7879) % 1000003 % F.col("n")).alias("position")).groupBy("resample", "position").agg(F.count("*").alias("times"))
+    return each.select("resample", ((x * 7879) % 1000003 % max(n, 1)).alias("position")).groupBy("resample", "position").agg(F.count("*").alias("times"))
 
 
 def resampled_metrics(stats: DataFrame, positions: DataFrame, draws: DataFrame) -> DataFrame:

@@ -146,6 +146,7 @@ def test_suppression_and_second_look(spark):
     rows = [("a", 0, [0, 0, 1, 1], "crack", "minor", 0.9), ("a", 1, [0, 0, 1, 0.9], "crack", "minor", 0.8), ("a", 2, [0, 0, 0.3, 0.3], "crack", "minor", 0.7), ("a", 3, [0, 0, 1, 1], "scratch", "minor", 0.5), ("a", 4, [1, 0, 1, 1], "crack", "minor", 0.4)]
     pred = table(spark, rows, True)
     assert {r.idx for r in matching.suppress_duplicates(pred, 0.5).collect()} == {0, 3, 4}
+    assert {r.idx for r in matching.suppress_duplicates(pred, 0.5, fold_boxes=1).collect()} == {0, 3, 4}
     looks = matching.second_look(pred.filter("idx < 2"), pred.filter("idx >= 2"), 0.5)
     assert {(r.idx, r.look) for r in looks.collect()} == {(0, 1), (1, 1), (3, 2), (4, 2)}
 
@@ -173,3 +174,20 @@ def test_tiles(spark):
     t = F.struct(F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.5).alias("w"), F.lit(0.5).alias("h"))
     moved = spark.range(1).select(geometry.tile_to_image(F.array(*[F.lit(0.5)] * 4), t).alias("b")).first().b
     assert moved == pytest.approx([0.75, 0.25, 0.25, 0.25])
+
+
+def test_suppression_in_rounds_equals_the_fold(spark):
+    r = random.Random(8)
+    rows = [(str(i % 3), i, [r.randint(0, 30) / 10, r.randint(0, 30) / 10, r.choice((2, 3, 9, 14)) / 10, r.choice((2, 3, 9, 14)) / 10], "crack", "minor", r.choice((0.2, 0.5, 0.9))) for i in range(150)]
+    pred = table(spark, rows, True)
+    want = {(x.image_id, x.idx) for x in matching.suppress_duplicates(pred, 0.3).collect()}
+    assert {(x.image_id, x.idx) for x in matching.suppress_duplicates(pred, 0.3, fold_boxes=10).collect()} == want and 10 < len(want) < 150
+    pairs = {(x.a, x.b) for x in matching._same_place_pairs(pred, pred, 0.3).collect()}
+    boxes = {i: (im, b) for im, i, b, *_ in rows}
+
+    def together(a, b):
+        w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+        h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+        return w > 0 and h > 0 and (overlap(a, b) >= 0.3 or w * h / min(a[2] * a[3], b[2] * b[3]) >= 0.8)
+
+    assert pairs == {(a, b) for a in boxes for b in boxes if boxes[a][0] == boxes[b][0] and together(boxes[a][1], boxes[b][1])}
