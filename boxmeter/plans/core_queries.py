@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxmeter.functions import text
-from boxmeter.operators import agreement, conversion, evaluate, geometry, matching, merging, resample, sampling, store, validate
+from boxmeter.operators import agreement, conversion, evaluate, geometry, matching, merging, resample, runs, sampling, store, validate
 from boxmeter.plans import views
 from boxmeter.plans.views import LABELS, PAIRS, read
 from boxmeter.schemas import CALIBRATION_BINS, DAMAGE_TYPES, LABEL_FIELDS, SEVERITIES, THRESHOLDS
@@ -609,3 +609,32 @@ def never_returned(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
     sold = read(spark, d, "part").select(F.col("p_partkey").alias("k")).intersect(li.select("l_partkey"))
     return sold.subtract(li.filter("l_returnflag = 'R'").select("l_partkey"))
+
+
+# ---------------------------------------------------------------- runs
+
+
+@query(
+    """WITH im AS (SELECT doc_id, unnest(images) AS i FROM (SELECT DISTINCT doc_id, images FROM gt_dev)), s AS (SELECT doc_id, i.image_id AS image_id, i.width AS w, i.height AS h, greatest(i.width, i.height) AS m FROM im WHERE i IS NOT NULL)
+  SELECT doc_id, image_id, m > 1568 AS resized, CASE WHEN m > 1568 THEN greatest(1, floor(w * (1568.0::DOUBLE / m) + 0.5))::INT ELSE w END AS width, CASE WHEN m > 1568 THEN greatest(1, floor(h * (1568.0::DOUBLE / m) + 0.5))::INT ELSE h END AS height
+  FROM s WHERE w IS NOT NULL AND h IS NOT NULL"""
+)
+def sent_sizes(spark: SparkSession, d: str) -> DataFrame:
+    images = read(spark, d, "gt_dev").select("doc_id", "images").distinct().select("doc_id", F.explode("images").alias("i")).filter("i.width IS NOT NULL AND i.height IS NOT NULL")
+    return images.select("doc_id", "i.image_id", runs.sent_size(F.col("i.width"), F.col("i.height"), F.lit(0)).alias("s")).select("doc_id", "image_id", "s.*")
+
+
+@query(
+    """WITH first AS (SELECT image_id, arg_min(file_name, (selected_at, file_name)) AS file_name FROM test_examples WHERE file_name IS NOT NULL GROUP BY image_id), f AS (SELECT file_name, max(annotation_id) * 30000 AS size FROM labels_test_b GROUP BY file_name)
+  SELECT image_id, file_name, CASE WHEN size IS NULL THEN 'missing' WHEN lower(regexp_extract(file_name, '\\.([^.]*)$', 1)) NOT IN ('jpg', 'jpeg', 'png') THEN 'type' WHEN size > 40 * 1024 * 1024 THEN 'size' END AS problem FROM first LEFT JOIN f USING (file_name)"""
+)
+def checked_images(spark: SparkSession, d: str) -> DataFrame:
+    plan = read(spark, d, "test_examples").filter("file_name IS NOT NULL").select("image_id", "file_name", F.col("selected_at").alias("position"))
+    files = read(spark, d, "labels_test_b").groupBy("file_name").agg((F.max("annotation_id") * 30000).alias("size"))
+    return runs.check_images(plan, files).select("image_id", "file_name", "problem")
+
+
+@query(PAIRS + "SELECT status = 'missing' AS missing, count(*) AS answers, count(*) FILTER (status <> 'success') AS errors FROM images GROUP BY ALL")
+def answer_summary(spark: SparkSession, d: str) -> DataFrame:
+    images, _, _ = views.evaluation(spark, d)
+    return runs.summary(images.withColumn("missing", F.col("status") == "missing"), ["missing"])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxmeter.functions import text
-from boxmeter.operators import conversion, merging, sampling, store, validate
+from boxmeter.operators import conversion, merging, runs, sampling, store, validate
 from boxmeter.sources import files
 from boxmeter.streaming import limiter, windows
 
@@ -215,3 +215,13 @@ def test_windows_stream(spark, tmp_path):
     q = windows.tumbling_counts(stream, "1 hour").writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("tumbling").collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_runs(spark):
+    plan = spark.createDataFrame([(1, "a.JPG", 0), (1, "a.JPG", 5), (2, "b.gif", 1), (3, "c.png", 2), (4, "d.png", 3)], "image_id int, file_name string, position int")
+    there = spark.createDataFrame([("a.JPG", 10), ("b.gif", 10), ("c.png", 41 * 1024 * 1024)], "file_name string, size long")
+    assert {r.image_id: (r.position, r.problem) for r in runs.check_images(plan, there).collect()} == {1: (0, None), 2: (1, "type"), 3: (2, "size"), 4: (3, "missing")}
+    df = spark.createDataFrame([(3136, 1000, 0), (100, 50, 0), (100, 50, 5_000_000), (9999, 1, 0)], "w int, h int, s long").select(runs.sent_size(F.col("w"), F.col("h"), F.col("s")).alias("x"))
+    assert [tuple(r.x) for r in df.collect()] == [(True, 1568, 500), (False, 100, 50), (True, 100, 50), (True, 1568, 1)]
+    answers = spark.createDataFrame([("success",), ("error",), (None,)], "status string")
+    assert tuple(runs.summary(answers).first()) == (3, 2)
