@@ -38,7 +38,8 @@ def cutoffs(scores: DataFrame, targets: DataFrame) -> DataFrame:
     model_client and target_pct.  Result: source, target_pct, n, cutoff, kept_n,
     kept_share.  A target of zero or less needs no row; the cutoff is then the
     largest confidence.  A target above 100 counts as 100.  Sources whose client
-    has no target have a null cutoff.  Equal scores stand or fall together, so
+    has no target have a null cutoff; a source of several clients goes by the
+    first in order of names.  Equal scores stand or fall together, so
     kept_n may exceed the target.
     """
     spark = scores.sparkSession

@@ -52,7 +52,6 @@ SELECT doc_id, text_hash, marked,
          'ended', s RLIKE '[.?!][\\"\\')\\\\]\\u201d\\u00bb]*$',
          'stop', s RLIKE '[^.?!][.]$')) AS sentences
 FROM parts
-WHERE size(sentences) > 0
 """
 
 # Every position of every sentence with its trigram, the word before, the opening of its sentence, and where it stands.
