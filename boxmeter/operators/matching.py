@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxmeter.operators.geometry import iou, same_place
+from boxmeter.operators.geometry import area, intersection, iou, same_place
 from boxmeter.session import cut, cut_table, is_empty
 
 IOU_THRESHOLD = 0.5
@@ -36,16 +36,27 @@ def image_arrays(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 def matched_array(gts: Column, preds: Column, threshold: float) -> Column:
     """The pairs (gt, pred, iou) of one image.  Each prediction by falling confidence takes the free box of largest overlap, the first on ties."""
+
+    def edges_of(p: Column) -> Column:
+        met = F.transform(
+            gts, lambda g: F.struct(intersection(g["box"], p["box"]).alias("inter"), (area(g["box"]) + area(p["box"])).alias("both"), g["idx"].alias("gt"))
+        )
+        scored = F.transform(
+            F.filter(met, lambda m: m["inter"] > 0),
+            lambda m: F.struct(p["rank"].alias("rank"), p["idx"].alias("pred"), (-F.try_divide(m["inter"], m["both"] - m["inter"])).alias("neg"), m["gt"].alias("gt")),
+        )
+        return F.filter(scored, lambda e: -e["neg"] >= threshold)
+
+    # only overlaps of the threshold and more can be taken, so the walk goes over few edges:
+    # in the order of predictions, then overlaps, each edge whose ends are both free is a pair
+    edges = F.array_sort(F.flatten(F.transform(preds, edges_of)))
     empty = F.array().cast("array<struct<gt:bigint,pred:bigint,iou:double>>")
 
-    def take(pairs: Column, p: Column) -> Column:
-        free = F.filter(gts, lambda g: ~F.exists(pairs, lambda m: m["gt"] == g["idx"]))
-        scored = F.transform(free, lambda g: F.struct((-iou(g["box"], p["box"])).alias("neg"), g["idx"].alias("gt")))
-        best = F.array_min(F.filter(scored, lambda s: s["neg"] < 0))
-        hit = best.isNotNull() & (-best["neg"] >= threshold)
-        return F.when(hit, F.concat(pairs, F.array(F.struct(best["gt"].alias("gt"), p["idx"].alias("pred"), (-best["neg"]).alias("iou"))))).otherwise(pairs)
+    def take(pairs: Column, e: Column) -> Column:
+        taken = F.exists(pairs, lambda m: (m["gt"] == e["gt"]) | (m["pred"] == e["pred"]))
+        return F.when(taken, pairs).otherwise(F.concat(pairs, F.array(F.struct(e["gt"].alias("gt"), e["pred"].alias("pred"), (-e["neg"]).alias("iou")))))
 
-    return F.aggregate(preds, empty, take)
+    return F.aggregate(edges, empty, take)
 
 
 def _candidates(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:

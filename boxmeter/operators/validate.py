@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxmeter.functions.text import strip_fence
 from boxmeter.schemas import ACTIONS, ASSESSMENT, DAMAGE_TYPES, GENERAL_DAMAGE_TYPES, GENERAL_PARTS, PARTS, SEVERITIES
 
+# fixed values: profiles, tolerance, and below the wording of the messages, which models are shown again
 PROFILES = {"benchmark": (DAMAGE_TYPES, PARTS), "general": (GENERAL_DAMAGE_TYPES, GENERAL_PARTS)}
 EDGE = 1e-3
 _CORRUPT = ASSESSMENT.add("_corrupt", "string")
