@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxmeter.operators.evaluate import counted, f1, ratio
 from boxmeter.schemas import DAMAGE_TYPES
+from boxmeter.session import cut
 
 RESAMPLES, SEED = 2000, 42
 _FIELD = ["severity", "part", "action"]
@@ -69,6 +70,16 @@ def seeded_draws(spark: SparkSession, n_images: int, resamples: int = RESAMPLES,
     return spark.createDataFrame(rows, "resample int, position long, times int")
 
 
+def positions(images: DataFrame) -> DataFrame:
+    """image_id, position: places from 0 in order of image_id, numbered over range partitions; one offset per partition is all that is shared."""
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(images.select("image_id").repartitionByRange(parts, "image_id").sortWithinPartitions("image_id").withColumn("pid", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("pid").agg(F.count("*").alias("n")).select("pid", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("pid").orderBy("image_id"))
+    return ranged.withColumn("i", inside).join(F.broadcast(offsets), "pid").select("image_id", (F.col("before") + F.col("i") - 1).alias("position"))
+
+
 def hashed_draws(images: DataFrame, resamples: int, a: int = 7919, b: int = 104729) -> DataFrame:
     """(resample, position, times): each of the n positions of ``images`` draws a position by modular arithmetic, in parallel."""
     n = images.count()

@@ -190,8 +190,7 @@ draws AS (
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     images, gt, pred, pairs = views.pairs(spark, d)
     stats = resample.statistics(images, gt, pred, pairs)
-    # positions from range partitions; image ids are many, resamples few
-    numbered = images.select("image_id").sort("image_id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("image_id long, position long")
+    numbered = resample.positions(images)
     values = resample.resampled_metrics(stats, numbered, resample.hashed_draws(numbered, _DRAWS))
     return resample.intervals(values).filter("metric IN ('recall', 'precision')").select("metric", _r("ci95_low"), _r("ci95_high"), "resamples_used")
 
@@ -200,9 +199,8 @@ def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_all_metrics(spark: SparkSession, d: str) -> DataFrame:
     images, gt, pred, pairs = views.pairs(spark, d)
     stats = resample.statistics(images, gt, pred, pairs)
-    positions = images.select("image_id", F.col("position"))
-    draws = resample.hashed_draws(positions, 50)
-    return resample.intervals(resample.resampled_metrics(stats, positions, draws))
+    numbered = resample.positions(images)
+    return resample.intervals(resample.resampled_metrics(stats, numbered, resample.hashed_draws(numbered, 50)))
 
 
 # ---------------------------------------------------------------- geometry, duplicates, tiles, before and after
