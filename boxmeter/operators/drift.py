@@ -324,12 +324,87 @@ def canonical_names(files: DataFrame, found: DataFrame) -> dict[str, str]:
     return {n: find(n) for n in counts}
 
 
+class _Written(str):
+    """A JSON number as it is written."""
+
+
+_PLAIN = re.compile(r"-?\d{1,15}(\.\d+)?")
+
+
+def _moment(v) -> str | None:
+    """A time of a text or a Unix time in UTC, else None."""
+    s = str(v).strip()
+    try:
+        if _TIME.fullmatch(s):
+            t = datetime.fromisoformat(s)
+            t = t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC)
+        elif _PLAIN.fullmatch(s) and isinstance(content(s), tuple):
+            t = datetime.fromtimestamp(content(s)[1], UTC)
+        else:
+            return None
+    except (ValueError, OverflowError):
+        return None
+    return t.replace(tzinfo=None).isoformat() + "Z"
+
+
+def _written(v) -> str:
+    """The text of a string, else the JSON text."""
+    if isinstance(v, str):
+        return str(v)
+    return json.dumps(v, ensure_ascii=False)
+
+
+def _numbers(v):
+    """Numbers as they are written made numbers again, within containers."""
+    if isinstance(v, _Written):
+        return json.loads(v)
+    if isinstance(v, list):
+        return [_numbers(x) for x in v]
+    return {k: _numbers(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+
+def cells_of(raw: str) -> dict[str, str]:
+    """The texts of a value by member: "" holds the value itself, or what stands for a list or object; every other member stands under its name.
+
+    A lone member stands for its list, a plain ``name`` or a lone member for its
+    object (the lone member also under its name), as in ``content``, but nothing
+    is cast: numbers and texts stay as they are written.  Other lists and objects
+    stand as JSON text.  Null has no text.
+    """
+    load = lambda s: json.loads(s, parse_int=_Written, parse_float=_Written)
+    out: dict[str, str] = {}
+    v, prefix, plain = load(raw), "", True
+    for _ in range(4):
+        if isinstance(v, str) and not isinstance(v, _Written) and v[:1] in "[{":
+            try:
+                inner = load(v)
+            except ValueError:
+                break
+            v, plain = inner, False
+        elif isinstance(v, list) and len(v) == 1:
+            v, plain = v[0], False
+        elif isinstance(v, dict) and isinstance(v.get("name"), str) or isinstance(v, dict) and len(v) == 1:
+            name = "name" if isinstance(v.get("name"), str) else next(iter(v))
+            rest = v if name != "name" else {k: x for k, x in v.items() if k != "name"}
+            out |= {f"{prefix}.{k}": _written(_numbers(x) if isinstance(x, (list, dict)) else x) for k, x in rest.items() if x is not None}
+            prefix, v, plain = f"{prefix}.{name}", v[name], False
+        else:
+            break
+    if v is not None:
+        out[""] = raw if plain and isinstance(v, (list, dict)) else _written(_numbers(v) if isinstance(v, (list, dict)) else v)
+    return out
+
+
 def unified(files: DataFrame, names: dict[str, str]) -> DataFrame:
     """One row per file with the same columns and types: run_id, series, written_at and a column per field.
 
-    A column is double or boolean where every content is one, else string; a
-    lone member of a list and the name of an object stand for it.  Where a file
-    holds two fields of a column, the one of the column's own name counts.
+    A column is double or boolean where every value is one, else string; times
+    are in UTC where all values of a column are times.  The name of an object
+    and a lone member stand for it in the column, its other members have columns
+    ``column.member`` (``cells_of``).  Where a file holds two fields of a column,
+    the one of the column's own name counts there, and another stands in the
+    column of its own name.  Columns whose names differ in case only are
+    numbered.
     """
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(names)
@@ -337,32 +412,43 @@ def unified(files: DataFrame, names: dict[str, str]) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to = shared.value
         for b in batches:
-            out = []
+            out, moments = [], []
             for fields in b["fields"]:
                 row: dict[str, str] = {}
-                for n, t, raw in sorted(_as_fields(fields), key=lambda f: (f[0] == to.get(f[0]), f[0])):
-                    if t is not None:
-                        v = content(raw)
-                        if isinstance(v, tuple):
-                            text = datetime.fromtimestamp(v[1], UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-                        elif isinstance(v, bool):
-                            text = str(v).lower()
-                        else:
-                            text = v if isinstance(v, str) else repr(v)
-                        row[to.get(n, n)] = text
+                taken: set[str] = set()
+                for n, t, raw in sorted(_as_fields(fields), key=lambda f: (f[0] != to.get(f[0]), f[0])):
+                    if t is None:
+                        continue
+                    column = to.get(n, n)
+                    if column in taken:
+                        column = n
+                    taken.add(column)
+                    for member, text in cells_of(raw).items():
+                        name = column + member
+                        while name in row:  # a field may be named like a member
+                            name += "_"
+                        row[name] = text
                 out.append(row)
+                moments.append({n: m for n, x in row.items() if (m := _moment(x))})
             done = b[["run_id", "series", "written_at"]].copy()
-            done["cells"] = out
+            done["cells"], done["moments"] = out, moments
             yield done
 
-    cells = cut(files.mapInPandas(rows, "run_id long, series string, written_at timestamp_ntz, cells map<string,string>"))
-    kinds = cells.select(F.explode("cells").alias("name", "text")).groupBy("name").agg(
-        F.bool_and(F.col("text").try_cast("double").isNotNull()).alias("number"),
-        F.bool_and(F.col("text").isin("true", "false")).alias("flag"),
+    cells = cut(files.mapInPandas(rows, "run_id long, series string, written_at timestamp_ntz, cells map<string,string>, moments map<string,string>"))
+    text = F.trim("text")
+    each = cells.select(F.explode("cells").alias("name", "text"), "moments").withColumn("moment", F.try_element_at("moments", F.col("name")))
+    kinds = each.groupBy("name").agg(
+        # more digits than a double holds stay text
+        F.bool_and(text.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d{1,2})?$") & (F.length(F.regexp_replace(F.regexp_replace(text, "[eE].*", ""), r"\D", "")) <= 15)).alias("number"),
+        F.bool_and(F.lower(text).isin("true", "false")).alias("flag"),
+        (F.bool_and(F.col("moment").isNotNull()) & F.bool_or(text.contains(":"))).alias("time"),
     )
-    types = {r["name"]: "double" if r["number"] else "boolean" if r["flag"] else "string" for r in kinds.collect()}
-    fixed = {"run_id", "series", "written_at"}
-    return cells.select(
-        "run_id", "series", "written_at",
-        *[F.try_element_at("cells", F.lit(n)).try_cast(t).alias(n if n not in fixed else f"meta_{n}") for n, t in sorted(types.items())],
-    )
+    types = {r["name"]: "double" if r["number"] else "boolean" if r["flag"] else "time" if r["time"] else "string" for r in kinds.collect()}
+    used, columns = {"run_id", "series", "written_at"}, []
+    for n, t in sorted(types.items()):
+        name, k = n if n.lower() not in used else f"meta_{n}", 2
+        while name.lower() in used:
+            name, k = f"{n}_{k}", k + 1
+        used.add(name.lower())
+        columns.append(F.try_element_at("moments" if t == "time" else "cells", F.lit(n)).try_cast("string" if t == "time" else t).alias(name))
+    return cells.select("run_id", "series", "written_at", *columns)

@@ -80,6 +80,26 @@ def test_one_table(spark):
     assert [(r.model, r.n, r.on) for r in rows] == [("m", 1.0, True), ("m", 2.0, False), (None, None, None)]
 
 
+def test_the_table_keeps_every_member(spark):
+    metas = [
+        {"detector": {"name": "boxer-0", "conf": 0.25}, "version": "v10", "id": 12345678901234567890, "at": "2026-01-15T06:23:21.5+02:00", "opts": {"depth": 3}, "tags": ["a", "b"]},
+        {"detector": '{"name": "lumen-2", "rev": [1, 2]}', "version": 10, "id": 7, "at": 1768451002, "opts": {"depth": 4}, "seed": 1768451002, "seed.x": "a", "SEED": "b"},
+    ]
+    table = D.unified(df := D.cut(D.meta_fields(files(spark, metas))), {n: n for m in metas for n in m})
+    assert df.count() == 2
+    got = [{k: v for k, v in r.asDict().items() if v is not None and k not in ("run_id", "series", "written_at")} for r in table.orderBy("run_id").collect()]
+    assert got == [
+        {"detector": "boxer-0", "detector.conf": 0.25, "version": "v10", "id": "12345678901234567890", "at": "2026-01-15T04:23:21.500000Z", "opts": 3.0, "opts.depth": 3.0, "tags": '["a", "b"]'},
+        {"detector": "lumen-2", "detector.rev": "[1, 2]", "version": "10", "id": "7", "at": "2026-01-15T04:23:22Z", "opts": 4.0, "opts.depth": 4.0, "meta_seed": 1768451002.0, "seed.x": "a", "SEED": "b"},
+    ]
+
+
+def test_two_fields_of_a_column_are_both_kept(spark):
+    df = D.cut(D.meta_fields(files(spark, [{"model": "a", "modelId": {"name": "b", "rev": 1}}, {"modelId": "c"}])))
+    rows = D.unified(df, {"model": "model", "modelId": "model"}).orderBy("run_id").collect()
+    assert [(r["model"], r["modelId"], r["modelId.rev"]) for r in rows] == [("a", "b", 1.0), ("c", None, None)]
+
+
 def test_copies_nulls_and_empty(spark):
     one = files(spark, [{"a": 1}, {"b": "x"}])
     got = D.changes(D.meta_fields(one.union(one).union(one.selectExpr("run_id", "series", "written_at", "'{' AS content", "fields", "pid")))).count()
