@@ -238,6 +238,9 @@ def _bytes(column: pd.Series) -> list[bytes]:
     return [b"" if t is None or t is pd.NA or t != t else t.encode("utf-8", "surrogatepass") for t in column]
 
 
+LINKED = "doc_id long, node long, parent long, depth int, key string, place long, kind string, value string"
+
+
 def flatten(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Every value of every valid JSON text as a row linked to its parent.
 
@@ -250,28 +253,62 @@ def flatten(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (p for batch in batches for p in parts_of(batch, "text")):
-            ids, x = b["doc_id"].to_numpy(), index(_bytes(b["text"]))
-            first = np.searchsorted(x.doc, np.arange(len(ids)))
-            base = first[x.doc] if len(x.doc) else x.doc
-            every = range(len(x.doc))
-            yield pd.DataFrame(
-                {
-                    "doc_id": ids[x.doc],
-                    "node": np.arange(len(x.doc)) - base,
-                    "parent": np.where(x.parent < 0, -1, x.parent - base),
-                    "depth": x.depth,
-                    "key": pd.Series([x.key(i) for i in every], dtype=object),
-                    "place": x.place,
-                    "kind": pd.Series([KINDS[k] for k in x.kind], dtype=object),
-                    "value": pd.Series([None if x.kind[i] in (OBJECT, ARRAY) else x.value(i) for i in every], dtype=object),
-                }
-            )
-
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(
-        rows, "doc_id long, node long, parent long, depth int, key string, place long, kind string, value string"
+            yield _linked(b["doc_id"].to_numpy(), index(_bytes(b["text"])))
+
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(rows, LINKED)
+
+
+def _linked(ids: np.ndarray, x: Index) -> pd.DataFrame:
+    first = np.searchsorted(x.doc, np.arange(len(ids)))
+    base = first[x.doc] if len(x.doc) else x.doc
+    every = range(len(x.doc))
+    return pd.DataFrame(
+        {
+            "doc_id": ids[x.doc],
+            "node": np.arange(len(x.doc)) - base,
+            "parent": np.where(x.parent < 0, -1, x.parent - base),
+            "depth": x.depth,
+            "key": pd.Series([x.key(i) for i in every], dtype=object),
+            "place": x.place,
+            "kind": pd.Series([KINDS[k] for k in x.kind], dtype=object),
+            "value": pd.Series([None if x.kind[i] in (OBJECT, ARRAY) else x.value(i) for i in every], dtype=object),
+        }
     )
 
 
+def whole_values(df: DataFrame, id_column: str, text_column: str, by_column: str | None = None) -> DataFrame:
+    """``flatten`` over one delivery per document, the one ``flat_tables`` takes: of its whole texts that of smallest digest.
+
+    ``by_column`` is the text whose digest counts if it isn't the whole text.
+    Texts move once, sorted, so that each is parsed once and no values move.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = seen = None
+        for b in (p for batch in batches for p in parts_of(batch, "text")):
+            keys = list(zip(b["doc_id"].tolist(), b["digest"].tolist(), b["own"].tolist()))
+            fresh = [k != before and k[0] != done for k, before in zip(keys, [seen, *keys])]
+            seen = keys[-1]
+            b = b[fresh]
+            ids, texts = b["doc_id"].tolist(), _bytes(b["text"])
+            valid = index(texts).valid if len(set(ids)) < len(ids) else np.ones(len(ids), bool)
+            chosen = []
+            for i, doc in enumerate(ids):
+                if valid[i] and (not chosen or ids[chosen[-1]] != doc):
+                    chosen.append(i)
+            x = index([texts[i] for i in chosen])
+            for i, ok in zip(chosen, x.valid):
+                if ok:
+                    done = ids[i]
+            yield _linked(np.array([ids[i] for i in chosen], np.int64), x)
+
+    texts = df.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"),
+        F.xxhash64(F.col(by_column or text_column)).alias("digest"), F.xxhash64(F.col(text_column)).alias("own"),
+    ).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return texts.repartition("doc_id").sortWithinPartitions("doc_id", "digest", "own").mapInPandas(rows, LINKED)
+
+
 def members(x: Index, kept: np.ndarray | None = None) -> dict[int, list[int]]:
     """The values in each container, in order; ``kept`` leaves values out."""
     at = np.arange(len(x.parent)) if kept is None else np.flatnonzero(kept)

@@ -48,6 +48,19 @@ def p2_boxes(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "box", ["doc_id", "image_no", "image_id", "damage_no", "box_no", "number"])
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of both whole tables, all members of documents, images and damages included, linked to its parent."""
+    as_json = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    gt = _read(spark, d, "gt_dev")
+    members = [c for c in gt.columns if c != "doc_id"]
+    whole = gt.select("doc_id", as_json(*members).alias("content"), as_json("images").alias("images"))
+    values = {
+        "gt": structure.whole_values(whole, "doc_id", "content", "images"),
+        "pred": structure.whole_values(_read(spark, d, "predictions_dev_v3"), "run_id", "content"),
+    }
+    return values["gt"].select(F.lit("gt").alias("src"), "*").unionByName(values["pred"].select(F.lit("pred").alias("src"), "*"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected(badrows.parse_lines(_read(spark, d, "label_lines"))).select("sheet", "line_no", "reason")
 
@@ -73,7 +86,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_documents, p2_images, p2_damages, p2_boxes, p3_found, p3_loaded, p3_edits, p5_found, p5_table)}
+    return {f.__name__: f for f in (p2_found, p2_documents, p2_images, p2_damages, p2_boxes, p2_values, p3_found, p3_loaded, p3_edits, p5_found, p5_table)}
 
 
 def _enum(c: str, empty: bool) -> str:

@@ -100,6 +100,30 @@ def test_every_value_is_linked_to_its_parent(spark):
     ]
 
 
+def test_values_of_one_delivery(spark):
+    whole = ['{"meta": {"a": 1}, "x": [2]}', '{"meta": {"a": 1}, "x": [3]}', "{"]
+    rows = [(1, whole[0]), (1, whole[1]), (1, whole[0]), (1, "{"), (2, "{"), (2, "["), (None, whole[0]), (3, None), (4, "5"), (5, "{"), (5, "6")]
+    df = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    got = S.whole_values(df, "id", "t")
+    images = S.flat_tables(df.selectExpr("id", "t"), "id", "t", ("document",))
+    assert {r.doc_id for r in images.collect()} == {1, 4, 5} == {r.doc_id for r in got.collect()}
+    chosen = df.filter("id = 1 AND t <> '{'").selectExpr("t", "xxhash64(t) AS h").orderBy("h").first().t
+    assert sorted(tuple(r) for r in got.filter("doc_id = 1").collect()) == sorted(tuple(r) for r in S.flatten(spark.createDataFrame([(1, chosen)], "id long, t string"), "id", "t").collect())
+
+
+def test_every_scalar_member_is_in_the_values(spark, data):
+    from boxmeter.plans import data_queries
+
+    v = data_queries.p2_values(spark, data).cache()
+    names = {(r.src, r.key) for r in v.select("src", "key").distinct().collect()}
+    assert {("gt", c) for c in ("meta", "created_at", "file_name", "width", "height", "annotation_id")} <= names
+    assert {("pred", c) for c in ("meta", "attempts", "overall_score", "vehicle_visible", "confidence")} <= names
+    gt = spark.read.parquet(f"{data}/gt_dev.parquet")
+    wanted = gt.selectExpr("doc_id", "explode(images) AS i").distinct().filter("i.width IS NOT NULL").count()
+    assert v.filter("src = 'gt' AND key = 'width' AND kind = 'number'").count() == wanted
+    assert v.groupBy("src", "doc_id", "node").count().filter("count > 1").count() == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "run_id long, content string")
     assert S.damage_places(S.flat_tables(df, "run_id", "content")).count() == 0
