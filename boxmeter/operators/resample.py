@@ -80,18 +80,34 @@ def positions(images: DataFrame) -> DataFrame:
     return ranged.withColumn("i", inside).join(F.broadcast(offsets), "pid").select("image_id", (F.col("before") + F.col("i") - 1).alias("position"))
 
 
-def hashed_draws(images: DataFrame, resamples: int, a: int = 7919, b: int = 104729) -> DataFrame:
-    """(resample, position, times): each of the n positions of ``images`` draws a position by modular arithmetic, in parallel."""
+def hashed_draws(images: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """(resample, position, times): each of the n positions of ``images`` draws a position by a 64-bit hash, in parallel."""
+    n = images.count()
+    each = images.select("position").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "resample", F.col("position").cast("long")), F.lit(max(n, 1)).cast("long"))
+    return _times(each.select("resample", drawn.alias("position")))
+
+
+def modular_draws(images: DataFrame, resamples: int, a: int = 7919, b: int = 104729) -> DataFrame:
+    """(resample, position, times) by modular arithmetic that SQL can repeat, only to compare with it.
+
+    The draw is uneven, and positions from 1,000,003 on are never drawn; ``hashed_draws`` has neither flaw.
+    """
     n = images.count()
     each = images.select("position").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     x = (F.col("position") * a + F.col("resample") * b + F.col("position") * F.col("position") * 31 + F.col("resample") * F.col("position") * 17) % 1000003
-    return each.select("resample", ((x * 7879) % 1000003 % max(n, 1)).alias("position")).groupBy("resample", "position").agg(F.count("*").alias("times"))
+    return _times(each.select("resample", ((x * 7879) % 1000003 % max(n, 1)).alias("position")))
+
+
+def _times(drawn: DataFrame) -> DataFrame:
+    # by position alone, so that the join with the statistics needs no other shuffle
+    return drawn.repartition("position").groupBy("resample", "position").agg(F.count("*").alias("times"))
 
 
 def resampled_metrics(stats: DataFrame, positions: DataFrame, draws: DataFrame) -> DataFrame:
     """resample, metric, value: long form; metrics without a value in a resample are null."""
     numbers = [c for c in stats.columns if c != "image_id"]
-    drawn = draws.join(positions, "position").join(stats, "image_id")
+    drawn = draws.join(positions.join(stats, "image_id"), "position")
     sums = drawn.groupBy("resample").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in numbers])
     pairs = [F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metric_columns().items()]
     return sums.select("resample", F.explode(F.array(*pairs)).alias("m")).select("resample", "m.metric", "m.value")

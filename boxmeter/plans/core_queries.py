@@ -191,7 +191,7 @@ def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     images, gt, pred, pairs = views.pairs(spark, d)
     stats = resample.statistics(images, gt, pred, pairs)
     numbered = resample.positions(images)
-    values = resample.resampled_metrics(stats, numbered, resample.hashed_draws(numbered, _DRAWS))
+    values = resample.resampled_metrics(stats, numbered, resample.modular_draws(numbered, _DRAWS))
     return resample.intervals(values).filter("metric IN ('recall', 'precision')").select("metric", _r("ci95_low"), _r("ci95_high"), "resamples_used")
 
 

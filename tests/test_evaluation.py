@@ -191,3 +191,20 @@ def test_suppression_in_rounds_equals_the_fold(spark):
         return w > 0 and h > 0 and (overlap(a, b) >= 0.3 or w * h / min(a[2] * a[3], b[2] * b[3]) >= 0.8)
 
     assert pairs == {(a, b) for a in boxes for b in boxes if boxes[a][0] == boxes[b][0] and together(boxes[a][1], boxes[b][1])}
+
+
+def test_every_position_can_be_drawn_evenly(spark):
+    n, border = 1_200_000, 1_000_003
+    places = spark.range(n).withColumnRenamed("id", "position")
+    draws = resample.hashed_draws(places, 3).groupBy("resample").agg(
+        F.sum("times").alias("n"), F.sum(F.when(F.col("position") >= border, F.col("times"))).alias("far"), F.count("*").alias("different"), F.max("position").alias("top")
+    )
+    rows = draws.collect()
+    assert len(rows) == 3 and len({r.different for r in rows}) == 3
+    for r in rows:
+        assert r.n == n and r.top < n
+        assert abs(r.far - (n - border)) < 2500  # about six deviations
+        assert abs(r.different - n * (1 - 1 / 2.718281828)) < 2500
+    m = 600_000  # not a divisor of 1,000,003: the first 400,003 had twice the weight
+    low = resample.hashed_draws(spark.range(m).withColumnRenamed("id", "position"), 1).filter("position < 400003").agg(F.sum("times")).first()[0]
+    assert abs(low - 400_003) < 2500
