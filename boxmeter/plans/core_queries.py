@@ -200,7 +200,7 @@ def bootstrap_all_metrics(spark: SparkSession, d: str) -> DataFrame:
     images, gt, pred, pairs = views.pairs(spark, d)
     stats = resample.statistics(images, gt, pred, pairs)
     numbered = resample.positions(images)
-    return resample.intervals(resample.resampled_metrics(stats, numbered, resample.hashed_draws(numbered, 50)))
+    return resample.intervals(resample.resampled_metrics(stats, numbered, resample.hashed_draws(numbered)))
 
 
 # ---------------------------------------------------------------- geometry, duplicates, tiles, before and after

@@ -208,3 +208,34 @@ def test_every_position_can_be_drawn_evenly(spark):
     m = 600_000  # not a divisor of 1,000,003: the first 400,003 had twice the weight
     low = resample.hashed_draws(spark.range(m).withColumnRenamed("id", "position"), 1).filter("position < 400003").agg(F.sum("times")).first()[0]
     assert abs(low - 400_003) < 2500
+
+
+def test_intervals_equal_brute_force(spark):
+    import numpy as np
+
+    rows = [(f"i{k}", k, k % 4, k % 3, k % 5) for k in range(12)]
+    counts = [c for c in resample.statistics(*_empty_evaluation(spark)).columns if c != "image_id"]
+    stats = spark.createDataFrame(rows, "image_id string, position long, tp long, fp long, fn long")
+    places = stats.select("image_id", "position")
+    full = stats.drop("position").select("image_id", "tp", "fp", "fn", *[F.lit(0).alias(c) for c in counts if c not in ("tp", "fp", "fn")])
+    draws = resample.hashed_draws(places).cache()
+    times = np.zeros((resample.RESAMPLES, 12))
+    for r in draws.collect():
+        times[r.resample, r.position] = r.times
+    tp, fp, fn = (times @ np.array([r[c] for r in rows]) for c in (2, 3, 4))
+    got = {r.metric: r for r in resample.intervals(resample.resampled_metrics(full, places, draws)).collect()}
+    for metric, values in (("recall", tp / (tp + fn)), ("precision", tp / (tp + fp))):
+        assert got[metric].ci95_low == pytest.approx(np.percentile(values, 2.5)) and got[metric].ci95_high == pytest.approx(np.percentile(values, 97.5))
+        assert got[metric].resamples_used == resample.RESAMPLES == 2000
+
+
+def _empty_evaluation(spark):
+    images = spark.createDataFrame([], "image_id string, status string")
+    gt, pred = table(spark, [("a", 0, [0, 0, 1, 1], "crack", "minor")]), table(spark, [("a", 0, [0, 0, 1, 1], "crack", "minor", 0.9)], True)
+    return images, gt, pred, evaluate.matched_pairs(images, gt, pred)
+
+
+def test_the_query_draws_all_resamples(spark, data):
+    from boxmeter.plans import core_queries
+
+    assert {r.metric: r.resamples_used for r in core_queries.bootstrap_all_metrics(spark, data).collect()}["recall"] == resample.RESAMPLES
