@@ -130,23 +130,24 @@ def _same_place_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Da
     level = F.ceil(F.log2(F.greatest(F.lit(1e-9), F.col("box")[2], F.col("box")[3])))
     cell = lambda i, k: F.floor((F.col("box")[i] + F.col("box")[i + 2] / 2) / F.pow(F.lit(2.0), F.col(k)))
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    kept = lambda df, name: df.select("image_id", "damage_type", F.col("idx").cast("long").alias(name), "box", level.alias("own"))
+    # boxes without a type are of one type, as in the fold
+    kept = lambda df, name: df.select("image_id", F.coalesce("damage_type", F.lit("")).alias("damage_type"), F.col("damage_type").isNull().alias("untyped"), F.col("idx").cast("long").alias(name), "box", level.alias("own"))
     l, r = kept(left, "a"), kept(right, "b")
     top = l.select("image_id", "own").union(r.select("image_id", "own")).groupBy("image_id").agg(F.max("own").alias("top"))
 
     def large(df: DataFrame, name: str) -> DataFrame:
         at = df.withColumn("k", F.col("own")).withColumn("cx", cell(0, "k")).withColumn("cy", cell(1, "k"))
-        return at.select("image_id", "damage_type", "k", "cx", "cy", name, F.col("box").alias(f"{name}_box"))
+        return at.select("image_id", "damage_type", "untyped", "k", "cx", "cy", name, F.col("box").alias(f"{name}_box"))
 
     def small(df: DataFrame, name: str) -> DataFrame:
         at = df.join(top, "image_id").withColumn("k", F.explode(F.sequence("own", "top")))
         at = at.withColumn("cx", F.explode(F.transform(near, lambda d: cell(0, "k") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: cell(1, "k") + d)))
-        return at.select("image_id", "damage_type", "k", "cx", "cy", name, F.col("box").alias(f"{name}_box"))
+        return at.select("image_id", "damage_type", "untyped", "k", "cx", "cy", name, F.col("box").alias(f"{name}_box"))
 
-    on = ["image_id", "damage_type", "k", "cx", "cy"]
-    columns = ["image_id", "damage_type", "a", "b", "a_box", "b_box"]
+    on = ["image_id", "damage_type", "untyped", "k", "cx", "cy"]
+    columns = ["image_id", "damage_type", "untyped", "a", "b", "a_box", "b_box"]
     met = large(l, "a").join(small(r, "b"), on).select(*columns).union(small(l, "a").join(large(r, "b"), on).select(*columns))
-    return met.filter(same_place(F.col("a_box"), F.col("b_box"), threshold)).select("image_id", "damage_type", "a", "b").distinct()
+    return met.filter(same_place(F.col("a_box"), F.col("b_box"), threshold)).select("image_id", F.when(~F.col("untyped"), F.col("damage_type")).alias("damage_type"), "a", "b").distinct()
 
 
 def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +172,10 @@ def suppress_duplicates(boxes: DataFrame, threshold: float, fold_boxes: int = FO
     ``boxes`` has image_id, idx, damage_type, confidence, box.  A prediction is
     compared with kept ones of its own type only, so types are folded apart;
     images with more than ``fold_boxes`` boxes go in rounds over near pairs.
+    Boxes without a type are of one type.  Rows of one image_id and idx are one
+    box, that of the strongest row.
     """
+    boxes = _one_per_index(boxes)
     big = boxes.groupBy("image_id").count().filter(F.col("count") > fold_boxes).select("image_id")
     if not is_empty(big := cut(big)):
         rest = _suppress_in_rounds(boxes.join(big, "image_id", "left_semi"), threshold)
@@ -179,6 +183,12 @@ def suppress_duplicates(boxes: DataFrame, threshold: float, fold_boxes: int = FO
     return _suppress_by_fold(boxes, threshold)
 
 
+def _one_per_index(boxes: DataFrame) -> DataFrame:
+    first = F.min(F.struct((-F.col("confidence")).alias("rank"), "damage_type", "box")).alias("b")
+    one = boxes.groupBy("image_id", F.col("idx").cast("long").alias("idx")).agg(first)
+    return one.select("image_id", "idx", "b.damage_type", (-F.col("b.rank")).alias("confidence"), "b.box")
+
+
 def _suppress_by_fold(boxes: DataFrame, threshold: float) -> DataFrame:
     per = boxes.groupBy("image_id", "damage_type").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), F.col("idx").cast("long").alias("idx"), "box"))).alias("b")
@@ -194,7 +204,7 @@ def second_look(found: DataFrame, fresh: DataFrame, threshold: float, fold_boxes
     """(image_id, idx, look): all boxes of the first look, and those of the second that repeat none of them nor each other."""
     seen = _same_place_pairs(found, fresh, threshold).select("image_id", F.col("b").alias("idx")).distinct()
     new = suppress_duplicates(fresh.withColumn("idx", F.col("idx").cast("long")).join(seen, ["image_id", "idx"], "left_anti"), threshold, fold_boxes)
-    return found.select("image_id", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("look")).unionByName(new.select("image_id", "idx", F.lit(2).alias("look")))
+    return found.select("image_id", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("look")).distinct().unionByName(new.select("image_id", "idx", F.lit(2).alias("look")))
 
 
 def existing_before(before: DataFrame, after: DataFrame, reach: float) -> DataFrame:

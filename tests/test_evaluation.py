@@ -239,3 +239,20 @@ def test_the_query_draws_all_resamples(spark, data):
     from boxmeter.plans import core_queries
 
     assert {r.metric: r.resamples_used for r in core_queries.bootstrap_all_metrics(spark, data).collect()}["recall"] == resample.RESAMPLES
+
+
+def test_fold_and_rounds_agree_on_nulls_and_copies(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, k, [r.random() * 2, r.random() * 2, 1.0, 1.0], r.choice([None, "", "crack"]), "minor", r.choice([0.5, 0.7, 0.9])) for i in "ab" for k in range(25)]
+    rows += [(i, k, [0.0, 0.0, 1.0, 1.0], None, "minor", c) for i, k, c in [("c", 0, 0.9), ("c", 1, 0.8), ("c", 1, 0.8), ("c", 2, 0.95), ("c", 2, 0.1)]]
+    rows += [("d", 0, [0.0, 0.0, 1.0, 1.0], "crack", "minor", 0.9), ("d", 0, [5.0, 0.0, 1.0, 1.0], "crack", "minor", 0.4)]
+    boxes = table(spark, rows + rows[:20], True)
+    fold = sorted(tuple(x) for x in matching.suppress_duplicates(boxes, 0.3, 1000).collect())
+    rounds = sorted(tuple(x) for x in matching.suppress_duplicates(boxes, 0.3, 0).collect())
+    assert fold == rounds and len(fold) == len(set(fold))
+    assert [x for x in fold if x[0] in "cd"] == [("c", 2), ("d", 0)]
+    first = table(spark, [("c", 7, [0.0, 0.0, 1.0, 1.0], None, "minor")] * 2)
+    looks = [sorted(tuple(x) for x in matching.second_look(first, boxes.filter("image_id >= 'c'"), 0.3, n).collect()) for n in (0, 1000)]
+    assert looks[0] == looks[1] == [("c", 7, 1), ("d", 0, 2)]
