@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxmeter.functions.text import DAMAGE_RULES, PART_RULES, map_name
@@ -78,6 +78,14 @@ def sheet_rows(annotations: DataFrame, images: DataFrame, sample: DataFrame) ->
     )
 
 
+def _row_errors() -> list[Column]:
+    bad = [F.when(F.col("true_type").isNotNull() & F.col("damage_type").isNull(), "has no row in the labeling sheet"),
+           F.when(F.col("true_type").isNull(), "does not belong to the selected images"),
+           F.when(F.col("damage_type") != F.col("true_type"), "damage_type differs from the dataset")]
+    bad += [F.when(F.col("true_type").isNotNull() & F.col("damage_type").isNotNull() & ~F.coalesce(F.col(f).isin(v), F.lit(False)), f"{f} is not allowed") for f, v in LABEL_FIELDS.items()]
+    return bad
+
+
 def integrity_errors(annotations: DataFrame, sample: DataFrame, sheet: DataFrame) -> DataFrame:
     """(annotation_id, error): everything that keeps a sheet from becoming ground truth.
 
@@ -89,14 +97,22 @@ def integrity_errors(annotations: DataFrame, sample: DataFrame, sheet: DataFrame
     twice = sheet.groupBy("annotation_id").agg(F.count("*").alias("n")).filter("n > 1").select("annotation_id", F.lit("appears twice").alias("error"))
     one = sheet.dropDuplicates(["annotation_id"])
     both = expected.select("annotation_id", F.col("damage_type").alias("true_type")).join(one, "annotation_id", "full_outer")
-    bad = [F.when(F.col("true_type").isNotNull() & F.col("damage_type").isNull(), "has no row in the labeling sheet"),
-           F.when(F.col("true_type").isNull(), "does not belong to the selected images"),
-           F.when(F.col("damage_type") != F.col("true_type"), "damage_type differs from the dataset")]
-    bad += [F.when(F.col("true_type").isNotNull() & F.col("damage_type").isNotNull() & ~F.coalesce(F.col(f).isin(v), F.lit(False)), f"{f} is not allowed") for f, v in LABEL_FIELDS.items()]
-    rows = both.select("annotation_id", F.explode(F.array_compact(F.array(*bad))).alias("error"))
+    rows = both.select("annotation_id", F.explode(F.array_compact(F.array(*_row_errors()))).alias("error"))
     return rows.unionByName(twice).unionByName(unknown.select(F.col("image_id").alias("annotation_id"), F.lit("image is not in the annotation file").alias("error")))
 
 
+def integrity_errors_by(annotations: DataFrame, sample: DataFrame, sheets: DataFrame, by: str) -> DataFrame:
+    """(by, annotation_id, error): ``integrity_errors`` of every sheet at once; ``by`` names the sheet of a row of ``sheets``."""
+    each = sheets.select(by).distinct()
+    chosen = sample.select("image_id").distinct()
+    expected = annotations.join(chosen, "image_id", "left_semi").select("annotation_id", F.col("damage_type").alias("true_type")).crossJoin(F.broadcast(each))
+    unknown = chosen.join(annotations.select("image_id").distinct(), "image_id", "left_anti").crossJoin(F.broadcast(each))
+    twice = sheets.groupBy(by, "annotation_id").agg(F.count("*").alias("n")).filter("n > 1").select(by, "annotation_id", F.lit("appears twice").alias("error"))
+    both = expected.join(sheets.dropDuplicates([by, "annotation_id"]), [by, "annotation_id"], "full_outer")
+    rows = both.select(by, "annotation_id", F.explode(F.array_compact(F.array(*_row_errors()))).alias("error"))
+    return rows.unionByName(twice).unionByName(unknown.select(by, F.col("image_id").alias("annotation_id"), F.lit("image is not in the annotation file").alias("error")))
+
+
 def ground_truth(annotations: DataFrame, images: DataFrame, sample: DataFrame, sheet: DataFrame) -> DataFrame:
     """One row per sampled image with its labelled damages in order of annotation."""
     d = annotations.join(sheet.select("annotation_id", "part", "severity", "action"), "annotation_id")

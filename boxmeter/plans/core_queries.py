@@ -478,6 +478,16 @@ def sheet_errors(spark: SparkSession, d: str) -> DataFrame:
     return errors.filter("error <> 'image is not in the annotation file'")
 
 
+@query(None)
+def sheet_errors_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """(annotator, annotation_id, error): every kind of error in the sheet of every annotator; an image without annotations stands with its image_id, once for each."""
+    labels = read(spark, d, "labels_test_b")
+    annotations = labels.groupBy("annotation_id").agg(F.min("image_id").alias("image_id"), F.min("damage_type").alias("damage_type"))
+    last = sampling.newest_per_key(labels.filter("annotator IS NOT NULL"), ["annotator", "annotation_id"], [F.desc("labeled_at"), F.desc("loaded_at")])
+    sheets = last.select("annotator", "annotation_id", "damage_type", *[F.lower(F.trim(f)).alias(f) for f in LABEL_FIELDS])
+    return conversion.integrity_errors_by(annotations, read(spark, d, "test_examples"), sheets, "annotator")
+
+
 # ---------------------------------------------------------------- history
 
 

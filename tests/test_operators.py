@@ -225,3 +225,29 @@ def test_runs(spark):
     assert [tuple(r.x) for r in df.collect()] == [(True, 1568, 500), (False, 100, 50), (True, 100, 50), (True, 1568, 1)]
     answers = spark.createDataFrame([("success",), ("error",), (None,)], "status string")
     assert tuple(runs.summary(answers).first()) == (3, 2)
+
+
+def test_errors_of_every_sheet(spark):
+    from boxmeter.operators import conversion
+
+    annotations = spark.createDataFrame([(1, 10, "crack"), (2, 10, "scratch"), (3, 11, "crack")], "annotation_id long, image_id long, damage_type string")
+    sample = spark.createDataFrame([(10,), (12,)], "image_id long")
+    columns = "annotator string, annotation_id long, damage_type string, part string, severity string, action string"
+    rows = [("a", 1, "crack", "hood", "minor", "repair"), ("a", 3, "crack", "hood", "minor", "repair"), ("b", 1, "dent", "hood", "minor", "none"), ("b", 2, "scratch", "hood", "minor", "repair"), ("b", 2, "scratch", "hood", "minor", "repair")]
+    sheets = spark.createDataFrame(rows, columns)
+    got = sorted(tuple(r) for r in conversion.integrity_errors_by(annotations, sample, sheets, "annotator").collect())
+    want = sorted((a, *r) for a in "ab" for r in conversion.integrity_errors(annotations, sample, sheets.filter(f"annotator = '{a}'").drop("annotator")).collect())
+    assert got == want
+    assert {(r[0], r[1]) for r in got if r[2] == "image is not in the annotation file"} == {("a", 12), ("b", 12)}
+    assert ("a", 2, "has no row in the labeling sheet") in got and ("a", 3, "does not belong to the selected images") in got and ("b", 2, "appears twice") in got
+
+
+def test_the_query_checks_all_sheets_and_kinds(spark, data):
+    from boxmeter.plans import core_queries
+
+    rows = core_queries.sheet_errors_of_all(spark, data)
+    labels, sample = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("labels_test_b", "test_examples"))
+    annotators = labels.select("annotator").filter("annotator IS NOT NULL").distinct().count()
+    missing = sample.select("image_id").distinct().join(labels, "image_id", "left_anti").count()
+    assert rows.filter("error = 'image is not in the annotation file'").count() == missing * annotators > 0
+    assert rows.select("annotator").distinct().count() == annotators > 1
