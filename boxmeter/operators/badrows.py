@@ -25,8 +25,10 @@ START, BARE, QUOTED, CLOSED = range(4)
 _Q, _S, _O, _END = range(4)
 #: Costs are packed as total, inserted quotes, deleted quotes, inserted and deleted separators, so that a minimum is also the tally of its edits.
 _BITS = 12
+_WIDE_BITS = 40
+#: Symbols of a line that the narrow counters serve.
+_NARROW = 4096
 _UNIT = 1 << (4 * _BITS)
-_INS_Q, _DEL_Q, _INS_S, _DEL_S = (_UNIT + (1 << (_BITS * k)) for k in (3, 2, 1, 0))
 _NEVER = np.int64(1) << 62
 _EDIT_NAMES = [("insert quote", 3), ("delete quote", 2), ("insert separator", 1), ("delete separator", 0)]
 _ID = re.compile(r"0*[1-9][0-9]*")
@@ -69,41 +71,46 @@ def unedited(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return whole & (mode != QUOTED), cells
 
 
-def cheapest_edits(lines: list[np.ndarray], cells: int) -> np.ndarray:
-    """The packed cost of the cheapest edits that make each line ``cells`` well-quoted cells."""
+def cheapest_edits(lines: list[np.ndarray], cells: int, bits: int = _BITS) -> np.ndarray:
+    """The packed cost of the cheapest edits that make each line ``cells`` well-quoted cells.
+
+    Counters of more than ``_BITS`` are Python integers, which have no bound.
+    """
+    kind, never = (np.int64, _NEVER) if bits <= _BITS else (object, _never(bits))
+    ins_q, del_q, ins_s, del_s = ((1 << (4 * bits)) + (1 << (bits * k)) for k in (3, 2, 1, 0))
     table = _padded(lines)
     b, width = table.shape
-    cost = np.full((b, 4, cells), _NEVER, np.int64)
+    cost = np.full((b, 4, cells), never, kind)
     cost[:, START, 0] = 0
 
     def add(a: np.ndarray, edit: int) -> np.ndarray:
-        return np.where(a < _NEVER, a + edit, _NEVER)
+        return np.where(a < never, a + edit, never)
 
     def insert(c: np.ndarray) -> None:
         """Insertions between two symbols; a separator moves one cell on, so cells go in order."""
         for k in range(cells):
             for _ in range(2):
-                c[:, QUOTED, k] = np.minimum(c[:, QUOTED, k], add(c[:, START, k], _INS_Q))
-                c[:, CLOSED, k] = np.minimum(c[:, CLOSED, k], add(c[:, QUOTED, k], _INS_Q))
-                c[:, QUOTED, k] = np.minimum(c[:, QUOTED, k], add(c[:, CLOSED, k], _INS_Q))
+                c[:, QUOTED, k] = np.minimum(c[:, QUOTED, k], add(c[:, START, k], ins_q))
+                c[:, CLOSED, k] = np.minimum(c[:, CLOSED, k], add(c[:, QUOTED, k], ins_q))
+                c[:, QUOTED, k] = np.minimum(c[:, QUOTED, k], add(c[:, CLOSED, k], ins_q))
             if k + 1 < cells:
                 least = c[:, [START, BARE, CLOSED], k].min(axis=1)
-                c[:, START, k + 1] = np.minimum(c[:, START, k + 1], add(least, _INS_S))
+                c[:, START, k + 1] = np.minimum(c[:, START, k + 1], add(least, ins_s))
 
     insert(cost)
     for j in range(width):
         s = table[:, j]
-        new = np.full_like(cost, _NEVER)
-        shift = np.full((b, cells), _NEVER, np.int64)
+        new = np.full_like(cost, never)
+        shift = np.full((b, cells), never, kind)
         shift[:, 1:] = cost[:, [START, BARE, CLOSED], :-1].min(axis=1)
         q, sep, other = (s == k for k in (_Q, _S, _O))
         new[q, QUOTED] = np.minimum(cost[q, START], cost[q, CLOSED])
         new[q, CLOSED] = cost[q, QUOTED]
-        new[q] = np.minimum(new[q], add(cost[q], _DEL_Q))
+        new[q] = np.minimum(new[q], add(cost[q], del_q))
         new[sep, START] = shift[sep]
         new[sep, QUOTED] = cost[sep, QUOTED]
         for m in (START, BARE, CLOSED):
-            new[sep, m] = np.minimum(new[sep, m], add(cost[sep, m], _DEL_S))
+            new[sep, m] = np.minimum(new[sep, m], add(cost[sep, m], del_s))
         new[other, BARE] = np.minimum(cost[other, START], cost[other, BARE])
         new[other, QUOTED] = cost[other, QUOTED]
         live = s != _END
@@ -113,11 +120,15 @@ def cheapest_edits(lines: list[np.ndarray], cells: int) -> np.ndarray:
     return cost[:, [START, BARE, CLOSED], cells - 1].min(axis=1)
 
 
-def edit_text(packed: int) -> str:
+def _never(bits: int) -> int:
+    return 1 << (6 * bits)
+
+
+def edit_text(packed: int, bits: int = _BITS) -> str:
     """The edits of a packed cost in words, such as ``insert quote 1``."""
-    if packed >= _NEVER:
+    if packed >= (_NEVER if bits <= _BITS else _never(bits)):
         return ""
-    tally = [(name, (packed >> (_BITS * k)) & ((1 << _BITS) - 1)) for name, k in _EDIT_NAMES]
+    tally = [(name, (packed >> (bits * k)) & ((1 << bits) - 1)) for name, k in _EDIT_NAMES]
     return "; ".join(f"{name} {n}" for name, n in tally if n)
 
 
@@ -146,7 +157,7 @@ def is_header(line: str) -> bool:
     )
 
 
-def _parse(lines: list[str], seps: list[str], max_symbols: int) -> list[tuple]:
+def _parse(lines: list[str], seps: list[str], max_symbols: int | None) -> list[tuple]:
     """(cells, reason, detail, edits) of each line; reason 'header' or 'blank' marks lines that are no rows."""
     out: list[tuple | None] = [None] * len(lines)
     walk: list[int] = []
@@ -165,12 +176,15 @@ def _parse(lines: list[str], seps: list[str], max_symbols: int) -> list[tuple]:
         sym = [symbols(lines[i], seps[i]) for i in some]
         whole, cells = unedited(sym)
         broken = [k for k in range(len(some)) if not whole[k] or cells[k] != len(SHEET_COLUMNS)]
-        mend = [k for k in broken if len(sym[k]) <= max_symbols]
+        mend = [k for k in broken if len(sym[k]) <= min(_NARROW, max_symbols or _NARROW)]
         edits = dict(zip(mend, cheapest_edits([sym[k] for k in mend], len(SHEET_COLUMNS)).tolist())) if mend else {}
+        texts = {k: edit_text(e) for k, e in edits.items()}
         for k in broken:
+            if k not in texts and (max_symbols is None or len(sym[k]) <= max_symbols):  # a long line goes alone, with wider counters
+                texts[k] = edit_text(cheapest_edits([sym[k]], len(SHEET_COLUMNS), _WIDE_BITS)[0], _WIDE_BITS)
             reason = "quoting" if not whole[k] else "columns"
             detail = None if reason == "quoting" else str(int(cells[k]))
-            out[some[k]] = (None, reason, detail, edit_text(edits[k]) if k in edits else None)
+            out[some[k]] = (None, reason, detail, texts.get(k))
     for i, line in enumerate(lines):
         if out[i] is None:
             cells = split_cells(line, seps[i])
@@ -179,14 +193,16 @@ def _parse(lines: list[str], seps: list[str], max_symbols: int) -> list[tuple]:
     return out
 
 
-def parse_lines(df: DataFrame, max_symbols: int = 4096) -> DataFrame:
+def parse_lines(df: DataFrame, max_symbols: int | None = _NARROW) -> DataFrame:
     """Parse the sheet lines of ``df`` (sheet, line_no, raw, received_at).
 
     Result, one row per line that is neither header nor blank: sheet, line_no,
     cells (null where the line has no cells), reason (null: loads; quoting,
     columns or value), detail (number of cells, or the columns with bad values)
     and edits (the cheapest mend; null where a line has more than
-    ``max_symbols`` quotes, separators and runs between them).  The separator is
+    ``max_symbols`` quotes, separators and runs between them, never if that is
+    None: lines beyond ``_NARROW`` go alone with wider counters, in time that
+    grows with their length).  The separator is
     the one that line 1 of the sheet has more of, ``;`` on ties and where line 1
     is missing.  Of several deliveries of a line the first received counts.
     Null lines are blank.

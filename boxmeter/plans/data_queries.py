@@ -71,8 +71,8 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_edits(spark: SparkSession, d: str) -> DataFrame:
-    """The failed lines with the cheapest mend."""
-    return badrows.rejected(badrows.parse_lines(_read(spark, d, "label_lines")))
+    """The failed lines with the cheapest mend, lines of any length."""
+    return badrows.rejected(badrows.parse_lines(_read(spark, d, "label_lines"), None))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

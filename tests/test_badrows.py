@@ -85,3 +85,19 @@ def test_header_forms():
     head = B.SHEET_COLUMNS
     assert B.is_header("﻿" + ",".join(head)) and B.is_header(";".join(f'"{c}"' for c in head)) and not B.is_header(GOOD)
     assert list(itertools.chain(B.split_cells('"a;b";c', ";"))) == ["a;b", "c"]
+
+
+def test_long_lines_have_edits_too():
+    for line in ('a;"b', 'a"b;c;d"', '";;"x";', "a;b;c;d"):
+        sym = [B.symbols(line, ";")]
+        assert B.edit_text(B.cheapest_edits(sym, 3, B._WIDE_BITS)[0], B._WIDE_BITS) == B.edit_text(int(B.cheapest_edits(sym, 3)[0]))
+    assert B._parse([";" * 5010], [";"], None) == [(None, "columns", "5011", "insert quote 2")]
+    assert B._parse([";" * 5010], [";"], 6000)[0][3] == "insert quote 2" and B._parse([";" * 5010], [";"], 4096)[0][3] is None
+
+
+def test_the_edits_query_mends_long_lines(spark, tmp_path):
+    from boxmeter.plans import data_queries
+
+    df = spark.createDataFrame([("u", 9, ";" * 5010, None)], "sheet string, line_no long, raw string, received_at timestamp_ntz")
+    df.write.parquet(f"{tmp_path}/label_lines.parquet")
+    assert [r.edits for r in data_queries.p3_edits(spark, str(tmp_path)).collect()] == ["insert quote 2"]
