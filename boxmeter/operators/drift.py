@@ -3,8 +3,9 @@
 The top-level fields of each file are read through the structural index.  From
 one file of a series to the next, the fields that end and the fields that begin
 make two small schema graphs of names, words, kinds of content, values and
-nested members.  Match scores flood over the graph of pairs until they settle;
-the best one-to-one correspondences that the content bears out are renamings.
+types, without nested members.  Match scores flood over the graph of pairs until
+they settle.  Renamings are one-to-one correspondences that the content bears
+out; where it bears out several alike, the flooded score decides.
 Correspondences of the whole corpus give one table with the same columns and
 types for all files.
 """
