@@ -3,10 +3,12 @@
 Method, in SQL throughout: count word trigrams inside texts against trigrams at
 ends, join the last trigram of each text, and flag those that are frequent
 inside but almost never terminal.  A trigram is terminal where a sentence or a
-text ends.  The last word may itself be a piece of a word, so the same counts
-are also kept for beginnings of words; and where a trigram is too rare, shorter
-ones decide.  The opening of the sentence is a second context: after "there is a
-... on the ..." something follows, though the same words may end other sentences.
+text ends.  The last word may itself be a piece of a word, so a trigram also
+goes on inside where a longer word that begins with it stands in its place; and
+where a trigram is too rare, its rates lean on the bigram's and the word's.
+What carrying systems set behind a cut (dots, marks in brackets, signatures) is
+taken off first and decides nothing.  An exact check follows for texts whose trigrams
+are too rare to tell: a structure that is left open goes on.
 """
 
 from __future__ import annotations
@@ -15,105 +17,115 @@ from pyspark.sql import DataFrame
 
 from boxmeter.session import cut
 
-#: What a carrying system or an author sets behind a text: blanks, dots, marks in brackets, replacement characters, a signature line.
-TAIL = r"(?:[\s �…]|\.{2,}|[\[(](?:\.{2,}|…|truncated|cut|gekürzt|обрезано)[\])]|\n-- [^\n]*)+$"
-#: Marks in brackets say by themselves that something is missing.
-MARK = r"[\[(](?:\.{2,}|…|truncated|cut|gekürzt|обрезано)[\])][\s ]*$"
-SENTENCE = r"(?<=[.?!][\"')\]”»]{0,2})[\s ]+(?![\s \p{Ll}\p{N}])|[\s ]*\n[\s ]*"
-NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*"
-TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s \p{L}\p{M}\p{N}]"
-#: Up to the second word of a sentence.
-OPENING = r"^[^\p{L}]*[\p{L}\p{M}]*(?:[^\p{L}]+[\p{L}\p{M}]+)?"
-#: Tokens longer than this are one and the same long word.
-LONG = 48
-
-_SENTENCES = """
+#: What may stand behind the last word, read backwards from the end of the text: blanks, dots, dots in brackets, replacement characters, a signature line.
+TAIL_BACKWARDS = r"^(?:[\s\u00a0\ufffd…]++|\.{2,}+|[\])](?:\.{2,}+|…++)[\[(]|[^\n]*+(?<= --)\n)*+"
+#: Words, numbers, closing marks, the blanks between two sentences or lines, and any other character.
+#: A line break behind a comma, a colon or an opening bracket, or before a closing bracket, ends nothing.
+TOKEN = (
+    r"[\p{L}\p{M}]+|\p{N}+(?:[.,:]\p{N}+)*|[.?!]+|(?<=[.?!][\"')\]”»]{0,2})[\s\u00a0]+(?![\s\u00a0\p{Ll}\p{N}])"
+    r"|(?<![,:{\[(\s\u00a0])[\s\u00a0]*\n[\s\u00a0]*(?![\s\u00a0})\]])|[^\s\u00a0]"
+)
+#: Longer words are looked up by so many first letters, then compared whole.
+LEAD = 4
+
+# Every position of every sentence with its trigram and the word before it, and where it stands.
+# Positions inside are counted; the last one of each text stays a row of its own.
+_POSITIONS = """
 WITH bodies AS (
-  SELECT doc_id, xxhash64(text) AS text_hash,
-         concat(left(rtrim(text), greatest(length(rtrim(text)) - 400, 0)),
-                regexp_replace(right(rtrim(text), 400), :tail, '')) AS body,
-         rtrim(text) RLIKE :mark AS marked
-  FROM {docs}
-  WHERE text IS NOT NULL AND doc_id IS NOT NULL
-), parts AS (
-  SELECT doc_id, text_hash, marked, body,
-         filter(split(body, :sentence), s -> s <> '') AS sentences
+  SELECT doc_id, xxhash64(text) AS text_hash, left(text, length(text) - length(regexp_extract(reverse(text), :tail, 0))) AS body
+  FROM {docs} WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), tokens AS (
+  SELECT doc_id, text_hash, regexp_extract_all(body, :token, 0) AS t,
+         length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', ''))
+         OR length(body) - length(replace(body, '[', '')) > length(body) - length(replace(body, ']', ''))
+         OR ((length(body) - length(replace(body, '```', ''))) div 3) % 2 = 1 AS open_structure
   FROM bodies
+), words AS (
+  SELECT doc_id, text_hash, open_structure, w, get(t, i - 3) AS p3, get(t, i - 2) AS p2, get(t, i - 1) AS p1, get(t, i + 1) AS n1, get(t, i + 2) AS n2
+  FROM tokens LATERAL VIEW posexplode(t) AS i, w
+), marked AS (
+  SELECT *, n1 IS NULL OR n1 < '!' OR left(n1, 1) = '\\u00a0' AS n1_gap, left(n1, 1) IN ('.', '?', '!') AS n1_stop,
+         n2 IS NULL OR n2 < '!' OR left(n2, 1) = '\\u00a0' AS n2_gap,
+         coalesce(p1 < '!' OR left(p1, 1) = '\\u00a0', true) AS g1, coalesce(p2 < '!' OR left(p2, 1) = '\\u00a0', true) AS g2,
+         coalesce(p3 < '!' OR left(p3, 1) = '\\u00a0', true) AS g3
+  FROM words
+  WHERE w >= '!' AND left(w, 1) <> '\\u00a0'
+), placed AS (
+  SELECT n1 IS NULL OR n1_stop AND n2 IS NULL AS final, n1_gap OR n1_stop AND n2_gap AS sentence_end,
+         doc_id, text_hash, open_structure, coalesce(n1_stop, false) OR left(p1, 1) IN ('.', '?', '!') AND w IN ('"', "'", ')', ']', '\\u201d', '\\u00bb') AS ended, n1 <=> '.' AS stop,
+         CASE WHEN g1 OR g2 OR g3 THEN '^' WHEN p3 >= '0' AND p3 < ':' THEN '0' ELSE lower(p3) END AS x,
+         CASE WHEN g1 OR g2 THEN '^' WHEN p2 >= '0' AND p2 < ':' THEN '0' ELSE lower(p2) END AS a,
+         CASE WHEN g1 THEN '^' WHEN p1 >= '0' AND p1 < ':' THEN '0' ELSE lower(p1) END AS b,
+         CASE WHEN w >= '0' AND w < ':' THEN '0' ELSE lower(w) END AS c
+  FROM marked
+  WHERE NOT (left(w, 1) IN ('.', '?', '!') AND n1_gap)
 )
-SELECT doc_id, text_hash, marked,
-       length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', ''))
-       OR length(body) - length(replace(body, '[', '')) > length(body) - length(replace(body, ']', ''))
-       OR ((length(body) - length(replace(body, '```', ''))) div 3) % 2 = 1 AS open_structure,
-       size(sentences) AS n_sentences,
-       transform(sentences, s -> named_struct(
-         'tokens', transform(regexp_extract_all(regexp_replace(lower(regexp_replace(s, '[.?!]+$', '')), :number, '0'), :token, 0),
-                             w -> CASE WHEN length(w) > :long THEN '~' ELSE w END),
-         'head', trim(regexp_replace(regexp_extract(lower(s), :opening, 0), '[^\\p{{L}}\\p{{M}}]+', ' ')),
-         'ended', s RLIKE '[.?!][\\"\\')\\\\]\\u201d\\u00bb]*$',
-         'stop', s RLIKE '[^.?!][.]$')) AS sentences
-FROM parts
+SELECT x, a, b, c, CASE WHEN final THEN doc_id END AS doc_id,
+       count_if(NOT final AND NOT sentence_end) AS n_in, count_if(NOT final AND sentence_end) AS n_sent, count_if(final) AS n_fin,
+       max(CASE WHEN final THEN text_hash END) AS text_hash, bool_or(final AND ended) AS ended, bool_or(final AND stop) AS stop,
+       bool_or(final AND open_structure) AS open_structure
+FROM placed
+GROUP BY x, a, b, c, CASE WHEN final THEN doc_id END
 """
 
-# Every position of every sentence with its trigram, the word before, the opening of its sentence, and where it stands.
-# Positions inside are counted; the last of each text stays a row of its own.
-_POSITIONS = """
-WITH sentences AS (
-  SELECT text_hash, doc_id, marked, open_structure, n_sentences, at, s.tokens AS t, s.head, s.ended, s.stop
-  FROM {texts} LATERAL VIEW posexplode(sentences) AS at, s
-  WHERE size(s.tokens) > 0
-), positions AS (
-  SELECT at = n_sentences - 1 AND i = size(t) - 1 AS final, i = size(t) - 1 AND ended AS sentence_end,
-         doc_id, text_hash, marked, open_structure, ended, stop, head,
-         coalesce(get(t, i - 3), '^') AS x, coalesce(get(t, i - 2), '^') AS a, coalesce(get(t, i - 1), '^') AS b, get(t, i) AS c
-  FROM sentences LATERAL VIEW explode(sequence(0, size(t) - 1)) AS i
+_COUNTS = """
+WITH g4 AS (
+  SELECT x, a, b, c, sum(n_in) AS n_in, sum(n_sent) AS n_sent, sum(n_fin) AS n_fin FROM {positions} GROUP BY x, a, b, c
 )
-SELECT head, x, a, b, c, CASE WHEN final THEN doc_id END AS doc_id,
-       count_if(NOT final AND NOT sentence_end) AS n_in, count_if(NOT final AND sentence_end) AS n_sent, count_if(final) AS n_fin,
-       max(CASE WHEN final THEN text_hash END) AS text_hash, bool_or(final AND marked) AS marked,
-       bool_or(final AND open_structure) AS open_structure, bool_or(final AND ended) AS ended, bool_or(final AND stop) AS stop
-FROM positions
-GROUP BY head, x, a, b, c, CASE WHEN final THEN doc_id END
+SELECT x, a, b, c, n_in, n_sent, n_fin FROM g4
 """
 
+# The counts of the trigrams and their shorter forms at the ends of texts.
+# Longer words that go on from a last word: both sides are met by their first letters, then compared whole.
 _VERDICT = """
-WITH gh AS (
-  SELECT head, x, a, b, c, sum(n_in) AS n_in, sum(n_sent) AS n_sent, sum(n_fin) AS n_fin FROM {positions} GROUP BY head, x, a, b, c
-), g4 AS (
-  SELECT x, a, b, c, sum(n_in) AS n_in, sum(n_sent) AS n_sent, sum(n_fin) AS n_fin FROM gh GROUP BY x, a, b, c
+WITH g4 AS (
+  SELECT * FROM {counts}
 ), g3 AS (
   SELECT a, b, c, sum(n_in) AS n_in, sum(n_sent) AS n_sent, sum(n_fin) AS n_fin FROM g4 GROUP BY a, b, c
 ), g2 AS (
   SELECT b, c, sum(n_in) AS n_in, sum(n_sent) AS n_sent, sum(n_fin) AS n_fin FROM g3 GROUP BY b, c
 ), g1 AS (
   SELECT c, sum(n_in) AS n_in, sum(n_sent) AS n_sent, sum(n_fin) AS n_fin FROM g2 GROUP BY c
-), keys AS (
-  SELECT head, x, a, b, c FROM gh WHERE n_fin > 0
-), p3 AS (  -- longer words that go on from a beginning, in the same context
-  SELECT a, b, left(c, k) AS c, sum(n_in + n_sent) AS n_longer
-  FROM g3 LATERAL VIEW explode(sequence(1, length(c) - 1)) AS k
-  WHERE length(c) > 1 AND c RLIKE '^\\\\p{{L}}' GROUP BY a, b, left(c, k)
+), k3 AS (
+  SELECT DISTINCT a, b, c, left(c, :lead) AS lead FROM g4 WHERE n_fin > 0 AND c RLIKE '^\\\\p{{L}}'
+), k2 AS (
+  SELECT DISTINCT b, c, lead FROM k3
+), k1 AS (
+  SELECT DISTINCT c, lead FROM k2
+), p3 AS (
+  SELECT k.a, k.b, k.c, sum(n) AS n_longer
+  FROM k3 k JOIN (
+    SELECT a, b, c, left(c, i) AS lead, n_in + n_sent AS n FROM g3 LATERAL VIEW explode(sequence(1, least(:lead, length(c)))) AS i
+    WHERE length(c) > 1 AND n_in + n_sent > 0
+  ) g ON k.a = g.a AND k.b = g.b AND k.lead = g.lead AND g.c <> k.c AND startswith(g.c, k.c)
+  GROUP BY k.a, k.b, k.c
 ), p2 AS (
-  SELECT b, left(c, k) AS c, sum(n_in + n_sent) AS n_longer
-  FROM g2 LATERAL VIEW explode(sequence(1, length(c) - 1)) AS k
-  WHERE length(c) > 1 AND c RLIKE '^\\\\p{{L}}' GROUP BY b, left(c, k)
+  SELECT k.b, k.c, sum(n) AS n_longer
+  FROM k2 k JOIN (
+    SELECT b, c, left(c, i) AS lead, n_in + n_sent AS n FROM g2 LATERAL VIEW explode(sequence(1, least(:lead, length(c)))) AS i
+    WHERE length(c) > 1 AND n_in + n_sent > 0
+  ) g ON k.b = g.b AND k.lead = g.lead AND g.c <> k.c AND startswith(g.c, k.c)
+  GROUP BY k.b, k.c
 ), p1 AS (
-  SELECT left(c, k) AS c, sum(n_in + n_sent) AS n_longer
-  FROM g1 LATERAL VIEW explode(sequence(1, length(c) - 1)) AS k
-  WHERE length(c) > 1 AND c RLIKE '^\\\\p{{L}}' GROUP BY left(c, k)
+  SELECT k.c, sum(n) AS n_longer
+  FROM k1 k JOIN (
+    SELECT c, left(c, i) AS lead, n_in + n_sent AS n FROM g1 LATERAL VIEW explode(sequence(1, least(:lead, length(c)))) AS i
+    WHERE length(c) > 1 AND n_in + n_sent > 0
+  ) g ON k.lead = g.lead AND g.c <> k.c AND startswith(g.c, k.c)
+  GROUP BY k.c
 )
-SELECT k.head, k.x, k.a, k.b, k.c, g4.n_in AS in4, g4.n_sent AS sent4, g4.n_fin AS fin4,
+SELECT g4.x, g4.a, g4.b, g4.c, g4.n_in AS in4, g4.n_sent AS sent4, g4.n_fin AS fin4,
        g3.n_in AS in3, g3.n_sent AS sent3, g3.n_fin AS fin3, g2.n_in AS in2, g2.n_sent AS sent2, g2.n_fin AS fin2,
-       g1.n_in AS in1, g1.n_sent AS sent1, g1.n_fin AS fin1, gh.n_in AS inh, gh.n_sent AS senth, gh.n_fin AS finh,
+       g1.n_in AS in1, g1.n_sent AS sent1, g1.n_fin AS fin1,
        coalesce(p3.n_longer, 0) AS longer3, coalesce(p2.n_longer, 0) AS longer2, coalesce(p1.n_longer, 0) AS longer1
-FROM keys k
-JOIN g4 ON k.x = g4.x AND k.a = g4.a AND k.b = g4.b AND k.c = g4.c
-JOIN g3 ON k.a = g3.a AND k.b = g3.b AND k.c = g3.c
-JOIN g2 ON k.b = g2.b AND k.c = g2.c
-JOIN g1 ON k.c = g1.c
-JOIN gh ON k.head = gh.head AND k.x = gh.x AND k.a = gh.a AND k.b = gh.b AND k.c = gh.c
-LEFT JOIN p3 ON k.a = p3.a AND k.b = p3.b AND k.c = p3.c
-LEFT JOIN p2 ON k.b = p2.b AND k.c = p2.c
-LEFT JOIN p1 ON k.c = p1.c
+FROM g4
+JOIN g3 ON g4.a = g3.a AND g4.b = g3.b AND g4.c = g3.c
+JOIN g2 ON g4.b = g2.b AND g4.c = g2.c
+JOIN g1 ON g4.c = g1.c
+LEFT JOIN p3 ON g4.a = p3.a AND g4.b = p3.b AND g4.c = p3.c
+LEFT JOIN p2 ON g4.b = p2.b AND g4.c = p2.c
+LEFT JOIN p1 ON g4.c = p1.c
+WHERE g4.n_fin > 0
 """
 
 # A text and its copies are no evidence about themselves, so they are taken off.
@@ -122,14 +134,13 @@ _RATES = """
 WITH copies AS (
   SELECT text_hash, count(*) AS own FROM {finals} GROUP BY text_hash
 ), joined AS (
-  SELECT f.doc_id, f.ended, f.stop, f.head, f.x, f.a, f.b, f.c, f.marked, f.open_structure, c.own,
-         v.in3, v.in2, v.in1, v.inh, v.longer3, v.longer2, v.longer1, v.sent3, v.sent2, v.sent1,
+  SELECT f.doc_id, f.ended, f.stop, f.open_structure, f.x, f.a, f.b, f.c, c.own,
+         v.in3, v.in2, v.in1, v.longer3, v.longer2, v.longer1, v.sent3, v.sent2, v.sent1,
          v.fin3 - c.own AS fin3, v.fin2 - c.own AS fin2, v.fin1 - c.own AS fin1,
-         v.sent4 + v.fin4 - c.own AS end4, v.in4, v.sent3 + v.fin3 - c.own AS end3, v.sent2 + v.fin2 - c.own AS end2, v.sent1 + v.fin1 - c.own AS end1,
-         v.senth + v.finh - c.own AS endh
+         v.sent4 + v.fin4 - c.own AS end4, v.in4, v.sent3 + v.fin3 - c.own AS end3, v.sent2 + v.fin2 - c.own AS end2, v.sent1 + v.fin1 - c.own AS end1
   FROM {finals} f
   JOIN copies c ON f.text_hash = c.text_hash
-  JOIN {verdict} v ON f.head = v.head AND f.x = v.x AND f.a = v.a AND f.b = v.b AND f.c = v.c
+  JOIN {verdict} v ON f.x = v.x AND f.a = v.a AND f.b = v.b AND f.c = v.c
 ), one AS (
   SELECT *, (end1 + 0.5D) / (in1 + end1 + 0.5D) AS r1,
          (in1 + sent1 + 0.1D * fin1 + 0.5D) / (in1 + sent1 + 0.1D * fin1 + longer1 + 0.5D) AS w1
@@ -142,17 +153,14 @@ WITH copies AS (
   SELECT *, (end3 + :lean * r2) / (in3 + end3 + :lean) AS r3,
          (in3 + sent3 + 0.1D * fin3 + :lean * w2) / (in3 + sent3 + 0.1D * fin3 + longer3 + :lean) AS w3
   FROM two
-), four AS (  -- the check that follows: the word before the trigram, and the opening of the sentence
+), four AS (  -- the check that follows: the word before the trigram
   SELECT *, (end4 + :lean * r3) / (in4 + end4 + :lean) AS r4 FROM three
 )
-SELECT *, (endh + :lean * r4) / (inh + endh + :lean) AS rh,
+SELECT *,
        CASE
-         WHEN marked THEN 'mark'
+         WHEN NOT ended AND w3 < 3 * :rare THEN 'word'
+         WHEN (stop OR NOT ended) AND r3 < :rare AND r4 < :rare THEN 'trigram'
          WHEN open_structure THEN 'structure'
-         WHEN ended THEN CASE WHEN stop AND r3 < 0.3D * :rare AND r4 < 0.3D * :rare THEN 'trigram' END
-         WHEN w3 < 3 * :rare THEN 'word'
-         WHEN r3 < :rare AND r4 < :rare THEN 'trigram'
-         WHEN r4 < :rare AND (endh + :lean * r4) / (inh + endh + :lean) < :rare THEN 'opening'
        END AS reason
 FROM four
 """
@@ -161,17 +169,18 @@ FROM four
 def endings(docs: DataFrame, rare: float = 0.01, lean: float = 5.0) -> DataFrame:
     """(doc_id, reason, ...): how each text ends; reason is null where it ends as texts do.
 
+    ``trigram``: its last trigram goes on inside texts and almost never ends
+    one; ``word``: it goes on inside its last word, in the same trigram;
+    ``structure``: neither tells, but a bracket or a fence is open.
     ``rare`` is the share of terminal ones below which a trigram is almost never
     terminal; ``lean`` how many occurrences of a trigram weigh as much as its
     bigram.  Null, empty and blank texts give no row.  doc_id is taken to be unique.
     """
     spark = docs.sparkSession
-    args = {"tail": TAIL, "mark": MARK, "sentence": SENTENCE, "token": TOKEN, "number": NUMBER, "opening": OPENING, "long": LONG}
-    texts = spark.sql(_SENTENCES, args, docs=docs.select("doc_id", "text"))
-    positions = cut(spark.sql(_POSITIONS, texts=texts))
-    finals = positions.filter("doc_id IS NOT NULL")
-    verdict = spark.sql(_VERDICT, positions=positions)
-    return spark.sql(_RATES, {"rare": rare, "lean": lean}, finals=finals, verdict=verdict)
+    positions = cut(spark.sql(_POSITIONS, {"tail": TAIL_BACKWARDS, "token": TOKEN}, docs=docs.select("doc_id", "text")))
+    counts = cut(spark.sql(_COUNTS, positions=positions))
+    verdict = spark.sql(_VERDICT, {"lead": LEAD}, counts=counts)
+    return spark.sql(_RATES, {"rare": rare, "lean": lean}, finals=positions.filter("doc_id IS NOT NULL"), verdict=verdict)
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -180,11 +189,12 @@ def truncated(docs: DataFrame) -> DataFrame:
 
 
 def rates(docs: DataFrame, cut_docs: DataFrame) -> DataFrame:
-    """(source, n_texts, n_cut, cut_rate): how often each source truncates; sources without case, outer blanks and ``-`` for ``_``, null as ''."""
+    """(source, n_texts, n_cut, n_trigram, n_word, n_structure, cut_rate): how often each source truncates, and by which reason it shows; sources without case, outer blanks and ``-`` for ``_``, null as ''."""
     return docs.sparkSession.sql(
         """
         SELECT coalesce(lower(replace(trim(source), '-', '_')), '') AS source, count(*) AS n_texts,
-               count(c.doc_id) AS n_cut, count(c.doc_id) / count(*) AS cut_rate
+               count(c.doc_id) AS n_cut, count_if(c.reason = 'trigram') AS n_trigram, count_if(c.reason = 'word') AS n_word, count_if(c.reason = 'structure') AS n_structure,
+               count(c.doc_id) / count(*) AS cut_rate
         FROM (SELECT doc_id, source FROM {docs} WHERE text RLIKE '[^\\\\s\\u00a0]') d
         LEFT JOIN {cut} c ON d.doc_id = c.doc_id
         GROUP BY 1
