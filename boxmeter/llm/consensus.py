@@ -22,10 +22,13 @@ from boxmeter.schemas import LABEL_FIELDS
 from boxmeter.session import cut
 
 #: Up to so many annotators their tables are gathered on the driver and broadcast (under 2 kB each); beyond, they stay distributed and are joined to the blocks.
-BROADCAST_ANNOTATORS = 20_000
+BROADCAST_ANNOTATORS = 2_000
+#: Turns of types and shares between two passes over the items.
+TURNS = 40
 #: Pseudo-counts of a type's row in each annotator's matrix.
 STRENGTH = 12.0
-BLOCK_ITEMS = 8192
+#: Labels of a block; an item of more stands alone.
+BLOCK_LABELS = 1 << 16
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -88,10 +91,17 @@ def annotator_update(counts: np.ndarray, types: Types) -> tuple[np.ndarray, np.n
     return share, log_matrix
 
 
-def type_sums(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Counts per type; an annotator weighs less the more labels alone make the own matrix certain."""
-    damp = STRENGTH / (STRENGTH + counts.sum(axis=2, keepdims=True))
-    return np.einsum("am,akl->mkl", share, counts * damp)
+def type_sums(counts: np.ndarray, share: np.ndarray, types: Types) -> np.ndarray:
+    """Counts per type, of each annotator's labels the part that speaks for the type rather than for the own matrix.
+
+    alpha * (psi(alpha + n) - psi(alpha)) is that part of n labels; the matrices
+    made of these sums never fit worse than the ones before, so the updates
+    cannot go around in circles.
+    """
+    out = np.empty_like(types.matrix)
+    for m, a in enumerate(STRENGTH * types.matrix):
+        out[m] = np.einsum("a,akl->kl", share[:, m], a * (_digamma(a + counts) - _digamma(a)))
+    return out
 
 
 def type_update(sums: np.ndarray, shares: np.ndarray, truths: np.ndarray) -> Types:
@@ -135,8 +145,12 @@ def _pack(counted: DataFrame) -> DataFrame:
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), BLOCK_ITEMS):
-                p = b.iloc[at : at + BLOCK_ITEMS]
+            many = np.array([len(x) for x in b["w"]], np.int64)
+            edges = np.flatnonzero(np.diff((np.cumsum(many) - many) // BLOCK_LABELS)) + 1
+            for at, to in zip([0, *edges], [*edges, len(b)]):
+                p = b.iloc[at:to]
+                if not len(p):
+                    continue
                 sizes = np.array([len(x) for x in p["w"]], np.int64)
                 names, who = np.unique(np.concatenate(p["w"].to_numpy()), return_inverse=True)
                 code = np.concatenate(p["c"].to_numpy()).astype(np.int64)
@@ -259,10 +273,9 @@ def _round(blocks: DataFrame, tables: _Tables | None, types: list[Types] | None)
         yield pd.DataFrame({"total": [False] * len(total) + [True], "annotator": [*total, 0], "counts": [*total.values(), truths]})
 
     parts = _with_tables(blocks, tables).mapInPandas(sums, _STAT)
-    each = parts.select("total", "annotator", F.posexplode("counts").alias("at", "x")).groupBy("total", "annotator", "at").agg(F.sum("x").alias("x"))
-    return each.groupBy("total", "annotator").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("c")).select(
-        "total", "annotator", F.col("c.x").alias("counts")
-    )
+    # a row per task and annotator holds all its sums, so they move and are added as one row
+    added = parts.groupBy("total", "annotator").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(_WIDTH)])
+    return added.select("total", "annotator", F.array(*[f"c{i}" for i in range(_WIDTH)]).alias("counts"))
 
 
 @dataclass
@@ -274,17 +287,38 @@ class Fit:
     rounds: int
 
 
-def fit(labels: DataFrame, rounds: int = 40, tolerance: float = 1e-4, broadcast_annotators: int = BROADCAST_ANNOTATORS) -> Fit:
-    """Run the variational updates until no type's matrix and no prior moves by ``tolerance``, or ``rounds`` times."""
+def _settle_types(counts: np.ndarray, truths: np.ndarray, types: list[Types]) -> tuple[list[Types], np.ndarray]:
+    """The types that fit the annotators' counts, in turns with their shares, and the annotators' tables."""
+    new, flat = [], []
+    for f, c in enumerate(_tables_of(counts)):
+        t = types[f]
+        for _ in range(TURNS):
+            share = annotator_update(c, t)[0]
+            before, t = t, type_update(type_sums(c, share, t), share.sum(axis=0), _truth_part(truths, f))
+            if max(np.abs(before.matrix - t.matrix).max(), np.abs(before.weight - t.weight).max()) < 1e-5:
+                break
+        new.append(t)
+        flat.append(annotator_update(c, t)[1].reshape(len(c), SIZES[f] ** 2))
+    return new, np.concatenate(flat, axis=1)
+
+
+def _moved(a: list[Types], b: list[Types]) -> float:
+    return max(max(np.abs(x.matrix - y.matrix).max(), np.abs(x.prior - y.prior).max()) for x, y in zip(a, b))
+
+
+def fit(labels: DataFrame, rounds: int = 400, tolerance: float = 1e-4, broadcast_annotators: int = BROADCAST_ANNOTATORS) -> Fit:
+    """Run the variational updates until no type's matrix and no prior moves by ``tolerance``; fail after ``rounds`` that did not settle.
+
+    While the annotators' counts are on the driver, types and shares take turns
+    several times before the next pass over the items.
+    """
     counted = counted_labels(labels)
     blocks = _pack(counted)
     spark = labels.sparkSession
     types = [type_update(np.zeros_like(prototypes(k)), np.zeros(len(prototypes(k))), np.zeros(k)) for k in SIZES]
     tables: _Tables | None = None
-    stats = None
-    done = 0
     few = None
-    while done < rounds:
+    for done in range(1, rounds + 1):
         stats = _round(blocks, tables, types if tables else None)
         if few is None:
             stats = cut(stats)
@@ -295,22 +329,22 @@ def fit(labels: DataFrame, rounds: int = 40, tolerance: float = 1e-4, broadcast_
             pdf = pdf[~pdf["total"]].sort_values("annotator")
             names = pdf["annotator"].to_numpy(np.int64)
             counts = np.array(pdf["counts"].tolist(), float).reshape(-1, _WIDTH)
-            new, flat = [], []
-            for f, c in enumerate(_tables_of(counts)):
-                share, _ = annotator_update(c, types[f])
-                t = type_update(type_sums(c, share), share.sum(axis=0), _truth_part(truths, f))
-                flat.append(annotator_update(c, t)[1].reshape(len(names), SIZES[f] ** 2))
-                new.append(t)
-            tables = _Tables(names, np.concatenate(flat, axis=1))
+            new, flat = _settle_types(counts, truths, types)
+            settled = _moved(types, new) < tolerance
+            tables = _Tables(names, flat)
         else:
             stats = cut(stats)
             new, tables = _distributed_update(stats, types)
-        done += 1
-        moved = max(max(np.abs(a.matrix - b.matrix).max(), np.abs(a.prior - b.prior).max()) for a, b in zip(types, new))
+            settled = _moved(types, new) < tolerance
         types = new
-        if moved < tolerance:
-            break
-    return Fit(blocks, tables, types, stats.filter("NOT total").drop("total"), done)
+        if settled:
+            if few:
+                rows = [(int(a), c.tolist()) for a, c in zip(names, counts)]
+                annotators = spark.createDataFrame(rows, "annotator long, counts array<double>")
+            else:
+                annotators = stats.filter("NOT total").drop("total")
+            return Fit(blocks, tables, types, annotators, done)
+    raise RuntimeError(f"the consensus has not settled within {rounds} rounds")
 
 
 def _truth_part(truths: np.ndarray, f: int) -> np.ndarray:
@@ -328,7 +362,7 @@ def _distributed_update(stats: DataFrame, types: list[Types]) -> tuple[list[Type
                 row = []
                 for f, c in enumerate(_tables_of(np.array(b["counts"].tolist()))):
                     share, _ = annotator_update(c, types[f])
-                    row += [type_sums(c, share).ravel(), share.sum(axis=0)]
+                    row += [type_sums(c, share, types[f]).ravel(), share.sum(axis=0)]
                 yield pd.DataFrame({"v": [np.concatenate(row)]})
 
     total = stats.mapInPandas(sums, "v array<double>").select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
