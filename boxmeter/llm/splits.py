@@ -3,7 +3,8 @@
 Method: an incremental, persisted component table with pointer jumping for
 merges.  A component that already has a split keeps it, new components fill the
 deficits of the splits, and a merge of components of different splits is
-quarantined.
+quarantined.  A batch appends its records and keys and changes the component
+table only; rows of earlier batches are never rewritten.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxmeter.llm.components import components
-from boxmeter.session import cut
+from boxmeter.session import cut, cut_table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 QUARANTINE = "quarantine"
@@ -62,28 +63,73 @@ def session_key(name: Column) -> Column:
     )
 
 
+RECORDS, KEYS, GROUPS = "record_id bigint, group_id bigint", "key string, group_id bigint", "group_id bigint, root bigint, split string, n bigint"
+
+
 @dataclass
 class SplitTables:
-    """The persisted state: one row per record and one per key."""
+    """The state: which group a record and a key came to, and the component table of the groups.
 
-    records: DataFrame  # record_id bigint, group_id bigint, split string
-    keys: DataFrame  # key string, group_id bigint
+    ``members`` and ``key_table`` only grow: their rows name the group of the
+    time they were written.  ``groups`` has a row for every group there ever
+    was, with the group it now belongs to (root), and at the root the split and
+    the number of records.
+    """
 
-    def write(self, path: str) -> None:
-        """Persist as a new version; write versions side by side and switch by path, never in place."""
-        self.records.write.mode("errorifexists").parquet(f"{path}/records")
-        self.keys.write.mode("errorifexists").parquet(f"{path}/keys")
+    members: DataFrame  # RECORDS
+    key_table: DataFrame  # KEYS
+    groups: DataFrame  # GROUPS
+    fresh_members: DataFrame | None = None  # what the last batch added
+    fresh_keys: DataFrame | None = None
+
+    @property
+    def records(self) -> DataFrame:
+        """(record_id, group_id, split) with the groups of now."""
+        return _resolved(self.members, self.groups)
+
+    def write(self, path: str) -> int:
+        """Persist the state behind a batch and return its number.
+
+        The first call writes everything, later ones append what the batch
+        added and write the small component table anew; earlier batches are
+        never rewritten.  The component table comes last: a batch counts once
+        it is whole, so a write that was broken off is simply repeated.
+        """
+        last = _last_batch(self.groups.sparkSession, path)
+        n = last + 1
+        rows = (self.members, self.key_table) if n == 0 or self.fresh_members is None else (self.fresh_members, self.fresh_keys)
+        for table, df in zip(("members", "keys"), rows):
+            df.write.mode("overwrite").parquet(f"{path}/{table}/batch={n}")
+        self.groups.write.mode("overwrite").parquet(f"{path}/groups/batch={n}")
+        return n
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "SplitTables":
-        return SplitTables(spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/keys"))
+        """The state behind the last whole batch."""
+        n = _last_batch(spark, path)
+        upto = lambda table, schema: spark.read.schema(schema).parquet(*[f"{path}/{table}/batch={i}" for i in range(n + 1)])
+        return SplitTables(upto("members", RECORDS), upto("keys", KEYS), spark.read.schema(GROUPS).parquet(f"{path}/groups/batch={n}"))
 
     @staticmethod
     def empty(spark: SparkSession) -> "SplitTables":
-        return SplitTables(
-            spark.createDataFrame([], "record_id bigint, group_id bigint, split string"),
-            spark.createDataFrame([], "key string, group_id bigint"),
-        )
+        return SplitTables(*(spark.createDataFrame([], schema) for schema in (RECORDS, KEYS, GROUPS)))
+
+
+def _resolved(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the root of their group and its split in place of the group of their time."""
+    now = groups.select("group_id", "root").join(groups.filter("group_id = root").select("root", "split"), "root")
+    return rows.join(now, "group_id").drop("group_id").withColumnRenamed("root", "group_id")
+
+
+def _last_batch(spark: SparkSession, path: str) -> int:
+    """The number of the last batch whose component table is whole, -1 where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/groups")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return -1
+    names = [f.getPath() for f in fs.listStatus(folder)]
+    whole = [int(p.getName().split("=")[1]) for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(whole, default=-1)
 
 
 def links_of_images(images: DataFrame) -> DataFrame:
@@ -153,82 +199,77 @@ def assign_splits(
 
     ``links`` has record_id and key, one row per key of a record; a null key
     links nothing but its record still gets a split.  ``before`` is the state of
-    earlier batches.  A group's id is its smallest record_id.  Groups of the
-    state keep their split; a batch that joins groups of different splits puts
-    all their records into the split ``quarantine`` for good.  Repeated rows
-    count once; an empty batch returns the state.
+    earlier batches.  A new group's id is its smallest record_id; an earlier
+    group keeps its id and its split, and of several that a batch joins the
+    smallest id stays and the others point to it.  A batch that joins groups of different splits puts all
+    their records into the split ``quarantine`` for good.  Repeated rows count
+    once; an empty batch returns the state.  Of the state only the rows that
+    share a key or a record with the batch are joined on, and only the component
+    table changes.
     """
     spark = links.sparkSession
     proportions = proportions or PROPORTIONS
     before = before or SplitTables.empty(spark)
     batch = cut(links.select("record_id", "key").filter("record_id IS NOT NULL").distinct())
-    old_keys = before.keys.select("key", F.concat(F.lit("g|"), F.col("group_id")).alias("old"))
-    old_records = before.records.select("record_id", F.concat(F.lit("g|"), F.col("group_id")).alias("own"))
+    roots_of = before.groups.select("group_id", "root")
+    named = lambda df, name: df.select("*", F.concat(F.lit("g|"), F.col("root")).alias(name)).drop("root", "group_id")
 
     # entities: earlier groups, and the keys and records that belong to none yet
-    keys = batch.filter("key IS NOT NULL").groupBy("key").agg(F.min("record_id").alias("first"))
-    keys = cut(
-        keys.join(old_keys, "key", "left").select(
-            "key", "first", F.coalesce("old", F.concat(F.lit("k|"), F.col("key"))).alias("entity")
-        )
-    )
-    of_record = batch.join(keys.select("key", F.col("entity").alias("by_key")), "key", "left")
-    of_record = of_record.join(old_records, "record_id", "left")
-    pairs = cut(
-        of_record.select("record_id", F.explode(F.array_distinct(F.array_compact(F.array("by_key", "own")))).alias("entity"))
-        .union(
-            of_record.filter("by_key IS NULL AND own IS NULL").select("record_id", F.concat(F.lit("r|"), F.col("record_id")))
-        )
-        .distinct()
-    )
-    home = cut(pairs.groupBy("record_id").agg(F.min("entity").alias("home"), F.max("entity").alias("other")))
+    keys = batch.filter("key IS NOT NULL").select("key").distinct()
+    old_keys = named(keys.join(before.key_table, "key").join(roots_of, "group_id"), "old")
+    keys = cut(keys.join(old_keys, "key", "left").select("key", F.col("old").isNull().alias("fresh"), F.coalesce("old", F.concat(F.lit("k|"), F.col("key"))).alias("entity")))
+    ids = batch.select("record_id").distinct()
+    old_records = named(ids.join(before.members, "record_id").join(roots_of, "group_id"), "own")
+    of_record = batch.join(keys.select("key", F.col("entity").alias("by_key")), "key", "left").join(old_records, "record_id", "left")
+    pairs = of_record.select(
+        "record_id", F.col("own").isNull().alias("fresh"),
+        F.explode(F.array_distinct(F.array_compact(F.array("by_key", F.coalesce("own", F.when(F.col("by_key").isNull(), F.concat(F.lit("r|"), F.col("record_id")))))))).alias("entity"),
+    )
+    pairs = cut(pairs.distinct())
+    home = cut(pairs.groupBy("record_id").agg(F.min("fresh").alias("fresh"), F.min("entity").alias("home"), F.max("entity").alias("other")))
+    # a record of one entity needs no edge
     several = home.filter("home <> other").select("record_id", "home")
-    edges = pairs.join(several, "record_id").select(F.col("home").alias("src"), F.col("entity").alias("dst"))
-    roots = components(edges)
+    roots = components(pairs.join(several, "record_id").select(F.col("home").alias("src"), F.col("entity").alias("dst")))
 
-    # every entity of the batch and of the state with its root
+    # every entity of the batch with its component: the records it brings, and the group it was
     entity = (
-        home.groupBy(F.col("home").alias("entity")).agg(F.min("record_id").alias("least"))
-        .unionByName(keys.groupBy("entity").agg(F.min("first").alias("least")))
-        .unionByName(
-            before.records.groupBy("group_id", "split")
-            .agg(F.count("*").alias("n"))
-            .select(F.concat(F.lit("g|"), F.col("group_id")).alias("entity"), F.col("group_id").alias("least"))
-        )
+        home.select(F.col("home").alias("entity"), F.col("record_id").alias("least"), F.col("fresh").cast("long").alias("n"))
+        .unionByName(pairs.select("entity", F.col("record_id").alias("least"), F.lit(0).cast("long").alias("n")))
         .groupBy("entity")
-        .agg(F.min("least").alias("least"))
+        .agg(F.min("least").alias("least"), F.sum("n").alias("n"))
         .join(roots.withColumnRenamed("node", "entity"), "entity", "left")
-        .withColumn("root", F.coalesce("root", "entity"))
-    )
-    entity = cut(entity)
-    old_split = before.records.groupBy("group_id").agg(F.min("split").alias("split"))
-    known = entity.join(old_split.select(F.concat(F.lit("g|"), F.col("group_id")).alias("entity"), "split"), "entity", "left")
-    groups = known.groupBy("root").agg(
-        F.min("least").alias("group_id"), F.min("split").alias("lo"), F.max("split").alias("hi")
+        .withColumn("component", F.coalesce("root", "entity"))
+        .withColumn("old", F.when(F.col("entity").startswith("g|"), F.substring("entity", 3, 20).cast("long")))
+        .drop("root")
     )
-    groups = cut(
-        groups.select("root", "group_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), QUARANTINE).alias("split"))
-    )
-    place = cut(entity.join(groups, "root").select("entity", "group_id", "split"))
-
-    of_old = before.records.select("record_id", F.concat(F.lit("g|"), F.col("group_id")).alias("home"))
-    everyone = home.select("record_id", "home").unionByName(of_old.join(home.select("record_id"), "record_id", "left_anti"))
-    records = everyone.join(place.withColumnRenamed("entity", "home"), "home").select("record_id", "group_id", "split")
-    records = cut(records)
-    have = {r["split"]: r["n"] for r in records.filter("split IS NOT NULL").groupBy("split").agg(F.count("*").alias("n")).collect()}
+    at_root = before.groups.filter("group_id = root").select(F.col("group_id").alias("old"), "split", F.col("n").alias("had"))
+    entity = cut(entity.join(at_root, "old", "left"))
+    touched = entity.groupBy("component").agg(
+        F.min("least").alias("least"), F.min("old").alias("old"), F.sum("n").alias("more"), F.coalesce(F.sum("had"), F.lit(0)).alias("had"),
+        F.min("split").alias("lo"), F.max("split").alias("hi"),
+    )
+    touched = touched.select(
+        "component", (F.col("more") + F.col("had")).alias("n"), F.coalesce("old", "least").alias("group_id"),
+        F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), QUARANTINE).alias("split"),
+    )
+    touched = cut(touched)
+    have = {r["split"]: r["n"] for r in at_root.groupBy("split").agg(F.sum("had").alias("n")).collect()}
     have.pop(QUARANTINE, None)
-    new = records.filter("split IS NULL").groupBy("group_id").agg(F.count("*").alias("n"))
-    placed = _place_new(new, have, proportions, seed).withColumnRenamed("split", "fresh")
-    records = records.join(placed, "group_id", "left").select("record_id", "group_id", F.coalesce("split", "fresh").alias("split"))
+    new = touched.filter("split IS NULL")
+    placed = _place_new(new.select("group_id", "n"), have, proportions, seed)
+    settled = cut_table(touched.filter("split IS NOT NULL").select("group_id", "n", "split").unionByName(new.select("group_id", "n").join(placed, "group_id")))
 
-    all_keys = keys.select("key", "entity").unionByName(
-        old_keys.withColumnRenamed("old", "entity").join(keys.select("key"), "key", "left_anti")
-    )
-    key_table = all_keys.join(place, "entity").select("key", "group_id")
-    return SplitTables(cut(records), cut(key_table))
+    # the component table: roots that were joined point to the one that stays
+    place = cut(entity.select("entity", "old", "component").join(touched.select("component", "group_id"), "component").select("entity", "old", "group_id"))
+    moved = place.filter("old <> group_id").select(F.col("old").alias("root"), F.col("group_id").alias("to"))
+    old_groups = before.groups.join(moved, "root", "left").select("group_id", F.coalesce("to", "root").alias("root"), F.when(F.col("to").isNull(), F.col("split")).alias("split"), F.when(F.col("to").isNull(), F.col("n")).alias("n"))
+    groups = old_groups.join(settled.select("group_id"), "group_id", "left_anti").unionByName(settled.select("group_id", F.col("group_id").alias("root"), "split", "n"))
+    fresh_members = cut_table(home.filter("fresh").select("record_id", F.col("home").alias("entity")).join(place, "entity").select("record_id", "group_id"))
+    fresh_keys = cut_table(keys.filter("fresh").select("key", "entity").join(place, "entity").select("key", "group_id"))
+    return SplitTables(before.members.unionByName(fresh_members), before.key_table.unionByName(fresh_keys), cut_table(groups), fresh_members, fresh_keys)
 
 
 def groups_of_several(state: SplitTables) -> DataFrame:
     """(record_id, group_id) of the records whose group has at least two records."""
-    size = state.records.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1").select("group_id")
-    return state.records.join(size, "group_id").select("record_id", "group_id")
+    several = state.groups.filter("group_id = root AND n > 1").select("root")
+    return state.members.join(state.groups.select("group_id", "root").join(several, "root", "left_semi"), "group_id").select("record_id", F.col("root").alias("group_id"))

@@ -93,5 +93,21 @@ def test_increments_keep_splits_and_quarantine_conflicts(spark, tmp_path):
     assert groups(S.assign_splits(links(spark, []), after)) == {i: v[0] for i, v in now.items()}
 
 
+def test_a_late_record_joins_two_earlier_groups_of_one_split(spark, tmp_path):
+    first = S.assign_splits(links(spark, [(i, f"k{i}") for i in range(30)]))
+    path = str(tmp_path / "state")
+    assert first.write(path) == 0
+    before = {r.record_id: r.split for r in S.SplitTables.read(spark, path).records.collect()}
+    a, b = [i for i in before if before[i] == "train"][:2]
+    second = S.assign_splits(links(spark, [(b, f"k{a}"), (77, f"k{b}"), (78, None)]), S.SplitTables.read(spark, path))
+    assert second.write(path) == 1
+    state = S.SplitTables.read(spark, path)
+    now = {r.record_id: (r.group_id, r.split) for r in state.records.collect()}
+    assert now[a] == now[b] == now[77] == (a, "train") and len(now) == 32
+    assert sorted(r.record_id for r in S.groups_of_several(state).collect()) == sorted([a, b, 77])
+    assert {i: now[i][1] for i in before} == before
+    assert {(r.group_id, r.root, r.n) for r in state.groups.collect()} >= {(a, a, 3), (b, a, None)}
+
+
 def test_empty(spark):
     assert S.groups_of_several(S.assign_splits(links(spark, []))).count() == 0
