@@ -123,6 +123,9 @@ class Encoder:
     def __init__(self, ranks_file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
         self.texts = {i: b for b, i in self.ranks.items()}
+        self.widths = np.zeros(max(self.texts, default=-1) + 1, np.int64)
+        for i, b in self.texts.items():
+            self.widths[i] = len(b)
         self.cache: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -155,27 +158,28 @@ class Encoder:
             i = end[i]
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts): the ids of all texts one after the other, and how many each has."""
-        ids, counts = [], []
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, counts, offsets): the ids of all texts one after the other, how many each has, and the byte of its text at which each token starts."""
+        ids, counts, offsets = [], [], []
         at = 0
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
                 size += len(texts[to])
                 to += 1
-            i, c = self._chunk(texts[at:to])
+            i, c, o = self._chunk(texts[at:to])
             ids.append(i)
             counts.append(c)
+            offsets.append(o)
             at = to
-        none = np.zeros(0, np.int32)
-        return np.concatenate(ids or [none]), np.concatenate(counts or [none.astype(np.int64)])
+        none, many = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate(ids or [none]), np.concatenate(counts or [many]), np.concatenate(offsets or [many])
 
-    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(t) for t in texts], np.int64)
         joined = "".join(texts)
         if not joined:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         begin = np.cumsum(sizes) - sizes
         first = np.zeros(len(points), bool)
@@ -184,7 +188,8 @@ class Encoder:
         width = 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF)
         byte_at = np.concatenate([[0], np.cumsum(width)])
         data = joined.encode("utf-8", "surrogatepass")
-        cuts = byte_at[np.append(starts, len(points))].tolist()
+        slices = byte_at[np.append(starts, len(points))]
+        cuts = slices.tolist()
         get, merge, store = self.cache.get, self.merge, self.cache
         if len(store) > CACHE:
             store.clear()
@@ -201,19 +206,15 @@ class Encoder:
             lengths[k] = len(found)
         total = np.concatenate([[0], np.cumsum(lengths)])
         edge = np.searchsorted(starts, np.append(begin, len(points)))
-        return np.array(flat, np.int32), np.diff(total[edge])
+        ids, counts = np.array(flat, np.int32), np.diff(total[edge])
+        # a token starts where its slice does, behind the tokens before it in the slice
+        run = np.cumsum(self.widths[ids]) - self.widths[ids]
+        offsets = np.repeat(slices[:-1] - run[total[:-1]], lengths) + run - np.repeat(byte_at[begin], counts)
+        return ids, counts, offsets
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.texts[i] for i in ids)
 
-    def offsets(self, ids: list[int]) -> list[int]:
-        """The byte at which each token starts in its text."""
-        out, at = [], 0
-        for i in ids:
-            out.append(at)
-            at += len(self.texts[i])
-        return out
-
 
 _encoders: dict[int, Encoder] = {}
 
@@ -232,7 +233,7 @@ def vocabulary_path() -> str:
 
 
 def encode(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, lengths_only: bool = False
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, lengths_only: bool = False, offsets: bool = False
 ) -> DataFrame:
     """(id, ids) of every row: the token ids of its text, without special tokens.
 
@@ -240,7 +241,8 @@ def encode(
     ordinary text.  ``vocabulary`` is the path of a file of ranks on the driver;
     its bytes (under 1 MB for the dealt ones) go to the workers once.  With
     ``lengths_only`` the result has n_tokens in place of ids, and ``id_column``
-    may be any column that goes along, such as a struct.
+    may be any column that goes along, such as a struct; with ``offsets`` it has
+    starts, the byte of the text at which each token starts, in place of ids.
     """
     with open(vocabulary or vocabulary_path(), "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -256,15 +258,15 @@ def encode(
                 while to < len(texts) and size + len(texts[to]) <= 4 * CHUNK:
                     size += len(texts[to])
                     to += 1
-                ids, counts = encoder.encode(texts[at:to])
+                ids, counts, starts = encoder.encode(texts[at:to])
                 keys = b.column(0).slice(at, to - at)
                 if lengths_only:
                     out = pa.array(counts, pa.int64())
                 else:
-                    out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, kind))
+                    out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(starts if offsets else ids, pa.int64() if offsets else kind))
                 yield pa.RecordBatch.from_arrays([keys, out], names=["id", "out"])
                 at = to
 
     taken = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    result = taken.mapInArrow(rows, f"id {taken.schema['id'].dataType.simpleString()}, out {'long' if lengths_only else 'array<int>'}")
-    return result.select(F.col("id").alias(id_column), F.col("out").alias("n_tokens" if lengths_only else "ids"))
+    result = taken.mapInArrow(rows, f"id {taken.schema['id'].dataType.simpleString()}, out {'long' if lengths_only else 'array<long>' if offsets else 'array<int>'}")
+    return result.select(F.col("id").alias(id_column), F.col("out").alias("n_tokens" if lengths_only else "starts" if offsets else "ids"))

@@ -26,7 +26,7 @@ def reference():
 
 
 def ids_of(encoder, texts):
-    ids, counts = encoder.encode(texts)
+    ids, counts, _ = encoder.encode(texts)
     out, at = [], 0
     for n in counts.tolist():
         out.append(ids[at : at + n].tolist())
@@ -56,9 +56,13 @@ def test_long_runs_and_offsets(encoder, reference):
     for text in ("x" * 30000, " " * 5000 + "end", "ab'" * 9000, "é" * 700):
         got = ids_of(encoder, [text])[0]
         assert got == reference.encode(text, add_special_tokens=False).ids
-    ids = ids_of(encoder, ["héllo wörld"])[0]
-    at = encoder.offsets(ids)
-    assert at[0] == 0 and all("héllo wörld".encode()[a:b] == encoder.decode([i]) for a, b, i in zip(at, at[1:] + [99], ids))
+    texts = ["héllo wörld", "", "a  b'll\n\nЖук 12"]
+    ids, counts, starts = encoder.encode(texts)
+    at = 0
+    for text, n in zip(texts, counts.tolist()):
+        data, begin = text.encode(), starts[at : at + n].tolist()
+        assert [data[a:b] for a, b in zip(begin, [*begin[1:], len(data)])] == [encoder.decode([i]) for i in ids[at : at + n].tolist()]
+        at += n
 
 
 def test_table(spark, encoder):
