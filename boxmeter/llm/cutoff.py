@@ -66,9 +66,8 @@ def cutoffs(scores: DataFrame, targets: DataFrame) -> DataFrame:
     target = placed.filter("target_pct IS NOT NULL AND rank > before AND rank <= before + m")
     # the rows of the located partitions only
     run = Window.partitionBy("pid", "source").orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.select("pid", "source", "confidence", F.col("m").alias("w")).join(
-        target.select("pid", "source", "before", "n", "rank", "target_pct"), ["pid", "source"]
-    )
+    located = cut(target.select("pid", "source", "before", "n", "rank", "target_pct"))  # one row per source
+    rows = ranged.select("pid", "source", "confidence", F.col("m").alias("w")).join(located, ["pid", "source"])
     upto = rows.withColumn("upto", F.col("before") + F.sum("w").over(run))
     hit = upto.filter("rank > upto - w AND rank <= upto").select(
         "source", "target_pct", "n", F.col("confidence").alias("cutoff"), F.col("upto").alias("kept_n"),

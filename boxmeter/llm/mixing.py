@@ -47,7 +47,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     source listed twice the larger weight and cap count.  Documents of sources
     that are not listed, and of null sources, get no copy.  Without
     ``total_tokens`` the mix is the largest that holds all shares; a larger
-    wish is cut down to it.  An empty corpus gives an empty mix.
+    wish is cut down to it.  An empty corpus gives an empty mix.  Targets that
+    ``rounds`` iterations do not meet to ``tolerance`` are an error.
     """
     spark = sizes.sparkSession
     wanted = (
@@ -71,9 +72,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
         mean = r["tokens_there"] / r["n_docs"]
         full = goal >= r["max_repeat"] * r["tokens_there"] * (1 - 1e-12)
         state[r["source"]] = {"goal": goal, "mean": mean, "cap": float(r["max_repeat"]), "lam": 0.0, "lo": -math.inf, "hi": math.inf, "done": full, "full": full}
-    for _ in range(rounds):
-        if all(s["done"] for s in state.values()):
-            break
+    while not all(s["done"] for s in state.values()):
+        if rounds == 0:
+            raise RuntimeError(f"no rates found for {sorted(k for k, s in state.items() if not s['done'])}")
+        rounds -= 1
         for r in _moments(lengths, state).collect():
             s = state[r["source"]]
             if s["done"]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxmeter.llm import consensus, cutoff, mixing, splits, tokenizer, truncation
+from boxmeter.session import ensure_checkpoint_dir
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -23,6 +26,24 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return state.records.select(F.col("record_id").alias("image_id"), "group_id", "split")
 
 
+def p1_increments(spark: SparkSession, d: str) -> DataFrame:
+    """The groups behind two batches through a persisted state: the images by the half of the time they were selected in (null times come first)."""
+    images = _read(spark, d, "test_examples")
+    middle = images.agg(F.expr("timestampadd(SECOND, timestampdiff(SECOND, min(selected_at), max(selected_at)) div 2, min(selected_at))").alias("m")).first()["m"]
+    late = F.coalesce(F.col("selected_at") > F.lit(middle), F.lit(False))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/splits-{uuid.uuid4()}"
+    splits.assign_splits(splits.links_of_images(images.filter(~late))).write(folder)
+    earlier = splits.SplitTables.read(spark, folder)
+    state = splits.assign_splits(splits.links_of_images(images.filter(late)), earlier)
+    state.write(folder)
+    now = splits.SplitTables.read(spark, folder).records
+    was = earlier.records.select("record_id", F.col("split").alias("was"))
+    # the least record names a group as SQL can; a split that was given stays, unless its group clashed
+    least = now.groupBy("group_id").agg(F.min("record_id").alias("least"), F.count_distinct("split").alias("n_splits"))
+    kept = F.when(F.col("was").isNull(), F.lit("new")).when((F.col("was") == F.col("split")) | (F.col("split") == splits.QUARANTINE), "kept").otherwise("lost")
+    return now.join(least, "group_id").join(was, "record_id", "left").select(F.col("record_id").alias("image_id"), "least", "n_splits", kept.alias("state"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     model = consensus.fit(_read(spark, d, "labels_test_b"))
     return consensus.consensus(model).filter("n_values > 1").select("annotation_id", "field", "consensus")
@@ -57,6 +78,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(_read(spark, d, "documents"))
 
 
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """The byte of its text at which each token of a document starts."""
+    return tokenizer.encode(_read(spark, d, "documents"), offsets=True)
+
+
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
     return mixing.mix(mixing.document_sizes(_read(spark, d, "documents")), _read(spark, d, "mix_targets"))
 
@@ -82,26 +108,36 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p4_found, p4_items, p4_annotators, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_increments, p4_found, p4_items, p4_annotators, p6_found, p6_cutoffs, p7_ids, p7_offsets, p8_mix, p8_shares, p9_found, p9_rates)}
 
 
-_BEHIND = splits._BEHIND.replace("'", "''")
-_P1 = rf"""
+# Written from the statement, without the operator's patterns: copy marks and extensions go one at a time, and the digits of what is left tell the moment.
+_P1 = r"""
 WITH RECURSIVE flat AS (
-  SELECT DISTINCT image_id, regexp_replace(lower(regexp_replace(file_name, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')), '(?s)^.*[\\/]', '') AS last
-  FROM test_examples WHERE file_name IS NOT NULL
+  SELECT DISTINCT image_id, lower(regexp_replace(file_name, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS name, selected_at FROM test_examples WHERE file_name IS NOT NULL AND image_id IS NOT NULL
+), bare(image_id, stem, last, pass) AS (
+  SELECT image_id, list_last(string_split(replace(name, '\', '/'), '/')), list_last(string_split(replace(name, '\', '/'), '/')), 0 FROM flat
+  UNION
+  SELECT image_id, CASE
+      WHEN regexp_matches(stem, '^(copy|kopie|копия)( [(][0-9]+[)])? (of|von) ') THEN regexp_replace(stem, '^(copy|kopie|копия)( [(][0-9]+[)])? (of|von) ', '')
+      WHEN regexp_matches(stem, '[.][a-z][a-z0-9]{1,4}$') THEN regexp_replace(stem, '[.][a-z0-9]+$', '')
+      WHEN regexp_matches(stem, '[(\[][0-9]{1,4}[)\]]$') THEN regexp_replace(stem, '\s*[(\[][0-9]+[)\]]$', '')
+      WHEN regexp_matches(stem, '~[0-9]{0,3}$') THEN regexp_replace(stem, '~[0-9]*$', '')
+      WHEN regexp_matches(stem, '[\s_.–—-](copy|kopie|копия|edit|edited|bearbeitet|изменено)([\s_-]*[0-9]{1,3})?$')
+        THEN regexp_replace(stem, '[\s_.–—-]+(copy|kopie|копия|edit|edited|bearbeitet|изменено)([\s_-]*[0-9]{1,3})?$', '')
+      ELSE rtrim(stem) END, last, pass + 1
+  FROM bare WHERE pass < 12
 ), stems AS (
-  SELECT image_id, coalesce(nullif(regexp_replace(regexp_replace(last, '{_BEHIND}', ''), '{splits._BEFORE}', ''), ''), last) AS stem FROM flat
+  SELECT DISTINCT image_id, coalesce(nullif(stem, ''), last) AS stem FROM bare WHERE pass = 12 AND last <> ''
 ), parts AS (
-  SELECT image_id, stem, regexp_extract(stem, '{splits._UNIX}', ['device', 'moment']) AS u,
-         regexp_extract(stem, '{splits._DATE}', ['device', 'y', 'm', 'd']) AS w
-  FROM stems WHERE stem <> ''
-), keys AS (
-  SELECT DISTINCT image_id,
-         CASE WHEN u.moment <> '' THEN 'd|' || regexp_replace(u.device, '^0+(.)', '\1') || '|' || strftime(DATE '1970-01-01' + (left(u.moment, 10)::BIGINT // 86400)::INT, '%Y%m%d')
-              WHEN try_strptime(w.y || w.m || w.d, '%Y%m%d') IS NOT NULL THEN 'd|' || regexp_replace(w.device, '^0+(.)', '\1') || '|' || w.y || w.m || w.d
-              ELSE 'n|' || stem END AS key
+  SELECT image_id, stem, regexp_extract_all(stem, '[0-9]+') AS n, regexp_replace(stem, '[0-9]+', '#', 'g') AS shape FROM stems
+), moments AS (
+  SELECT image_id, stem, n, CASE WHEN regexp_full_match(shape, 'id[\s_-]*#[\s_-]+#') AND len(n[2]) IN (10, 13) THEN strftime(DATE '1970-01-01' + (left(n[2], 10)::BIGINT // 86400)::INT, '%Y%m%d')
+    WHEN regexp_full_match(shape, 'id[\s_-]*#[\s_-]+#([._-]?#[._-]?#)?[\s_t-]+#([._:-]?#([._:-]?#)?)?') AND regexp_full_match(stem, 'id[\s_-]*[0-9]+[\s_-]+[0-9]{4}[._-]?[0-9]{2}[._-]?[0-9]{2}[\s_t-]+[0-9]{2}[._:-]?[0-9]{2}([._:-]?[0-9]{2})?')
+      THEN left(array_to_string(n[2:], ''), 8) END AS day
   FROM parts
+), keys AS (
+  SELECT DISTINCT image_id, CASE WHEN try_strptime(day, '%Y%m%d') IS NOT NULL THEN coalesce(nullif(ltrim(n[1], '0'), ''), '0') || ' on ' || day ELSE 'name ' || stem END AS key FROM moments
 ), edges AS (
   SELECT DISTINCT a.image_id AS a, b.image_id AS b FROM keys a JOIN keys b USING (key)
 ), reach AS (
@@ -109,7 +145,14 @@ WITH RECURSIVE flat AS (
   UNION
   SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
 )
-SELECT a AS image_id, min(b) AS group_id FROM reach GROUP BY a HAVING count(DISTINCT b) > 1
+"""
+
+_HALVES = """, half AS (
+  SELECT min(selected_at) + to_seconds(datediff('second', min(selected_at), max(selected_at)) // 2) AS m FROM test_examples
+), images AS (
+  SELECT image_id, bool_and(selected_at > m AND selected_at IS NOT NULL) AS fresh FROM test_examples, half WHERE image_id IS NOT NULL GROUP BY image_id
+)
+SELECT image_id, coalesce((SELECT min(b) FROM reach WHERE a = image_id), image_id) AS least, 1::BIGINT AS n_splits, CASE WHEN fresh THEN 'new' ELSE 'kept' END AS state FROM images
 """
 
 _CUT = """
@@ -131,7 +174,8 @@ WITH counted AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": _P1,
+        "p1_found": _P1 + "SELECT a AS image_id, min(b) AS group_id FROM reach GROUP BY a HAVING count(DISTINCT b) > 1",
+        "p1_increments": _P1 + _HALVES,
         "p6_found": _CUT + "SELECT source, round(cutoff * 1000)::BIGINT AS cutoff_milli, kept_n::BIGINT AS kept_n FROM hit",
         "p6_cutoffs": _CUT + "SELECT source, target_pct, n::BIGINT AS n, cutoff, kept_n::BIGINT AS kept_n FROM hit",
     }
