@@ -19,12 +19,14 @@ from boxmeter.session import cut
 
 #: What may stand behind the last word, read backwards from the end of the text: blanks, dots, dots in brackets, replacement characters, a signature line.
 TAIL_BACKWARDS = r"^(?:[\s\u00a0\ufffd…]++|\.{2,}+|[\])](?:\.{2,}+|…++)[\[(]|[^\n]*+(?<= --)\n)*+"
-#: Words, numbers, closing marks, the blanks between two sentences or lines, and any other character.
-#: A line break behind a comma, a colon or an opening bracket, or before a closing bracket, ends nothing.
-TOKEN = (
-    r"[\p{L}\p{M}]+|\p{N}+(?:[.,:]\p{N}+)*|[.?!]+|(?<=[.?!][\"')\]”»]{0,2})[\s\u00a0]+(?![\s\u00a0\p{Ll}\p{N}])"
-    r"|(?<![,:{\[(\s\u00a0])[\s\u00a0]*\n[\s\u00a0]*(?![\s\u00a0})\]])|[^\s\u00a0]"
+#: Blanks between two sentences or lines.  A line break behind a comma, a colon or an opening bracket, or before a closing bracket, ends nothing.
+GAP = (
+    r"(?=[\s\u00a0])(?:(?<=[.?!][\"')\]”»]{0,2})[\s\u00a0]++(?![\p{Ll}\p{N}])|(?<![,:{\[(\s\u00a0])[\s\u00a0]*\n[\s\u00a0]*+(?![})\]]))"
 )
+#: What stands for them among the tokens.
+BREAK = "\x1e"
+#: Words, numbers, closing marks, and any other character.
+TOKEN = r"[\p{L}\p{M}]++|\p{N}++(?:[.,:]\p{N}++)*+|[.?!]++|[^\s\u00a0]"
 #: Longer words are looked up by so many first letters, then compared whole.
 LEAD = 4
 
@@ -35,30 +37,30 @@ WITH bodies AS (
   SELECT doc_id, xxhash64(text) AS text_hash, left(text, length(text) - length(regexp_extract(reverse(text), :tail, 0))) AS body
   FROM {docs} WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), tokens AS (
-  SELECT doc_id, text_hash, regexp_extract_all(body, :token, 0) AS t,
+  SELECT doc_id, text_hash, regexp_extract_all(lower(regexp_replace(body, :gap, :break)), :token, 0) AS t,
          length(body) - length(replace(body, '{{', '')) > length(body) - length(replace(body, '}}', ''))
          OR length(body) - length(replace(body, '[', '')) > length(body) - length(replace(body, ']', ''))
          OR ((length(body) - length(replace(body, '```', ''))) div 3) % 2 = 1 AS open_structure
   FROM bodies
 ), words AS (
-  SELECT doc_id, text_hash, open_structure, w, get(t, i - 3) AS p3, get(t, i - 2) AS p2, get(t, i - 1) AS p1, get(t, i + 1) AS n1, get(t, i + 2) AS n2
+  SELECT doc_id, text_hash, open_structure, w,
+         coalesce(get(t, i - 3), :break) AS p3, coalesce(get(t, i - 2), :break) AS p2, coalesce(get(t, i - 1), :break) AS p1, get(t, i + 1) AS n1, get(t, i + 2) AS n2
   FROM tokens LATERAL VIEW posexplode(t) AS i, w
 ), marked AS (
-  SELECT *, n1 IS NULL OR n1 < '!' OR left(n1, 1) = '\\u00a0' AS n1_gap, left(n1, 1) IN ('.', '?', '!') AS n1_stop,
-         n2 IS NULL OR n2 < '!' OR left(n2, 1) = '\\u00a0' AS n2_gap,
-         coalesce(p1 < '!' OR left(p1, 1) = '\\u00a0', true) AS g1, coalesce(p2 < '!' OR left(p2, 1) = '\\u00a0', true) AS g2,
-         coalesce(p3 < '!' OR left(p3, 1) = '\\u00a0', true) AS g3
+  SELECT *, n1 IS NULL OR n1 = :break AS n1_gap, n2 IS NULL OR n2 = :break AS n2_gap,
+         coalesce(startswith(n1, '.') OR startswith(n1, '?') OR startswith(n1, '!'), false) AS n1_stop
   FROM words
-  WHERE w >= '!' AND left(w, 1) <> '\\u00a0'
+  WHERE w <> :break
 ), placed AS (
   SELECT n1 IS NULL OR n1_stop AND n2 IS NULL AS final, n1_gap OR n1_stop AND n2_gap AS sentence_end,
-         doc_id, text_hash, open_structure, coalesce(n1_stop, false) OR left(p1, 1) IN ('.', '?', '!') AND w IN ('"', "'", ')', ']', '\\u201d', '\\u00bb') AS ended, n1 <=> '.' AS stop,
-         CASE WHEN g1 OR g2 OR g3 THEN '^' WHEN p3 >= '0' AND p3 < ':' THEN '0' ELSE lower(p3) END AS x,
-         CASE WHEN g1 OR g2 THEN '^' WHEN p2 >= '0' AND p2 < ':' THEN '0' ELSE lower(p2) END AS a,
-         CASE WHEN g1 THEN '^' WHEN p1 >= '0' AND p1 < ':' THEN '0' ELSE lower(p1) END AS b,
-         CASE WHEN w >= '0' AND w < ':' THEN '0' ELSE lower(w) END AS c
+         doc_id, text_hash, open_structure, n1 <=> '.' AS stop,
+         n1_stop OR w IN ('"', "'", ')', ']', '\u201d', '\u00bb') AND (startswith(p1, '.') OR startswith(p1, '?') OR startswith(p1, '!')) AS ended,
+         CASE WHEN p1 = :break OR p2 = :break OR p3 = :break THEN '^' WHEN p3 >= '0' AND p3 < ':' THEN '0' ELSE p3 END AS x,
+         CASE WHEN p1 = :break OR p2 = :break THEN '^' WHEN p2 >= '0' AND p2 < ':' THEN '0' ELSE p2 END AS a,
+         CASE WHEN p1 = :break THEN '^' WHEN p1 >= '0' AND p1 < ':' THEN '0' ELSE p1 END AS b,
+         CASE WHEN w >= '0' AND w < ':' THEN '0' ELSE w END AS c
   FROM marked
-  WHERE NOT (left(w, 1) IN ('.', '?', '!') AND n1_gap)
+  WHERE NOT (n1_gap AND (startswith(w, '.') OR startswith(w, '?') OR startswith(w, '!')))
 )
 SELECT x, a, b, c, CASE WHEN final THEN doc_id END AS doc_id,
        count_if(NOT final AND NOT sentence_end) AS n_in, count_if(NOT final AND sentence_end) AS n_sent, count_if(final) AS n_fin,
@@ -177,7 +179,7 @@ def endings(docs: DataFrame, rare: float = 0.01, lean: float = 5.0) -> DataFrame
     bigram.  Null, empty and blank texts give no row.  doc_id is taken to be unique.
     """
     spark = docs.sparkSession
-    positions = cut(spark.sql(_POSITIONS, {"tail": TAIL_BACKWARDS, "token": TOKEN}, docs=docs.select("doc_id", "text")))
+    positions = cut(spark.sql(_POSITIONS, {"tail": TAIL_BACKWARDS, "gap": GAP, "break": BREAK, "token": TOKEN}, docs=docs.select("doc_id", "text")))
     counts = cut(spark.sql(_COUNTS, positions=positions))
     verdict = spark.sql(_VERDICT, {"lead": LEAD}, counts=counts)
     return spark.sql(_RATES, {"rare": rare, "lean": lean}, finals=positions.filter("doc_id IS NOT NULL"), verdict=verdict)
