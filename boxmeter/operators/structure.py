@@ -17,9 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxmeter.session import cut
+
 OBJECT, ARRAY, STRING, NUMBER, TRUE, FALSE, NULL = range(7)
 #: Characters indexed at once; a longer text goes alone.
 CHUNK = 1 << 20
@@ -162,11 +164,7 @@ def index(texts: list[bytes]) -> Index:
         else:  # cannot be with depths that close; kept as a guard
             bad[td[order]] = True
     # container of each token: the last open bracket of the depth above
-    inner = np.full(m, -1)
-    for d in range(1, int(own.max(initial=0)) + 1):
-        src = np.where(is_open & (own == d - 1), np.arange(m), -1)
-        here = own == d
-        inner[here] = np.maximum.accumulate(src)[here] if m else src[here]
+    inner = _containers(td, own, is_open)
     in_object = (inner >= 0) & (tk[inner] == OPEN_O)
 
     # grammar: which token may follow which
@@ -224,6 +222,34 @@ def index(texts: list[bytes]) -> Index:
     )
 
 
+#: Up to this depth one pass per level is the quickest; deeper texts are sorted once.
+SHALLOW = 32
+
+
+def _containers(td: np.ndarray, own: np.ndarray, is_open: np.ndarray) -> np.ndarray:
+    """The last open bracket of the level above in the same text, for every token; -1 at the top."""
+    m, deepest = len(td), int(own.max(initial=0))
+    inner = np.full(m, -1)
+    if deepest <= SHALLOW:
+        for d in range(1, deepest + 1):
+            src = np.where(is_open & (own == d - 1), np.arange(m), -1)
+            here = own == d
+            inner[here] = np.maximum.accumulate(src)[here]
+        return inner
+    # tokens and, one level further in, the brackets that open it, in the order of (text, level, place)
+    opens = np.flatnonzero(is_open)
+    at = np.concatenate([np.arange(m), opens])
+    level = np.concatenate([own, own[opens] + 1])
+    mark = np.concatenate([np.full(m, -1), opens])
+    order = np.lexsort((at, level, td[at]))
+    here = order < m
+    last = np.maximum.accumulate(np.where(here, -1, np.arange(len(order))))
+    found = np.where(last >= 0, mark[order[np.maximum(last, 0)]], -1)
+    tokens = order[here]
+    inner[tokens] = np.where(own[tokens] > 0, found[here], -1)
+    return inner
+
+
 def parts_of(batch: pd.DataFrame, column: str, limit: int = CHUNK) -> Iterator[pd.DataFrame]:
     """A batch in stretches of about ``limit`` characters: the index takes some tens of bytes of memory for each."""
     if not len(batch):
@@ -309,112 +335,119 @@ def whole_values(df: DataFrame, id_column: str, text_column: str, by_column: str
     return texts.repartition("doc_id").sortWithinPartitions("doc_id", "digest", "own").mapInPandas(rows, LINKED)
 
 
-def members(x: Index, kept: np.ndarray | None = None) -> dict[int, list[int]]:
-    """The values in each container, in order; ``kept`` leaves values out."""
-    at = np.arange(len(x.parent)) if kept is None else np.flatnonzero(kept)
-    out: dict[int, list[int]] = {}
-    for i, p in zip(at.tolist(), x.parent[at].tolist()):
-        out.setdefault(p, []).append(i)
-    return out
+class Members:
+    """The values in each container, in document order; container -1 holds the values at the top."""
+
+    def __init__(self, x: Index):
+        self.order = np.argsort(x.parent, kind="stable")
+        self.edges = np.searchsorted(x.parent[self.order], np.arange(-1, len(x.parent) + 1))
+
+    def __getitem__(self, i: int) -> list[int]:
+        return self.order[self.edges[i + 1] : self.edges[i + 2]].tolist()
+
+
+def members(x: Index) -> dict[int, list[int]]:
+    """The containers that hold anything, with their values in order."""
+    inside = Members(x)
+    return {i: inside[i] for i in np.unique(x.parent).tolist()}
 
 
 _DAMAGE_FIELDS = ("damage_type", "part", "severity", "action", "confidence", "annotation_id", "description")
+_IMAGE_FIELDS = ("status", "file_name", "width", "height", "overall_score", "attempts", "vehicle_visible", "error_message")
 _BOX_NAMES = ("bounding_box", "bbox")
+_TEXTS = ("meta", *_IMAGE_FIELDS, *_DAMAGE_FIELDS)
 FLAT = (
-    "kind string, doc_id long, digest long, image_no long, image_id string, damage_no long, box_no long, status string, "
-    + ", ".join(f"{c} string" for c in _DAMAGE_FIELDS)
+    "kind string, doc_id long, digest long, image_no long, image_id string, damage_no long, box_no long, "
+    + ", ".join(f"{c} string" for c in _TEXTS)
     + ", number double"
 )
 
 
-def _entries(x: Index, inside: dict[int, list[int]], top: int) -> Iterator[tuple[int, str | None, int, dict[str, int]]]:
-    """(place, image id, value, members) of each image entry, however the text nests them."""
-    head = {x.key(i): i for i in inside.get(top, ())}
+def _entries(x: Index, inside: Members, top: int) -> Iterator[tuple[int, str | None, dict[str, int], dict[str, int]]]:
+    """(place, image id, members, members of what holds the damages) of each image entry, however the text nests them."""
+    head = {x.key(i): i for i in inside[top]}
     for name in ("predictions", "images"):
         if (root := head.get(name)) is None:
             continue
-        for i in inside.get(root, ()):
+        for i in inside[root]:
             if x.kind[i] != OBJECT:
                 continue
-            own = {x.key(j): j for j in inside.get(i, ())}
+            own = {x.key(j): j for j in inside[i]}
             holder, image = own, None
             if (j := own.get("result")) is not None and x.kind[j] == OBJECT and "damages" not in own:
-                holder = {x.key(k): k for k in inside.get(j, ())}
+                holder = {x.key(k): k for k in inside[j]}
             for at in (own, holder):
                 if image is None and (j := at.get("image_id")) is not None and x.kind[j] in (STRING, NUMBER):
                     image = x.value(j)
             if image is None and (j := own.get("image")) is not None:
                 if x.kind[j] == OBJECT:
-                    deep = {x.key(k): k for k in inside.get(j, ())}
+                    deep = {x.key(k): k for k in inside[j]}
                     if (k := deep.get("image_id", deep.get("id"))) is not None and x.kind[k] in (STRING, NUMBER):
                         image = x.value(k)
                 elif x.kind[j] in (STRING, NUMBER):
                     image = x.value(j)
             if image is None and x.kind[root] == OBJECT:
                 image = x.key(i)
-            yield int(x.place[i]), image, i, holder
+            yield int(x.place[i]), image, own, holder
 
 
-def _damages(x: Index, inside: dict[int, list[int]], j: int | None, size: np.ndarray) -> list[tuple[int, int]]:
+def _damages(x: Index, inside: Members, j: int | None) -> list[tuple[int, int]]:
     """(place, value) of the damage objects listed at value j: a list, an object of numbered places, or one object alone."""
-    if j is None or not size[j]:
+    listed = inside[j] if j is not None else []
+    if not listed or x.kind[j] not in (ARRAY, OBJECT):
         return []
-    listed = inside.get(j, [])
     if x.kind[j] == ARRAY:
         return [(int(x.place[i]), i) for i in listed if x.kind[i] == OBJECT]
-    if x.kind[j] == OBJECT:
-        # the first member follows its object
-        if all((x.key(i) or "").isdigit() for i in [j + 1, *listed]):
-            return [(n, i) for n, i in enumerate(sorted(listed, key=lambda i: int(x.key(i)))) if x.kind[i] == OBJECT]
-        return [(0, j)]
-    return []
-
-
-def _emit(x: Index, ids: np.ndarray, digests: np.ndarray, kinds: tuple[str, ...], out: list[tuple]) -> None:
-    fields, boxes = "damage" in kinds, "box" in kinds
-    # places alone need the containers and what stands near the top
-    narrow = lambda y, depth: None if fields or boxes else (y.kind <= ARRAY) | (y.kind == NULL) | (y.depth <= depth)
-    count = lambda y: np.bincount(y.parent[y.parent >= 0], minlength=len(y.parent))
-    inside, size = members(x, narrow(x, 4)), count(x)
-    nested: list[tuple[tuple, str | None, bytes]] = []  # damages that are JSON within a string
-    no_fields = [None] * len(_DAMAGE_FIELDS)
-
-    def image(head: tuple, status: str | None, x: Index, inside: dict, j: int | None, size: np.ndarray) -> None:
-        found = _damages(x, inside, j, size)
-        out.append(("image", *head, None if found else -1, None, status, *no_fields, None))
+    if all((x.key(i) or "").isdigit() for i in listed):
+        return [(n, i) for n, i in enumerate(sorted(listed, key=lambda i: int(x.key(i)))) if x.kind[i] == OBJECT]
+    return [(0, j)]
+
+
+def _emit(x: Index, ids: np.ndarray, digests: np.ndarray, kinds: tuple[str, ...], out: list[dict]) -> None:
+    fields, boxes, about = "damage" in kinds, "box" in kinds, "image" in kinds
+    nested: list[tuple[dict, dict, bytes]] = []  # damages that are JSON within a string
+
+    def image(head: dict, texts: dict, x: Index, inside: Members, j: int | None) -> None:
+        found = _damages(x, inside, j)
+        if about or not found:
+            out.append({"kind": "image", **head, "damage_no": None if found else -1, **texts})
         for no, i in found:
             if not fields and not boxes:
-                out.append(("place", *head, no, None, None, *no_fields, None))
+                out.append({"kind": "place", **head, "damage_no": no})
                 continue
-            own = {x.key(k): k for k in inside.get(i, ())}
+            own = {x.key(k): k for k in inside[i]}
             if fields:
-                texts = [x.value(own[f]) if f in own else None for f in _DAMAGE_FIELDS]
-                out.append(("damage", *head, no, None, None, *texts, None))
+                out.append({"kind": "damage", **head, "damage_no": no, **{f: x.value(own[f]) for f in _DAMAGE_FIELDS if f in own}})
             for name in _BOX_NAMES if boxes else ():
                 if (b := own.get(name)) is not None and x.kind[b] == ARRAY:
-                    for k in inside.get(b, ()):
+                    for k in inside[b]:
                         number = float(x.value(k)) if x.kind[k] == NUMBER else None
-                        out.append(("box", *head, no, int(x.place[k]), None, *no_fields, number))
-
-    for top in inside.get(-1, ()):
-        doc = (int(ids[x.doc[top]]), int(digests[x.doc[top]]))
-        out.append(("document", *doc, None, None, None, None, None, *no_fields, None))
-        for place, image_id, _, holder in _entries(x, inside, top):
-            status = x.value(holder["status"]) if "status" in holder else None
+                        out.append({"kind": "box", **head, "damage_no": no, "box_no": int(x.place[k]), "number": number})
+
+    inside = Members(x)
+    for top in inside[-1]:
+        doc = {"doc_id": int(ids[x.doc[top]]), "digest": int(digests[x.doc[top]])}
+        meta = next((x.raw(i).decode("utf-8", "replace") for i in inside[top] if x.kind[top] == OBJECT and x.key(i) == "meta"), None) if "document" in kinds else None
+        out.append({"kind": "document", **doc, "meta": meta})
+        for place, image_id, own, holder in _entries(x, inside, top) if set(kinds) - {"document"} else ():
+            head = {**doc, "image_no": place, "image_id": image_id}
+            texts = {f: x.value(at[f]) for at in (own, holder) for f in _IMAGE_FIELDS if f in at} if about else {}
             j = holder.get("damages")
             if j is not None and x.kind[j] == STRING:
-                nested.append(((*doc, place, image_id), status, x.value(j).encode("utf-8", "surrogatepass")))
+                nested.append((head, texts, x.value(j).encode("utf-8", "surrogatepass")))
             else:
-                image((*doc, place, image_id), status, x, inside, j, size)
+                image(head, texts, x, inside, j)
     if nested:
         y = index([t for _, _, t in nested])
-        within, sizes = members(y, narrow(y, 1)), count(y)
-        tops = {int(y.doc[t]): t for t in within.get(-1, ())}
-        for n, (head, status, _) in enumerate(nested):
-            image(head, status, y, within, tops.get(n), sizes)
+        within = Members(y)
+        tops = {int(y.doc[t]): t for t in within[-1]}
+        for n, (head, texts, _) in enumerate(nested):
+            image(head, texts, y, within, tops.get(n))
 
 
-def flat_tables(df: DataFrame, id_column: str, text_column: str, kinds: tuple[str, ...] = ("document", "image", "damage", "box")) -> DataFrame:
+def flat_tables(
+    df: DataFrame, id_column: str, text_column: str, kinds: tuple[str, ...] = ("document", "image", "damage", "box"), by_column: str | None = None
+) -> DataFrame:
     """Documents, images, damages and box numbers of nested evaluation files, as one table of tagged rows.
 
     ``kind`` says which table a row belongs to (document, image, damage, box);
@@ -422,28 +455,30 @@ def flat_tables(df: DataFrame, id_column: str, text_column: str, kinds: tuple[st
     is listed for the image, empty places counted) link a row to its parents.
     An image row has damage_no -1 where the image has no damage object.  Without
     damage and box in ``kinds`` damages come as rows of kind place that only
-    hold the links, which is much less work.
+    hold the links; the places are the same.  A document row holds ``meta`` as
+    JSON text.
     Rows with the same id are copies or damaged deliveries: of the whole texts
-    of a document the one of smallest digest counts.  Entries may stand in an
-    object by image id or in a list; damages in a list, in an object of numbered
-    places, alone, or as JSON in a string.  Null entries and invalid texts give
-    nothing.
+    of a document the one of smallest digest counts (of ``by_column``, if it is
+    given).  Entries may stand in an object by image id or in a list; damages in
+    a list, in an object of numbered places, alone, or as JSON in a string.
+    Null entries and invalid texts give nothing.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FLAT.split(", ")]
         for b in (p for batch in batches for p in parts_of(batch, "text")):
-            out: list[tuple] = []
+            out: list[dict] = []
             _emit(index(_bytes(b["text"])), b["doc_id"].to_numpy(), b["digest"].to_numpy(), kinds, out)
-            yield pd.DataFrame([r for r in out if r[0] in kinds or r[0] == "place"], columns=names, dtype=object)
+            columns = {c: [r.get(c) for r in out] for c in names}
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
 
-    texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("digest")).filter(
+    texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.col(by_column or text_column)).alias("digest")).filter(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
     # copies fall together before one delivery per document is chosen; whole texts never move
-    flat = texts.mapInPandas(rows, FLAT).distinct()
-    first = F.min("digest").over(Window.partitionBy("doc_id"))
-    return flat.withColumn("first", first).filter("digest = first").drop("first", "digest")
+    flat = cut(texts.mapInPandas(rows, FLAT).distinct())
+    first = flat.filter("kind = 'document'").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    return flat.join(first, ["doc_id", "digest"], "left_semi").drop("digest")
 
 
 def damage_places(flat: DataFrame) -> DataFrame:

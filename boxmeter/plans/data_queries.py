@@ -14,15 +14,16 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, d: str, *kinds: str) -> dict[str, DataFrame]:
-    gt = _read(spark, d, "gt_dev").select("doc_id", F.to_json(F.struct("images"), {"ignoreNullFields": "false"}).alias("content"))
+    as_json = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    gt = _read(spark, d, "gt_dev").select("doc_id", as_json("meta", "images").alias("content"), as_json("images").alias("images"))
     return {
-        "gt": structure.flat_tables(gt, "doc_id", "content", kinds),
+        "gt": structure.flat_tables(gt, "doc_id", "content", kinds, "images"),
         "pred": structure.flat_tables(_read(spark, d, "predictions_dev_v3"), "run_id", "content", kinds),
     }
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    flat = {src: structure.damage_places(t).select(F.lit(src).alias("src"), "*") for src, t in _flat(spark, d, "image").items()}
+    flat = {src: structure.damage_places(t).select(F.lit(src).alias("src"), "*") for src, t in _flat(spark, d, "place").items()}
     return flat["gt"].unionByName(flat["pred"])
 
 
@@ -32,11 +33,11 @@ def _table(spark: SparkSession, d: str, kind: str, columns: list[str]) -> DataFr
 
 
 def p2_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "document", ["doc_id"])
+    return _table(spark, d, "document", ["doc_id", "meta"])
 
 
 def p2_images(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "image", ["doc_id", "image_no", "image_id", "status"])
+    return _table(spark, d, "image", ["doc_id", "image_no", "image_id", *structure._IMAGE_FIELDS])
 
 
 def p2_damages(spark: SparkSession, d: str) -> DataFrame:
