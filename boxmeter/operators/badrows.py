@@ -4,9 +4,10 @@ A line is a walk through four modes (start of a cell, inside a bare cell, inside
 a quoted cell, behind a closing quote) and a count of cells.  Edits insert or
 delete a quote or a separator, each at cost one; dynamic programming over
 (mode, cells) finds the cheapest walk to exactly the wanted number of cells, for
-all lines of a batch at once.  A line whose unedited walk has cost zero and whose
-cells are valid values loads; for every other line the broken walk gives the
-reason and the cheapest edits say how it could be mended.
+all lines of a batch at once.  A line whose walk has cost zero and whose cells
+are valid values loads; for every other line the edit costs give the reason
+(quoting where no number of cells comes without edits, columns where only the
+wanted number does not) and the cheapest edits say how it could be mended.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _Q, _S, _O, _END = range(4)
 #: Costs are packed as total, inserted quotes, deleted quotes, inserted and deleted separators, so that a minimum is also the tally of its edits.
 _BITS = 12
 _WIDE_BITS = 40
+#: Symbols of a group of lines that are walked together.
+_CELLS = 1 << 18
 #: Symbols of a line that the narrow counters serve.
 _NARROW = 4096
 _UNIT = 1 << (4 * _BITS)
@@ -72,7 +75,12 @@ def unedited(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cheapest_edits(lines: list[np.ndarray], cells: int, bits: int = _BITS) -> np.ndarray:
-    """The packed cost of the cheapest edits that make each line ``cells`` well-quoted cells.
+    """The packed cost of the cheapest edits that make each line ``cells`` well-quoted cells."""
+    return edit_costs(lines, cells, bits)[:, cells - 1]
+
+
+def edit_costs(lines: list[np.ndarray], cells: int, bits: int = _BITS) -> np.ndarray:
+    """(lines, cells + 1): the packed cost of the cheapest edits that make each line 1, 2, ... ``cells`` or more well-quoted cells.
 
     Counters of more than ``_BITS`` are Python integers, which have no bound.
     """
@@ -80,7 +88,7 @@ def cheapest_edits(lines: list[np.ndarray], cells: int, bits: int = _BITS) -> np
     ins_q, del_q, ins_s, del_s = ((1 << (4 * bits)) + (1 << (bits * k)) for k in (3, 2, 1, 0))
     table = _padded(lines)
     b, width = table.shape
-    cost = np.full((b, 4, cells), never, kind)
+    cost = np.full((b, 4, cells + 1), never, kind)  # the last place: more cells than wanted
     cost[:, START, 0] = 0
 
     def add(a: np.ndarray, edit: int) -> np.ndarray:
@@ -88,12 +96,12 @@ def cheapest_edits(lines: list[np.ndarray], cells: int, bits: int = _BITS) -> np
 
     def insert(c: np.ndarray) -> None:
         """Insertions between two symbols; a separator moves one cell on, so cells go in order."""
-        for k in range(cells):
+        for k in range(cells + 1):
             for _ in range(2):
                 c[:, QUOTED, k] = np.minimum(c[:, QUOTED, k], add(c[:, START, k], ins_q))
                 c[:, CLOSED, k] = np.minimum(c[:, CLOSED, k], add(c[:, QUOTED, k], ins_q))
                 c[:, QUOTED, k] = np.minimum(c[:, QUOTED, k], add(c[:, CLOSED, k], ins_q))
-            if k + 1 < cells:
+            if k < cells:
                 least = c[:, [START, BARE, CLOSED], k].min(axis=1)
                 c[:, START, k + 1] = np.minimum(c[:, START, k + 1], add(least, ins_s))
 
@@ -101,8 +109,10 @@ def cheapest_edits(lines: list[np.ndarray], cells: int, bits: int = _BITS) -> np
     for j in range(width):
         s = table[:, j]
         new = np.full_like(cost, never)
-        shift = np.full((b, cells), never, kind)
-        shift[:, 1:] = cost[:, [START, BARE, CLOSED], :-1].min(axis=1)
+        shift = np.full((b, cells + 1), never, kind)
+        left = cost[:, [START, BARE, CLOSED]].min(axis=1)
+        shift[:, 1:] = left[:, :-1]
+        shift[:, cells] = np.minimum(shift[:, cells], left[:, cells])
         q, sep, other = (s == k for k in (_Q, _S, _O))
         new[q, QUOTED] = np.minimum(cost[q, START], cost[q, CLOSED])
         new[q, CLOSED] = cost[q, QUOTED]
@@ -117,7 +127,7 @@ def cheapest_edits(lines: list[np.ndarray], cells: int, bits: int = _BITS) -> np
         part = new[live]
         insert(part)
         cost[live] = part
-    return cost[:, [START, BARE, CLOSED], cells - 1].min(axis=1)
+    return cost[:, [START, BARE, CLOSED]].min(axis=1)
 
 
 def _never(bits: int) -> int:
@@ -157,6 +167,18 @@ def is_header(line: str) -> bool:
     )
 
 
+def _groups(walk: list[int], sizes: list[int]) -> Iterator[list[int]]:
+    """Lines of rising length in groups that stay below ``_CELLS`` when they are padded to the longest; a longer line goes alone."""
+    group: list[int] = []
+    for i, size in zip(walk, sizes):
+        if group and ((len(group) + 1) * size > _CELLS or len(group) == 512):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 def _parse(lines: list[str], seps: list[str], max_symbols: int | None) -> list[tuple]:
     """(cells, reason, detail, edits) of each line; reason 'header' or 'blank' marks lines that are no rows."""
     out: list[tuple | None] = [None] * len(lines)
@@ -171,20 +193,26 @@ def _parse(lines: list[str], seps: list[str], max_symbols: int | None) -> list[t
         else:
             walk.append(i)
     walk.sort(key=lambda i: len(lines[i]))
-    for at in range(0, len(walk), 512):
-        some = walk[at : at + 512]
+    for some in _groups(walk, [len(lines[i]) for i in walk]):
         sym = [symbols(lines[i], seps[i]) for i in some]
+        # the layer of cost zero first: what gets through it needs no edits
         whole, cells = unedited(sym)
         broken = [k for k in range(len(some)) if not whole[k] or cells[k] != len(SHEET_COLUMNS)]
-        mend = [k for k in broken if len(sym[k]) <= min(_NARROW, max_symbols or _NARROW)]
-        edits = dict(zip(mend, cheapest_edits([sym[k] for k in mend], len(SHEET_COLUMNS)).tolist())) if mend else {}
-        texts = {k: edit_text(e) for k, e in edits.items()}
+        short = [k for k in broken if len(sym[k]) <= min(_NARROW, max_symbols or _NARROW)]
+        costs = {k: (c, _BITS) for k, c in zip(short, edit_costs([sym[k] for k in short], len(SHEET_COLUMNS)))} if short else {}
+        for k in broken:
+            if k not in costs and (max_symbols is None or len(sym[k]) <= max_symbols):  # a long line goes alone, with wider counters
+                costs[k] = (edit_costs([sym[k]], len(SHEET_COLUMNS), _WIDE_BITS)[0], _WIDE_BITS)
         for k in broken:
-            if k not in texts and (max_symbols is None or len(sym[k]) <= max_symbols):  # a long line goes alone, with wider counters
-                texts[k] = edit_text(cheapest_edits([sym[k]], len(SHEET_COLUMNS), _WIDE_BITS)[0], _WIDE_BITS)
-            reason = "quoting" if not whole[k] else "columns"
-            detail = None if reason == "quoting" else str(int(cells[k]))
-            out[some[k]] = (None, reason, detail, texts.get(k))
+            edits = None
+            if k in costs:
+                # quotes are at fault where no number of cells is to be had without edits
+                cost, bits = costs[k]
+                reason = "quoting" if min(cost.tolist()) >= 1 << (4 * bits) else "columns"
+                edits = edit_text(int(cost[len(SHEET_COLUMNS) - 1]), bits)
+            else:
+                reason = "columns" if whole[k] else "quoting"
+            out[some[k]] = (None, reason, None if reason == "quoting" else str(int(cells[k])), edits)
     for i, line in enumerate(lines):
         if out[i] is None:
             cells = split_cells(line, seps[i])
