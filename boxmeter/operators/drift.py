@@ -2,27 +2,30 @@
 
 The top-level fields of each file are read through the structural index.  From
 one file of a series to the next, the fields that end and the fields that begin
-make two small schema graphs of names, words, kinds of content, values and
-types, without nested members.  Match scores flood over the graph of pairs until
-they settle.  Renamings are one-to-one correspondences that the content bears
-out; where it bears out several alike, the flooded score decides.
-Correspondences of the whole corpus give one table with the same columns and
-types for all files.
+make two small schema graphs: fields hold words, members (one level of nesting)
+with words of their own, kinds of content, values and types.  Match scores flood
+over the graph of pairs until they settle.  Renamings are the one-to-one
+correspondences that the flooded scores select, highest first, as far as the
+content bears them out.  Correspondences of the whole corpus give one table with
+the same columns and types for all files.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxmeter.operators.structure import KINDS, NULL, OBJECT, Index, _bytes, index, members, parts_of
+from boxmeter.operators.structure import KINDS, NULL, OBJECT, Index, Members, _bytes, index, parts_of
 from boxmeter.session import cut
 
 #: Field: (name, type or None for null, JSON text).
@@ -43,16 +46,16 @@ def words(name: str) -> set[str]:
 
 def content(raw: str):
     """What a value says regardless of its type: a lone member or a name stands for its list or object, numbers for their texts, moments for Unix times."""
-    v = json.loads(raw)
+    v = _load(raw)
     for _ in range(4):
-        if isinstance(v, str) and v[:1] in "[{":
+        if isinstance(v, str) and not isinstance(v, _Written) and v[:1] in "[{":
             try:
-                v = json.loads(v)
-            except ValueError:
+                v = _load(v)
+            except (ValueError, RecursionError):
                 break
         elif isinstance(v, list) and len(v) == 1:
             v = v[0]
-        elif isinstance(v, dict) and isinstance(v.get("name"), (str, int, float)):
+        elif isinstance(v, dict) and isinstance(v.get("name"), (str, float)):
             v = v["name"]
         elif isinstance(v, dict) and len(v) == 1:
             v = next(iter(v.values()))
@@ -62,7 +65,7 @@ def content(raw: str):
         return v
     if isinstance(v, str):
         s = v.strip()
-        if re.fullmatch(r"v?[+-]?\d+(\.\d+)?", s, re.I):
+        if re.fullmatch(r"v?[+-]?\d{1,300}(\.\d+)?", s, re.I | re.A):
             return float(s.lower().lstrip("v"))
         if s.lower() in ("true", "false"):
             return s.lower() == "true"
@@ -73,14 +76,29 @@ def content(raw: str):
             except ValueError:
                 pass
         return s
-    if isinstance(v, (int, float)):
-        x = float(v)
-        return ("time", x / 1000 if x > 1e11 else x) if 1e9 <= x < 1e10 or 1e12 <= x < 1e13 else x
+    if isinstance(v, float):
+        # a number of this size may be a Unix time; it is of either kind
+        return ("moment", v / 1000 if v > 1e11 else v) if 1e9 <= v < 1e10 or 1e12 <= v < 1e13 else v
     return json.dumps(v, sort_keys=True)
 
 
+class _Written(str):
+    """A JSON number as it is written."""
+
+
+def _float(text: str):
+    """The number, or its written form where a double cannot hold it."""
+    x = float(text)
+    return x if math.isfinite(x) else _Written(text)
+
+
+def _load(raw: str):
+    """A JSON value whose numbers are doubles; those that aren't finite stay as they are written."""
+    return json.loads(raw, parse_int=_float, parse_float=_float)
+
+
 def kind(value) -> str:
-    """The kind of a content: time, number, flag, list or object, path, or the shape of a text."""
+    """The kind of a content: time, moment (a number that may be one), number, flag, list or object, path, or text."""
     if value is None:
         return "null"
     if isinstance(value, tuple):
@@ -94,8 +112,42 @@ def kind(value) -> str:
     return "path" if "/" in value else "text"
 
 
-def _same(a, b) -> bool:
-    return a is not None and a == b and isinstance(a, bool) == isinstance(b, bool)
+#: What the comparisons need of a value: kind, digest of the content, names of its members.
+Sign = tuple[str, str, tuple[str, ...]]
+_SIGNED = "\0"
+
+
+@lru_cache(maxsize=1 << 16)
+def sign(raw: str) -> Sign:
+    """The signature of a JSON text, or of a value that was signed before."""
+    if raw[:1] == _SIGNED:
+        k, digest, members = json.loads(raw[1:])
+        return k, digest, tuple(members)
+    try:
+        value, whole = content(raw), _load(raw)
+    except RecursionError:  # nested too deep to look into
+        value, whole = raw, None
+    # moments compare equal to times, whatever they are written as
+    said = repr(("time", value[1])) if isinstance(value, tuple) else repr(value)
+    return kind(value), hashlib.md5(said.encode("utf-8", "surrogatepass")).hexdigest()[:16], tuple(whole) if isinstance(whole, dict) else ()
+
+
+def signed(raw: str) -> str:
+    """A JSON text as its signature, which is short and stands for it in comparisons."""
+    return raw if raw[:1] == _SIGNED else _SIGNED + json.dumps(sign(raw))
+
+
+def _same(a: Sign, b: Sign) -> bool:
+    return a[0] != "null" and a[1] == b[1]
+
+
+def _alike(a: Sign, b: Sign) -> bool:
+    """The same kind of content; a number that may be a time is of both kinds, and a null of any."""
+    x, y = {a[0]}, {b[0]}
+    for s in (x, y):
+        if "moment" in s:
+            s |= {"time", "number"}
+    return bool(x & y) or "null" in x | y
 
 
 def _word_likeness(a: str, b: str) -> float:
@@ -105,33 +157,44 @@ def _word_likeness(a: str, b: str) -> float:
     return 0.7 * len(short) / len(long) + 0.2 if len(short) >= 3 and long.startswith(short) else 0.0
 
 
+def _spread(holders: list[set[str]]) -> tuple[np.ndarray, list[str]]:
+    """(fields, names): the share of each name in the field that holds it, and the names."""
+    names = sorted({n for h in holders for n in h})
+    has = np.array([[n in h for n in names] for h in holders], float).reshape(len(holders), len(names))
+    return has / np.maximum(has.sum(1, keepdims=True), 1), names
+
+
 def flood(gone: list[Field], come: list[Field], rounds: int = 60) -> np.ndarray:
     """Match scores of every (ending, beginning) pair of fields after flooding, the best is 1.
 
-    Pairs of fields exchange scores with the pairs of their words, kinds and
-    values; every round adds what flows in and scales by the largest.
+    Pairs of fields exchange scores with the pairs of their words and of their
+    members; values, kinds and types give them what they start from.  Every
+    round adds what flows in, lets the alternatives of a field share, and scales
+    by the largest.
     """
-    wa, wb = ([sorted(words(f[0])) for f in side] for side in (gone, come))
-    ca, cb = ([content(f[2]) for f in side] for side in (gone, come))
-    left, right = sorted({w for x in wa for w in x}), sorted({w for x in wb for w in x})
-    has_a = np.array([[w in x for w in left] for x in wa], float)
-    has_b = np.array([[w in x for w in right] for x in wb], float)
-    like = np.array([[_word_likeness(p, q) for q in right] for p in left])
-    same_value = np.array([[_same(x, y) for y in cb] for x in ca], float)
-    same_kind = np.array([[kind(x) == kind(y) for y in cb] for x in ca], float)
+    sa, sb = ([sign(f[2]) for f in side] for side in (gone, come))
+    same_value = np.array([[_same(x, y) for y in sb] for x in sa], float)
+    same_kind = np.array([[_alike(x, y) for y in sb] for x in sa], float)
     same_type = np.array([[f[1] == g[1] for g in come] for f in gone], float)
-    # every pair of words spreads over the pairs of fields that hold it, and back
-    spread_a, spread_b = has_a / has_a.sum(1, keepdims=True), has_b / has_b.sum(1, keepdims=True)
-    back_a, back_b = has_a / has_a.sum(0, keepdims=True), has_b / has_b.sum(0, keepdims=True)
-    start = spread_a @ like @ spread_b.T + 1.5 * same_value + 0.4 * same_kind + 0.1 * same_type
-    fields, pairs = start.copy(), like.copy()
+    shared = np.array([[bool(words(f[0]) & words(g[0])) for g in come] for f in gone], float)
+    graphs = []
+    for hold in (lambda f, s: words(f[0]), lambda f, s: {w for m in s[2] for w in words(m)}):
+        a, left = _spread([hold(f, s) for f, s in zip(gone, sa)])
+        b, right = _spread([hold(f, s) for f, s in zip(come, sb)])
+        if left and right:
+            graphs.append((a, b, np.array([[_word_likeness(p, q) for q in right] for p in left])))
+    start = 2.0 * same_value + 2.0 * shared * same_kind + 0.3 * same_kind + 0.1 * same_type
+    for a, b, like in graphs:
+        start = start + 0.5 * a @ like @ b.T
+    fields, pairs = start / max(start.max(), 1e-12), [like for _, _, like in graphs]
     for _ in range(rounds):
-        new = start + fields + spread_a @ pairs @ spread_b.T
+        new = start + fields
+        for (a, b, _), p in zip(graphs, pairs):
+            new = new + 0.5 * a @ p @ b.T
         # alternatives of the same field hold each other down
-        new = new / np.sqrt(np.maximum(new.sum(1, keepdims=True) * new.sum(0, keepdims=True), 1e-12))
+        new = new / np.sqrt(np.maximum(np.sqrt(new.sum(1, keepdims=True) * new.sum(0, keepdims=True)), 1e-12))
         new /= max(new.max(), 1e-12)
-        pairs = like + like * (back_a.T @ new @ back_b)
-        pairs /= max(pairs.max(), 1e-12)
+        pairs = [like * (1 + _scaled(a.T @ new @ b)) / 2 for a, b, like in graphs]
         done = np.abs(new - fields).max() < 1e-4
         fields = new
         if done:
@@ -139,23 +202,29 @@ def flood(gone: list[Field], come: list[Field], rounds: int = 60) -> np.ndarray:
     return fields
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / max(x.max(), 1e-12)
+
+
+#: A pair of fields below this share of the best score of a file does not correspond.
+LEAST_SCORE = 0.1
+
+
 def renamings(gone: list[Field], come: list[Field]) -> list[tuple[Field, Field]]:
-    """One-to-one correspondences that carry content on: the same value, or the same kind of content under a name that shares a word."""
+    """One-to-one correspondences by falling flooded score, as far as they carry content on.
+
+    That is: the same value, or the same kind of content under a name that shares a word.
+    """
     if not gone or not come:
         return []
     score = flood(gone, come)
-    fits = []
-    for i, f in enumerate(gone):
-        for j, g in enumerate(come):
-            a, b = content(f[2]), content(g[2])
-            equal = _same(a, b)
-            shared = bool(words(f[0]) & words(g[0]))
-            alike = kind(a) == kind(b) or "null" in (kind(a), kind(b))
-            if equal or shared and alike:
-                fits.append((-(equal + shared), -score[i, j], f[0], g[0], i, j))
     out, used_i, used_j = [], set(), set()
-    for *_, i, j in sorted(fits):
-        if i not in used_i and j not in used_j:
+    order = sorted((-score[i, j], gone[i][0], come[j][0], i, j) for i, j in zip(*np.nonzero(score > LEAST_SCORE)))
+    for *_, i, j in order:
+        if i in used_i or j in used_j:
+            continue
+        a, b = sign(gone[i][2]), sign(come[j][2])
+        if _same(a, b) or words(gone[i][0]) & words(come[j][0]) and _alike(a, b):
             used_i.add(i)
             used_j.add(j)
             out.append((gone[i], come[j]))
@@ -166,12 +235,16 @@ def renamings(gone: list[Field], come: list[Field]) -> list[tuple[Field, Field]]
 State = dict[str, tuple[str | None, str, str | None]]
 
 
-def step(state: State, fields: list[Field]) -> tuple[list[tuple[str, str, str]], State]:
-    """The changes (change, field, new_field) that a file makes, and the state behind it."""
+def step(state: State, fields: list[Field], changes_too: bool = True) -> tuple[list[tuple[str, str, str]], State]:
+    """The changes (change, field, new_field) that a file makes, and the state behind it.
+
+    The state alone needs the renamings only where a beginning field is null
+    and takes its type from an ending one.
+    """
     now = {f[0]: f for f in fields}
     gone = [(n, t, raw) for n, (t, raw, _) in state.items() if n not in now]
     come = [f for f in fields if f[0] not in state]
-    pairs = renamings(gone, come)
+    pairs = renamings(gone, come) if changes_too or any(t is None for _, t, _ in come) else []
     came_from = {g[0]: f[0] for f, g in pairs}
     ended = {f[0] for f, _ in pairs}
     changes = [("removed", f[0], "") for f in gone if f[0] not in ended]
@@ -206,9 +279,9 @@ def meta_fields(df: DataFrame, root: str = "meta") -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (p for batch in batches for p in parts_of(batch, "content")):
             x = index(_bytes(b["content"]))
-            inside = members(x, x.depth <= 2)
+            inside = Members(x)
             found: list = [None] * len(b)
-            for top in inside.get(-1, ()):
+            for top in inside[-1]:
                 found[x.doc[top]] = _meta(x, inside, top, root)
             out = b[["run_id", "series", "written_at"]].copy()
             out["fields"] = found
@@ -222,10 +295,10 @@ def meta_fields(df: DataFrame, root: str = "meta") -> DataFrame:
     return one.select("run_id", "r.series", "r.written_at", "r.fields")
 
 
-def _meta(x: Index, inside: dict[int, list[int]], top: int, root: str) -> list[dict]:
-    for i in inside.get(top, ()):
+def _meta(x: Index, inside: Members, top: int, root: str) -> list[dict]:
+    for i in inside[top]:
         if x.key(i) == root and x.kind[i] == OBJECT:
-            last = {x.key(j): j for j in inside.get(i, ())}
+            last = {x.key(j): j for j in inside[i]}
             return [
                 {"name": n, "type": None if x.kind[j] == NULL else KINDS[x.kind[j]], "raw": x.raw(j).decode("utf-8", "replace")}
                 for n, j in last.items()
@@ -241,10 +314,11 @@ def changes(files: DataFrame) -> DataFrame:
     the field that has one.  Files of a null series are a series of their own.
     A series may be of any length: files are sorted into range partitions, so
     that one series may span many, and only the state at their borders (one row
-    per partition) passes over the driver.
+    per partition: names, types and signatures of the fields of a file) passes
+    over the driver.
     """
     spark = files.sparkSession
-    keyed = files.select(F.coalesce("series", F.lit("")).alias("series_key"), "written_at", "run_id", "fields")
+    keyed = _signed_fields(files).select(F.coalesce("series", F.lit("")).alias("series_key"), "written_at", "run_id", "fields")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(
         keyed.repartitionByRange(parts, "series_key", "written_at", "run_id")
@@ -264,7 +338,7 @@ def changes(files: DataFrame) -> DataFrame:
                     many = many or series is not None
                     series, state = r.series_key, _first(fields)
                 else:
-                    _, state = step(state, fields)
+                    _, state = step(state, fields, False)
         if first is not None:
             yield pd.DataFrame({"pid": [pid], "r": [json.dumps([first, series, many, state])]})
 
@@ -277,7 +351,7 @@ def changes(files: DataFrame) -> DataFrame:
         if before and before[0] == head:
             carried[pid] = before
             if not many:  # the whole partition goes on with the series: fields null since its start keep their earlier type
-                _, entry = step(before[1], [tuple(f) for f in fields])
+                _, entry = step(before[1], [tuple(f) for f in fields], False)
                 state = {n: (t or (entry[o][0] if o in entry else None), raw, o) for n, (t, raw, o) in state.items()}
         before = (series, state)
     shared = spark.sparkContext.broadcast(carried)
@@ -302,12 +376,29 @@ def changes(files: DataFrame) -> DataFrame:
     return ranged.mapInPandas(run, "run_id long, change string, field string, new_field string")
 
 
+def _signed_fields(files: DataFrame) -> DataFrame:
+    """The files with signatures in place of values: what the comparisons need, and all that is moved for them."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(fields=[[{"name": n, "type": t, "raw": signed(raw)} for n, t, raw in _as_fields(f)] for f in b["fields"]])
+
+    return files.select("run_id", "series", "written_at", "fields").mapInPandas(rows, _FILES)
+
+
+#: A table of more columns than this is not planned.
+MOST_NAMES = 20_000
+
+
 def canonical_names(files: DataFrame, found: DataFrame) -> dict[str, str]:
     """Every field name with the name of its column: the most frequent name among those that renamings join.
 
-    The names are the columns of a table, so their number is bounded by what a
-    plan can hold, not by the data.
+    The names become the columns of a table; of more than ``MOST_NAMES`` no plan
+    can be made, which is an error that says how many there are.
     """
+    n_names = files.select(F.explode("fields.name").alias("name")).distinct().count()
+    if n_names > MOST_NAMES:
+        raise ValueError(f"{n_names} different field names: these are data, not fields")
     counts = {r["name"]: r["n"] for r in files.select(F.explode("fields.name").alias("name")).groupBy("name").agg(F.count("*").alias("n")).collect()}
     links = found.filter("change = 'renamed'").groupBy("field", "new_field").agg(F.count("*").alias("n")).collect()
     root = {n: n for n in counts}
@@ -325,10 +416,6 @@ def canonical_names(files: DataFrame, found: DataFrame) -> dict[str, str]:
     return {n: find(n) for n in counts}
 
 
-class _Written(str):
-    """A JSON number as it is written."""
-
-
 _PLAIN = re.compile(r"-?\d{1,15}(\.\d+)?")
 
 
@@ -358,7 +445,7 @@ def _written(v) -> str:
 def _numbers(v):
     """Numbers as they are written made numbers again, within containers."""
     if isinstance(v, _Written):
-        return json.loads(v)
+        return json.loads(v) if len(v) < 4000 else str(v)  # longer integers are not numbers to Python
     if isinstance(v, list):
         return [_numbers(x) for x in v]
     return {k: _numbers(x) for k, x in v.items()} if isinstance(v, dict) else v

@@ -114,3 +114,31 @@ def test_copies_nulls_and_empty(spark):
 
 def test_words():
     assert D.words("maxAttempts") == {"max", "attempts"} and D.words("PROMPT_VERSION") == {"prompt", "version"} and D.words("version_of_prompt") == {"version", "prompt"}
+
+
+def test_the_flooded_score_selects(spark, monkeypatch):
+    import numpy as np
+
+    metas = [{"model": "a", "prompt_version": "v1"}, {"model_name": "a", "version": 1}]
+    assert {c[1] for c in found(spark, metas)} >= {"renamed"}
+    gone, come = ([(k, "string", json.dumps(v)) for k, v in m.items()] for m in metas)
+    assert len(D.renamings(gone, come)) == 2
+    monkeypatch.setattr(D, "flood", lambda a, b: np.zeros((len(a), len(b))))
+    assert D.renamings(gone, come) == []
+
+
+def test_members_tell_objects_apart(monkeypatch):
+    gone = [("options", "object", '{"depth": 3, "beam": 2}'), ("limits_options", "object", '{"calls": 3, "seconds": 9}')]
+    come = [("new_options", "object", '{"calls": 4, "seconds": 8}'), ("old_options", "object", '{"depth": 5, "beam": 1}')]
+    assert {(f[0], g[0]) for f, g in D.renamings(gone, come)} == {("options", "old_options"), ("limits_options", "new_options")}
+
+
+def test_any_legal_json_has_a_content(spark):
+    for raw in ("1" * 400, "1" * 5000, "-" + "9" * 6000 + ".5e3", '"' + "7" * 9000 + '"', "[" * 3000 + "]" * 3000, '"\\ud800"', "1e999", '{"name": 12}', "2e9"):
+        assert D.sign(raw)[0]
+        assert D.sign(D.signed(raw)) == D.sign(raw)
+    assert D._alike(D.sign("2000000000"), D.sign("900000000")) and D._alike(D.sign("1767300000"), D.sign('"2026-01-01T00:00:00Z"')) and not D._alike(D.sign("5"), D.sign('"2026-01-01T00:00:00Z"'))
+    assert D._same(D.sign("1767225600"), D.sign('"2026-01-01T00:00:00Z"'))
+    text = '{"meta": {"n": ' + "1" * 5000 + '}, "predictions": {}}'
+    df = D.cut(D.meta_fields(files(spark, [{"n": 1}, text])))
+    assert [r.n for r in D.unified(df, {"n": "n"}).orderBy("run_id").collect()] == ["1", "1" * 5000]
