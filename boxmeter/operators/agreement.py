@@ -54,22 +54,58 @@ def cohens_kappa(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n", ratio(F.col("agree"), F.col("n")).alias("agreement"), kappa.alias("kappa"))
 
 
+def _filled(labels: DataFrame) -> DataFrame:
+    return labels.filter("value IS NOT NULL AND value <> ''")
+
+
+def item_mismatches(labels: DataFrame) -> DataFrame:
+    """rater, n_items, n_missing, n_unfilled: what keeps the sheets of the raters from being compared as wholes.
+
+    n_missing counts items and fields that another rater has and this one
+    lacks; n_unfilled the rater's empty values.
+    """
+    every = labels.select("item", "field").distinct().count()
+    own = labels.groupBy("rater").agg(F.count_distinct("item", "field").alias("m"), F.count_if(F.coalesce("value", F.lit("")) == "").alias("n_unfilled"))
+    return own.select("rater", F.col("m").alias("n_items"), (F.lit(every) - F.col("m")).alias("n_missing"), "n_unfilled")
+
+
+def require_same_items(labels: DataFrame) -> DataFrame:
+    """The labels, or an error that names a rater whose sheet lacks items of the others or holds empty values."""
+    bad = item_mismatches(labels).filter("n_missing > 0 OR n_unfilled > 0").orderBy("rater").first()
+    if bad is not None:
+        raise ValueError(f"the sheets do not hold the same items: {bad['rater']} lacks {bad['n_missing']} and leaves {bad['n_unfilled']} empty")
+    return labels
+
+
 def fleiss_kappa(labels: DataFrame) -> DataFrame:
-    """field, n_items, raters, kappa over items that all raters labelled; null where chance agreement is 1."""
-    counts = labels.groupBy("field", "item", "value").agg(F.count("*").alias("m"))
+    """field, n_items, n_left_out, least_raters, most_raters, kappa; null where chance agreement is 1.
+
+    Every item with at least two filled values counts, whatever their number: an
+    item's agreement is the share of its pairs of raters that agree.  Where all
+    items have the same number this is the usual coefficient (``require_same_items``
+    insists on it).  Items with fewer values are counted in n_left_out.
+    """
+    counts = _filled(labels).groupBy("field", "item", "value").agg(F.count("*").alias("m"))
     per_item = counts.groupBy("field", "item").agg(F.sum("m").alias("r"), F.sum(F.col("m") * F.col("m")).alias("sq"))
-    most = per_item.groupBy("field").agg(F.max("r").alias("r"))
-    full = per_item.join(most, ["field", "r"])
-    p = full.groupBy("field").agg(F.count("*").alias("n_items"), F.max("r").alias("raters"), F.sum(F.col("sq") - F.col("r")).alias("agree"))
-    share = counts.join(full.select("field", "item"), ["field", "item"]).groupBy("field", "value").agg(F.sum("m").alias("m")).groupBy("field").agg(F.sum(F.col("m") * F.col("m")).alias("e"))
-    n, r = F.col("n_items"), F.col("raters")
-    pa, pe = ratio(F.col("agree"), n * r * (r - 1)), ratio(F.col("e"), n * r * n * r)
-    return p.join(share, "field").select("field", "n_items", "raters", F.when(F.col("e") < n * r * n * r, F.try_divide(pa - pe, 1 - pe)).alias("kappa"))
+    rated = per_item.filter("r > 1")
+    share = ratio(F.col("sq") - F.col("r"), F.col("r") * (F.col("r") - 1))
+    p = rated.groupBy("field").agg(
+        F.count("*").alias("n_items"), F.min("r").alias("least_raters"), F.max("r").alias("most_raters"), F.sum("r").alias("n"), F.avg(share).alias("agree")
+    )
+    values = counts.join(rated.select("field", "item"), ["field", "item"]).groupBy("field", "value").agg(F.sum("m").alias("m")).groupBy("field").agg(F.sum(F.col("m") * F.col("m")).alias("e"))
+    items = labels.groupBy("field").agg(F.count_distinct("item").alias("all_items"))
+    chance = ratio(F.col("e"), F.col("n") * F.col("n"))
+    out = items.join(p, "field", "left").join(values, "field", "left")
+    n = F.coalesce("n_items", F.lit(0))
+    return out.select(
+        "field", n.alias("n_items"), (F.col("all_items") - n).alias("n_left_out"), "least_raters", "most_raters",
+        F.when(F.col("e") < F.col("n") * F.col("n"), F.try_divide(F.col("agree") - chance, 1 - chance)).alias("kappa"),
+    )
 
 
 def all_agree(labels: DataFrame) -> DataFrame:
-    """field, n_items, share of items on which all raters agree, and the mean number of different values."""
-    per = labels.groupBy("field", "item").agg(F.count_distinct(F.coalesce("value", F.lit(""))).alias("v"))
+    """field, n_items, n_agree, all_agree: the share of items on which all raters agree, of those that at least two have filled."""
+    per = _filled(labels).groupBy("field", "item").agg(F.count_distinct("value").alias("v"), F.count("*").alias("r")).filter("r > 1")
     return per.groupBy("field").agg(F.count("*").alias("n_items"), F.count_if(F.col("v") == 1).alias("n_agree")).withColumn("all_agree", ratio(F.col("n_agree"), F.col("n_items")))
 
 

@@ -8,6 +8,8 @@ into one task; both ways give the same pairs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,30 +61,44 @@ def matched_array(gts: Column, preds: Column, threshold: float) -> Column:
     return F.aggregate(edges, empty, take)
 
 
+#: Below this overlap the grid of like sizes has more cells than the grid of all overlapping boxes.
+LEAST_GRID_OVERLAP = 0.3
+
+
 def _candidates(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that may match, by a grid: overlap of at least a half makes sides and centres differ by less than a factor of two and a side."""
-    size = lambda i: F.floor(F.log2(F.greatest(F.lit(1e-9), F.col("box")[i])))
-    cell = lambda i, k: F.floor((F.col("box")[i] + F.col("box")[i + 2] / 2) / F.pow(F.lit(2.0), F.col(k)))
-    p = pred.withColumn("kx", size(2)).withColumn("ky", size(3)).withColumn("cx", cell(0, "kx")).withColumn("cy", cell(1, "ky"))
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    wide = F.array(*[F.lit(d) for d in range(-4, 5)])
-    g = gt.withColumn("kx", F.explode(F.transform(around, lambda d: size(2) + d))).withColumn("ky", F.explode(F.transform(around, lambda d: size(3) + d)))
-    g = g.withColumn("cx", F.explode(F.transform(wide, lambda d: cell(0, "kx") + d))).withColumn("cy", F.explode(F.transform(wide, lambda d: cell(1, "ky") + d)))
-    pairs = p.select("image_id", "kx", "ky", "cx", "cy", F.col("idx").alias("pred"), "confidence", F.col("box").alias("pb")).join(
-        g.select("image_id", "kx", "ky", "cx", "cy", F.col("idx").alias("gt"), F.col("box").alias("gb")), ["image_id", "kx", "ky", "cx", "cy"]
-    )
-    return pairs.withColumn("iou", iou(F.col("gb"), F.col("pb"))).filter(F.col("iou") >= threshold).select("image_id", "gt", "pred", "confidence", "iou").distinct()
+    """Pairs that may match, by a grid, without looking at all pairs of an image.
+
+    An overlap of t makes sides differ by a factor of 1 / t at most and centres
+    by (1 - t) / 2t of the prediction's side.  So a prediction in a cell of its
+    size meets the boxes of few sizes from few cells around; for small t all
+    boxes that overlap at all are met.
+    """
+    g, p = (df.select("image_id", F.col("idx").cast("long").alias("idx"), *columns, "box") for df, columns in ((gt, []), (pred, ["confidence"])))
+    if threshold < LEAST_GRID_OVERLAP:
+        typed = lambda df: df.withColumn("damage_type", F.lit(None).cast("string"))
+        met = _met(typed(g), typed(p)).select("image_id", F.col("a").alias("gt"), F.col("b").alias("pred"), F.col("a_box").alias("gb"), F.col("b_box").alias("pb"))
+        pairs = met.join(p.select("image_id", F.col("idx").alias("pred"), "confidence"), ["image_id", "pred"])
+    else:
+        levels, reach = math.ceil(-math.log2(threshold)), math.ceil((1 - threshold) / threshold)
+        size = lambda i: F.floor(F.log2(F.greatest(F.lit(1e-9), F.col("box")[i])))
+        cell = lambda i, k: F.floor((F.col("box")[i] + F.col("box")[i + 2] / 2) / F.pow(F.lit(2.0), F.col(k)))
+        p = p.withColumn("kx", size(2)).withColumn("ky", size(3)).withColumn("cx", cell(0, "kx")).withColumn("cy", cell(1, "ky"))
+        around = F.array(*[F.lit(d) for d in range(-levels, levels + 1)])
+        wide = F.array(*[F.lit(d) for d in range(-reach, reach + 1)])
+        g = g.withColumn("kx", F.explode(F.transform(around, lambda d: size(2) + d))).withColumn("ky", F.explode(F.transform(around, lambda d: size(3) + d)))
+        g = g.withColumn("cx", F.explode(F.transform(wide, lambda d: cell(0, "kx") + d))).withColumn("cy", F.explode(F.transform(wide, lambda d: cell(1, "ky") + d)))
+        pairs = p.select("image_id", "kx", "ky", "cx", "cy", F.col("idx").alias("pred"), "confidence", F.col("box").alias("pb")).join(
+            g.select("image_id", "kx", "ky", "cx", "cy", F.col("idx").alias("gt"), F.col("box").alias("gb")), ["image_id", "kx", "ky", "cx", "cy"]
+        )
+    return pairs.withColumn("iou", iou(F.col("gb"), F.col("pb"))).filter((F.col("iou") >= threshold) & (F.col("iou") > 0)).select("image_id", "gt", "pred", "confidence", "iou").distinct()
 
 
 def match_in_rounds(gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOLD) -> DataFrame:
     """The pairs (image_id, gt, pred, iou) of greedy matching, found in rounds over candidate pairs.
 
     In a round every free prediction looks at its best free box; it takes the
-    box if no prediction before it could want that box.  For thresholds of 0.5
-    and more.
+    box if no prediction before it could want that box.
     """
-    if threshold < 0.5:
-        raise ValueError("the grid serves thresholds of 0.5 and more")
     left = cut(_candidates(gt, pred, threshold))
     done: DataFrame | None = None
     while not is_empty(left):
@@ -108,7 +124,7 @@ def greedy_match(gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOL
     """
     g, p = gt.select("image_id", F.col("idx").cast("long").alias("idx"), "box"), pred.select("image_id", F.col("idx").cast("long").alias("idx"), "confidence", "box")
     big = g.groupBy("image_id").count().union(p.groupBy("image_id").count()).filter(F.col("count") > fold_boxes).select("image_id").distinct()
-    if threshold >= 0.5 and not is_empty(big := cut(big)):
+    if not is_empty(big := cut(big)):
         small_g, small_p = g.join(big, "image_id", "left_anti"), p.join(big, "image_id", "left_anti")
         rest = match_in_rounds(g.join(big, "image_id", "left_semi"), p.join(big, "image_id", "left_semi"), threshold)
         return _fold(small_g, small_p, threshold).unionByName(rest)
@@ -122,7 +138,13 @@ def _fold(g: DataFrame, p: DataFrame, threshold: float) -> DataFrame:
 
 
 def _same_place_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(image_id, damage_type, a, b): boxes a of ``left`` and b of ``right`` in the same place, without looking at all pairs.
+    """(image_id, damage_type, a, b): boxes a of ``left`` and b of ``right`` in the same place, without looking at all pairs."""
+    near = _met(left, right).filter(same_place(F.col("a_box"), F.col("b_box"), threshold))
+    return near.select("image_id", F.when(~F.col("untyped"), F.col("damage_type")).alias("damage_type"), "a", "b").distinct()
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Boxes a of ``left`` and b of ``right`` of one type, all that overlap among them (a pair may stand several times).
 
     Boxes that overlap have their middles within the larger one's longer side,
     so both meet in a grid of that size or in the cell next to it.
@@ -146,8 +168,7 @@ def _same_place_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Da
 
     on = ["image_id", "damage_type", "untyped", "k", "cx", "cy"]
     columns = ["image_id", "damage_type", "untyped", "a", "b", "a_box", "b_box"]
-    met = large(l, "a").join(small(r, "b"), on).select(*columns).union(small(l, "a").join(large(r, "b"), on).select(*columns))
-    return met.filter(same_place(F.col("a_box"), F.col("b_box"), threshold)).select("image_id", F.when(~F.col("untyped"), F.col("damage_type")).alias("damage_type"), "a", "b").distinct()
+    return large(l, "a").join(small(r, "b"), on).select(*columns).union(small(l, "a").join(large(r, "b"), on).select(*columns))
 
 
 def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:

@@ -6,7 +6,13 @@ matched once; a resample only weighs them by how often it drew them.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,14 +76,20 @@ def seeded_draws(spark: SparkSession, n_images: int, resamples: int = RESAMPLES,
     return spark.createDataFrame(rows, "resample int, position long, times int")
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """The rows with position: places from 0 in order of ``key``, numbered over range partitions; one offset per partition is all that is shared."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_pid", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("_pid").agg(F.count("*").alias("_n")).select("_pid", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(key))
+    placed = ranged.withColumn("_i", inside).join(F.broadcast(offsets), "_pid")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_i") - 1).alias("position"))
+
+
 def positions(images: DataFrame) -> DataFrame:
-    """image_id, position: places from 0 in order of image_id, numbered over range partitions; one offset per partition is all that is shared."""
-    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(images.select("image_id").repartitionByRange(parts, "image_id").sortWithinPartitions("image_id").withColumn("pid", F.spark_partition_id()))
-    before = F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranged.groupBy("pid").agg(F.count("*").alias("n")).select("pid", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("pid").orderBy("image_id"))
-    return ranged.withColumn("i", inside).join(F.broadcast(offsets), "pid").select("image_id", (F.col("before") + F.col("i") - 1).alias("position"))
+    """image_id, position in order of image_id."""
+    return numbered(images.select("image_id"), "image_id").select("image_id", "position")
 
 
 def hashed_draws(images: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
@@ -88,17 +100,6 @@ def hashed_draws(images: DataFrame, resamples: int = RESAMPLES, seed: int = SEED
     return _times(each.select("resample", drawn.alias("position")))
 
 
-def modular_draws(images: DataFrame, resamples: int, a: int = 7919, b: int = 104729) -> DataFrame:
-    """(resample, position, times) by modular arithmetic that SQL can repeat, only to compare with it.
-
-    The draw is uneven, and positions from 1,000,003 on are never drawn; ``hashed_draws`` has neither flaw.
-    """
-    n = images.count()
-    each = images.select("position").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    x = (F.col("position") * a + F.col("resample") * b + F.col("position") * F.col("position") * 31 + F.col("resample") * F.col("position") * 17) % 1000003
-    return _times(each.select("resample", ((x * 7879) % 1000003 % max(n, 1)).alias("position")))
-
-
 def _times(drawn: DataFrame) -> DataFrame:
     # by position alone, so that the join with the statistics needs no other shuffle
     return drawn.repartition("position").groupBy("resample", "position").agg(F.count("*").alias("times"))
@@ -109,6 +110,57 @@ def resampled_metrics(stats: DataFrame, positions: DataFrame, draws: DataFrame)
     numbers = [c for c in stats.columns if c != "image_id"]
     drawn = draws.join(positions.join(stats, "image_id"), "position")
     sums = drawn.groupBy("resample").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in numbers])
+    return _metrics(sums)
+
+
+# fixed values: a prime for arithmetic on 31 bits
+_PRIME = (1 << 31) - 1
+#: Below these shares of the prime a hash means 0, 1, 2, ... copies (Poisson with mean 1).
+POISSON_STEPS = [int(_PRIME * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(13)]
+
+
+def resample_keys(resamples: int = RESAMPLES, seed: int = SEED) -> list[tuple[int, int, int, int]]:
+    """(resample, a0, a1, a2): the coefficients of each resample's hash."""
+    digits = [hashlib.md5(f"{seed}|{r}".encode()).hexdigest() for r in range(resamples)]
+    return [(r, *(int(x[7 * k : 7 * k + 7], 16) for k in range(3))) for r, x in enumerate(digits)]
+
+
+def poisson_copies(h1: np.ndarray, h2: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """(images, resamples): how often a resample takes an image, by a hash of both, as a Poisson number with mean 1."""
+    _, a0, a1, a2 = keys.T
+    y = (a0 + a1 * h1[:, None] + a2 * h2[:, None]) % _PRIME
+    square = y * y % _PRIME
+    x = square * square % _PRIME * y % _PRIME
+    return np.searchsorted(POISSON_STEPS, x, side="right")
+
+
+def poisson_metrics(stats: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """resample, metric, value of resamples that take each image a Poisson number of times.
+
+    The limit of drawing n of n images: an image's number is a hash of image
+    and resample, so images need no positions, no draws move, and the sums of a
+    task are the product of two matrices, one row per resample.  Two models
+    compared on the same images share the numbers (paired resamples).
+    """
+    numbers = [c for c in stats.columns if c != "image_id"]
+    keys = np.array(resample_keys(resamples, seed), np.int64)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(keys), len(numbers)))
+        for b in batches:
+            for at in range(0, len(b), 256):
+                p = b.iloc[at : at + 256]
+                total += poisson_copies(p["h1"].to_numpy(np.int64), p["h2"].to_numpy(np.int64), keys).T @ p[numbers].to_numpy(float)
+        yield pd.DataFrame(total, columns=numbers).assign(resample=keys[:, 0])
+
+    digits = F.md5(F.concat_ws("|", F.lit("image"), F.col("image_id").cast("string")))
+    halves = [F.conv(F.substring(digits, 1 + 7 * i, 7), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(2)]
+    hashed = stats.filter("image_id IS NOT NULL").select(*halves, *[F.col(c).cast("double").alias(c) for c in numbers])
+    parts = hashed.mapInPandas(sums, ", ".join(f"{c} double" for c in numbers) + ", resample int")
+    return _metrics(parts.groupBy("resample").agg(*[F.sum(c).alias(c) for c in numbers]))
+
+
+def _metrics(sums: DataFrame) -> DataFrame:
     pairs = [F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metric_columns().items()]
     return sums.select("resample", F.explode(F.array(*pairs)).alias("m")).select("resample", "m.metric", "m.value")
 

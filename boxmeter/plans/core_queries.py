@@ -166,41 +166,50 @@ def selective_curve(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.selective_curve(*views.pairs(spark, d))
 
 
-_DRAWS = 20
+_HALVES = " ".join(f", ('0x' || substr(md5('image|' || image_id), {1 + 7 * k}, 7))::BIGINT AS h{k + 1}" for k in range(2))
+_KEYS = ", ".join(f"('0x' || substr(md5('{resample.SEED}|' || r), {1 + 7 * k}, 7))::BIGINT AS a{k}" for k in range(3))
+_COUNT = lambda table, where: f"(SELECT count(*) FROM {table} x WHERE x.image_id = i.image_id{where})"
 _BOOT = PAIRS + f""", stats AS (
-  SELECT i.image_id, (SELECT count(*) FROM pairs m WHERE m.image_id = i.image_id) AS tp, (SELECT count(*) FROM pred p WHERE p.image_id = i.image_id) AS np, (SELECT count(*) FROM gt g WHERE g.image_id = i.image_id) AS ng
+  SELECT i.image_id{_HALVES}, {_COUNT("pairs", "")} AS tp, {_COUNT("pred", "")} AS np, {_COUNT("gt", "")} AS ng, {_COUNT("pairs", " AND gt_type = p_type")} AS ok,
+    coalesce((SELECT sum((confidence - CASE WHEN gt_type = p_type THEN 1.0::DOUBLE ELSE 0.0 END) ** 2) FROM pairs x WHERE x.image_id = i.image_id), 0.0) AS brier,
+    {", ".join(f"{_COUNT('pairs', f' AND {p} IS NOT NULL')} AS n_{f}, {_COUNT('pairs', f' AND {g} = {p}')} AS ok_{f}" for f, g, p in (("severity", "gs", "ps"), ("part", "gp", "pp"), ("action", "ga", "pa")))},
+    {", ".join(f"{_COUNT('pairs', chr(32) + f'AND gt_type = p_type AND gt_type = {t!r}')} AS tp{k}, {_COUNT('pred', f' AND damage_type = {t!r}')} AS np{k}, {_COUNT('gt', f' AND damage_type = {t!r}')} AS ng{k}" for k, t in enumerate(DAMAGE_TYPES))}
   FROM images i
-), n AS (SELECT count(*) AS n FROM images), numbered AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS position FROM images),
-draws AS (
-  SELECT r AS resample, (((position * 7919 + r * 104729 + position * position * 31 + r * position * 17) % 1000003) * 7879) % 1000003 % n AS position, count(*) AS times
-  FROM numbered, n, range({_DRAWS}) AS t(r) GROUP BY ALL
+), keys AS (SELECT r, {_KEYS} FROM range({resample.RESAMPLES}) AS t(r)),
+hashed AS (SELECT s.*, r, (a0 + a1 * h1 + a2 * h2) % 2147483647 AS y FROM stats s, keys),
+fifth AS (SELECT *, (((y * y) % 2147483647) * ((y * y) % 2147483647)) % 2147483647 * y % 2147483647 AS x FROM hashed),
+drawn AS (SELECT *, {" + ".join(f"(x >= {t})::BIGINT" for t in resample.POISSON_STEPS)} AS times FROM fifth),
+sums AS (
+  SELECT r, {", ".join(f"sum(times * {c}) AS {c}" for c in ["tp", "np", "ng", "ok", "brier", *[f"{k}_{f}" for f in ("severity", "part", "action") for k in ("n", "ok")], *[f"{c}{k}" for k in range(4) for c in ("tp", "np", "ng")]])}
+  FROM drawn GROUP BY r
 ), v AS (
-  SELECT resample, sum(times * tp) / sum(times * ng) AS recall, sum(times * tp) / sum(times * np) AS precision
-  FROM draws JOIN numbered USING (position) JOIN stats USING (image_id) GROUP BY resample
+  SELECT tp / nullif(ng, 0) AS recall, tp / nullif(np, 0) AS precision, ok / nullif(tp, 0) AS type_accuracy, brier / nullif(tp, 0) AS brier,
+    {", ".join(f"ok_{f} / nullif(n_{f}, 0) AS {f}_accuracy" for f in ("severity", "part", "action"))},
+    ({" + ".join(f"coalesce(2 * tp{k} / nullif(np{k} + ng{k}, 0), 0) * (np{k} > 0 AND ng{k} > 0)::INT" for k in range(4))}) / nullif({" + ".join(f"(np{k} + ng{k} > 0)::INT" for k in range(4))}, 0) AS macro_f1
+  FROM sums
 )
 """
 
 
-@query(
-    _BOOT
-    + " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, round(quantile_cont({m}, 0.025), 9) AS ci95_low, round(quantile_cont({m}, 0.975), 9) AS ci95_high, count({m}) AS resamples_used FROM v" for m in ("recall", "precision")
+def _intervals_sql(*metrics: str) -> str:
+    return _BOOT + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, round(quantile_cont({m}, 0.025), 9) AS ci95_low, round(quantile_cont({m}, 0.975), 9) AS ci95_high, count({m}) AS resamples_used FROM v" for m in metrics
     )
-)
+
+
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    values = resample.poisson_metrics(resample.statistics(*views.pairs(spark, d)))
+    return resample.intervals(values).select("metric", _r("ci95_low"), _r("ci95_high"), "resamples_used")
+
+
+@query(_intervals_sql("recall", "precision"))
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    images, gt, pred, pairs = views.pairs(spark, d)
-    stats = resample.statistics(images, gt, pred, pairs)
-    numbered = resample.positions(images)
-    values = resample.resampled_metrics(stats, numbered, resample.modular_draws(numbered, _DRAWS))
-    return resample.intervals(values).filter("metric IN ('recall', 'precision')").select("metric", _r("ci95_low"), _r("ci95_high"), "resamples_used")
+    return _intervals(spark, d).filter("metric IN ('recall', 'precision')")
 
 
-@query(None)
+@query(_intervals_sql("recall", "precision", "macro_f1", "type_accuracy", "severity_accuracy", "part_accuracy", "action_accuracy", "brier"))
 def bootstrap_all_metrics(spark: SparkSession, d: str) -> DataFrame:
-    images, gt, pred, pairs = views.pairs(spark, d)
-    stats = resample.statistics(images, gt, pred, pairs)
-    numbered = resample.positions(images)
-    return resample.intervals(resample.resampled_metrics(stats, numbered, resample.hashed_draws(numbered)))
+    return _intervals(spark, d)
 
 
 # ---------------------------------------------------------------- geometry, duplicates, tiles, before and after
@@ -320,20 +329,32 @@ def pairwise_kappas(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    LABELS + """, v AS (SELECT field, item, value, count(*) AS m FROM labels GROUP BY ALL), i AS (SELECT field, item, sum(m)::BIGINT AS r, sum(m * m)::BIGINT AS sq FROM v GROUP BY ALL),
-  f AS (SELECT * FROM i QUALIFY r = max(r) OVER (PARTITION BY field)), t AS (SELECT field, count(*) AS n_items, max(r) AS raters, sum(sq - r)::BIGINT AS agree FROM f GROUP BY field),
-  e AS (SELECT field, sum(m * m)::BIGINT AS e FROM (SELECT field, value, sum(m)::BIGINT AS m FROM v JOIN f USING (field, item) GROUP BY ALL) GROUP BY field)
-  SELECT field, n_items, raters, round((agree / (n_items * raters * (raters - 1)) - e / (n_items * raters * n_items * raters)) / (1 - e / (n_items * raters * n_items * raters)), 9) AS kappa FROM t JOIN e USING (field)"""
+    LABELS + """, rated AS (SELECT field, item, list(value) FILTER (value <> '') AS vs FROM labels GROUP BY ALL), many AS (SELECT * FROM rated WHERE len(vs) > 1),
+  same AS (SELECT field, item, len(vs) AS r, len(list_filter(flatten(list_transform(range(1, len(vs) + 1), lambda i: list_transform(range(i + 1, len(vs) + 1), lambda j: vs[i] = vs[j]))), lambda b: b)) AS agreeing FROM many),
+  one AS (SELECT field, value, count(*) AS m FROM (SELECT field, unnest(vs) AS value FROM many) GROUP BY ALL), shares AS (SELECT field, sum((m / total) ** 2) AS pe FROM (SELECT *, sum(m) OVER (PARTITION BY field) AS total FROM one) GROUP BY field),
+  t AS (SELECT field, count(*) AS n_items, min(r) AS least_raters, max(r) AS most_raters, avg(agreeing / (r * (r - 1) / 2)) AS pa FROM same GROUP BY field)
+  SELECT field, n_items, (SELECT count(*) FROM rated WHERE rated.field = t.field) - n_items AS n_left_out, least_raters, most_raters, round((pa - pe) / (1 - pe), 9) AS kappa FROM t JOIN shares USING (field)"""
 )
 def fleiss_kappa(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.fleiss_kappa(views.labels(spark, d)).select("field", "n_items", "raters", _r("kappa"))
+    return agreement.fleiss_kappa(views.labels(spark, d)).select("field", "n_items", "n_left_out", "least_raters", "most_raters", _r("kappa"))
 
 
-@query(LABELS + "SELECT field, count(*) AS n_items, count(*) FILTER (v = 1) AS n_agree, count(*) FILTER (v = 1) / count(*) AS all_agree FROM (SELECT field, item, count(DISTINCT value) AS v FROM labels GROUP BY ALL) GROUP BY field")
+@query(
+    LABELS + "SELECT field, count(*) AS n_items, count(*) FILTER (lo = hi) AS n_agree, count(*) FILTER (lo = hi) / count(*) AS all_agree "
+    "FROM (SELECT field, item, min(value) AS lo, max(value) AS hi FROM labels WHERE value <> '' GROUP BY ALL HAVING count(*) >= 2) GROUP BY field"
+)
 def all_agree(spark: SparkSession, d: str) -> DataFrame:
     return agreement.all_agree(views.labels(spark, d))
 
 
+@query(
+    LABELS + ", n AS (SELECT count(*) AS n FROM (SELECT DISTINCT item, field FROM labels)) "
+    "SELECT rater, count(*) AS n_items, (SELECT n FROM n) - count(*) AS n_missing, count(*) FILTER (value = '') AS n_unfilled FROM labels GROUP BY rater"
+)
+def sheet_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.item_mismatches(views.labels(spark, d))
+
+
 @query(
     LABELS + ", v AS (SELECT item, field, value, count(*) AS m FROM labels GROUP BY ALL) "
     "SELECT item, field, CASE WHEN max(m) * 2 > sum(m) THEN arg_max(value, m) ELSE '' END AS value, max(m) AS n_votes, sum(m)::BIGINT AS n_raters FROM v GROUP BY item, field"
@@ -612,11 +633,12 @@ def top_orders(spark: SparkSession, d: str) -> DataFrame:
     return ranked.withColumn("rank", F.rank().over(w.orderBy(F.desc("o_totalprice")))).filter("rank <= 3").select("o_custkey", "o_orderkey", "o_totalprice", F.col("rank").cast("long").alias("rank"), "running")
 
 
-@query("(SELECT p_partkey AS k FROM part INTERSECT SELECT l_partkey FROM lineitem) EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def never_returned(spark: SparkSession, d: str) -> DataFrame:
+    """The orders with items of which none came back."""
     li = read(spark, d, "lineitem")
-    sold = read(spark, d, "part").select(F.col("p_partkey").alias("k")).intersect(li.select("l_partkey"))
-    return sold.subtract(li.filter("l_returnflag = 'R'").select("l_partkey"))
+    sold = read(spark, d, "orders").select(F.col("o_orderkey").alias("k")).intersect(li.select("l_orderkey"))
+    return sold.subtract(li.filter("l_returnflag = 'R'").select("l_orderkey"))
 
 
 # ---------------------------------------------------------------- runs

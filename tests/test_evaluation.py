@@ -1,5 +1,6 @@
 """Matching and metrics on hand-computed cases and against plain loops."""
 
+import math
 import random
 
 import pytest
@@ -135,6 +136,51 @@ def test_kappas(spark):
     assert fleiss({"a": "xy", "b": "xy", "c": "xy"}) == pytest.approx(1) and fleiss({"a": "xy", "b": "yx"}) == pytest.approx(-1) and fleiss({"a": "xx", "b": "xx"}) is None
 
 
+def test_items_of_few_raters_count_too(spark):
+    labels = spark.createDataFrame([(0, "a", "f", "x"), (0, "b", "f", "x"), (0, "c", "f", "y"), (1, "a", "f", "y"), (1, "b", "f", "y"), (2, "a", "f", "x"), (3, "a", "f", ""), (3, "b", "f", None)], "item int, rater string, field string, value string")
+    got = agreement.fleiss_kappa(labels).first()
+    chance = (2 * 2 + 3 * 3) / 25
+    assert (got.n_items, got.n_left_out, got.least_raters, got.most_raters) == (2, 2, 2, 3) and got.kappa == pytest.approx(((1 / 3 + 1) / 2 - chance) / (1 - chance))
+    assert tuple(agreement.all_agree(labels).select("n_items", "n_agree").first()) == (2, 1)
+    assert {tuple(r) for r in agreement.item_mismatches(labels).collect()} == {("a", 4, 0, 1), ("b", 3, 1, 1), ("c", 1, 3, 0)}
+    with pytest.raises(ValueError, match="a lacks 0 and leaves 1 empty"):
+        agreement.require_same_items(labels)
+    agreement.require_same_items(long_labels(spark, {"a": "xy", "b": "yy"}))
+    assert agreement.fleiss_kappa(labels.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.35, 0.6])
+def test_rounds_serve_every_threshold(spark, threshold):
+    r = random.Random(14)
+    box = lambda: [r.randint(0, 30) / 10, r.randint(0, 30) / 10, r.choice((2, 5, 9, 14)) / 10, r.choice((2, 5, 9, 14)) / 10]
+    g, p = [box() for _ in range(60)], [(box(), r.choice((0.2, 0.5, 0.9))) for _ in range(60)]
+    gt = table(spark, [("a", i, b, "crack", "minor") for i, b in enumerate(g)])
+    pred = table(spark, [("a", i, b, "crack", "minor", c) for i, (b, c) in enumerate(p)], True)
+    ways = [{(x.gt, x.pred) for x in matching.greedy_match(gt, pred, threshold, n).collect()} for n in (1000, 5)]
+    assert ways[0] == ways[1] == plain(g, p, threshold) and ways[0]
+
+
+def test_poisson_resamples(spark):
+    import numpy as np
+
+    counts = [c for c in resample.statistics(*_empty_evaluation(spark)).columns if c != "image_id"]
+    rows = [(f"i{k}", k % 4, k % 3, k % 5) for k in range(600)]
+    stats = spark.createDataFrame(rows, "image_id string, tp long, fp long, fn long").repartition(3)
+    full = stats.select("*", *[F.lit(0).alias(c) for c in counts if c not in ("tp", "fp", "fn")])
+    got = {(r.resample, r.metric): r.value for r in resample.poisson_metrics(full, 300).collect()}
+    halves = np.array([[int(__import__("hashlib").md5(f"image|{r[0]}".encode()).hexdigest()[7 * i : 7 * i + 7], 16) for i in range(2)] for r in rows])
+    times = resample.poisson_copies(halves[:, 0], halves[:, 1], np.array(resample.resample_keys(300)))
+    assert abs(times.mean() - 1) < 0.01 and abs(times.var() - 1) < 0.02 and abs((times == 0).mean() - math.exp(-1)) < 0.005
+    assert abs(np.corrcoef(times[:, 0], times[:, 1])[0, 1]) < 0.15 and abs(np.corrcoef(times[0], times[1])[0, 1]) < 0.2
+    tp, fn = (times.T @ np.array([r[c] for r in rows]) for c in (1, 3))
+    assert [got[k, "recall"] for k in range(300)] == pytest.approx(list(tp / (tp + fn)))
+    # as wide as drawing n of n
+    drawn = np.random.default_rng(1).multinomial(600, [1 / 600] * 600, 300)
+    want = (drawn @ np.array([r[1] for r in rows])) / (drawn @ np.array([r[1] + r[3] for r in rows]))
+    assert np.std(tp / (tp + fn)) == pytest.approx(np.std(want), rel=0.2)
+    assert resample.poisson_metrics(full.filter("false"), 5).filter("value IS NOT NULL").count() == 0
+
+
 def test_majority(spark):
     got = {r.item: r.value for r in agreement.majority(long_labels(spark, {"a": "xxx", "b": "xyy", "c": "yxz"})).collect()}
     assert got == {0: "x", 1: "x", 2: ""}
