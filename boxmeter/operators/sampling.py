@@ -40,19 +40,26 @@ def stratified_sample(candidates: DataFrame, classes: list[str], per_class: int,
 def split_days(groups: DataFrame, share: float, seed: int) -> DataFrame:
     """(key, pool): whole groups in seeded order, each to the pool further below its target (dev on ties).
 
-    ``groups`` has key and n.  The order matters, so this is for groups that a
-    driver can hold, such as the days of a dataset.
+    ``groups`` has key and n, one row per group.  Where a group goes depends on
+    all before it, so they stream in order through one task that holds nothing
+    but the two totals; records were counted per group before.
     """
-    spark = groups.sparkSession
-    rows = groups.select("key", "n", seeded_order(seed, "key").alias("h")).orderBy("h", "key").collect()
-    total, dev, test, out = sum(r["n"] for r in rows), 0, 0, []
-    for r in rows:
-        if share * total - dev >= (1 - share) * total - test:
-            dev, pool = dev + r["n"], "dev"
-        else:
-            test, pool = test + r["n"], "test"
-        out.append((r["key"], pool))
-    return spark.createDataFrame(out, "key string, pool string")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+
+    def walk(batches):
+        dev = test = 0
+        for b in batches:
+            pools = []
+            for n in b["n"].tolist():
+                if share * total - dev >= (1 - share) * total - test:
+                    dev, pool = dev + n, "dev"
+                else:
+                    test, pool = test + n, "test"
+                pools.append(pool)
+            yield b[["key"]].assign(pool=pools)
+
+    ordered = groups.select("key", "n", seeded_order(seed, "key").alias("h")).repartition(1).sortWithinPartitions("h", "key")
+    return ordered.mapInPandas(walk, "key string, pool string")
 
 
 def train_or_val(pool: DataFrame, sample: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,8 @@ DAMAGE_TYPES = ["glass_shatter", "lamp_broken", "crack", "scratch"]
 PARTS = ["bumper", "door", "light", "window", "windshield", "hood", "fender", "mirror", "wheel", "other"]
 SEVERITIES = ["minor", "moderate", "severe"]
 ACTIONS = ["repair", "replacement"]
-GENERAL_DAMAGE_TYPES = ["scratch", "dent", "paint_chip", "crack", "glass_shatter", "lamp_broken", "rust", "broken_part"]
-GENERAL_PARTS = ["bumper", "door", "light", "window", "windshield", "hood", "fender", "mirror", "wheel", "trunk", "roof", "grille", "sill", "other"]
+GENERAL_DAMAGE_TYPES = ["glass_shatter", "lamp_broken", "crack", "scratch", "dent", "paint_chip", "rust", "broken_part"]
+GENERAL_PARTS = ["bumper", "door", "light", "window", "windshield", "hood", "fender", "mirror", "wheel", "other", "trunk", "roof", "grille", "sill"]
 SHEET_COLUMNS = ["image_id", "file_name", "annotation_id", "damage_type", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "part", "severity", "action", "comment"]
 CALIBRATION_BINS = [(0.0, 0.5), (0.5, 0.7), (0.7, 0.9), (0.9, 1.0)]
 THRESHOLDS = [0.0, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]

@@ -31,12 +31,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     The cluster's ``spark.checkpoint.dir`` is used as it is.  Only where it is
-    unset (tests, notebooks) a temporary folder of this machine is taken.
+    unset and the session is a local one (tests, notebooks) a temporary folder
+    of this machine is taken; a cluster without a shared folder is an error.
     """
     sc = spark.sparkContext
     shared = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return shared or sc._jsc.sc().getCheckpointDir().get()
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all machines of the cluster share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="boxmeter-checkpoint-"))
     return shared or sc._jsc.sc().getCheckpointDir().get()
 

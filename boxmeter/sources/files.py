@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from pathlib import Path
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxmeter.schemas import GROUND_TRUTH, PREDICTIONS, SHEET, SHEET_COLUMNS
+from boxmeter.operators.resample import numbered
+from boxmeter.schemas import GROUND_TRUTH, PREDICTIONS, SHEET_COLUMNS
 
 
 def read_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -36,8 +38,8 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
     """``;`` unless a comma is more frequent in the first 4096 characters."""
-    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096).alias("h")).first()
-    text = head["h"] if head else ""
+    lines = spark.read.text(path).limit(200).collect()  # in order: a file is read from its start
+    text = "\n".join(r["value"] for r in lines)[:4096]
     return ";" if text.count(";") >= text.count(",") else ","
 
 
@@ -77,29 +79,58 @@ def yolo_lines(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("split", "stem").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
+def _plain(line: str) -> str:
+    """A line without its comment: ``#`` outside of quotes, at the start or behind a blank."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1].isspace()):
+            return line[:i]
+    return line
+
+
+def _items(text: str) -> list[str]:
+    """The parts between commas outside of quotes."""
+    parts, quote = [""], ""
+    for c in text:
+        if c == "," and not quote:
+            parts.append("")
+            continue
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        parts[-1] += c
+    return [p for p in parts if p.strip()]
+
+
 def read_names(path: str) -> dict[int, str]:
     """The ``names`` entry of a dataset description: a list or a map, inline or as a block."""
-    lines = Path(path).read_text(encoding="utf-8").splitlines()
-    at = next((i for i, line in enumerate(lines) if line.split("#")[0].strip().startswith("names:")), None)
+    lines = [_plain(line) for line in Path(path).read_text(encoding="utf-8").splitlines()]
+    heads = [re.fullmatch(r"names\s*:(.*)", line.rstrip()) for line in lines]
+    at = next((i for i, m in enumerate(heads) if m), None)
     if at is None:
         raise ValueError(f"no names in {path}")
     unquote = lambda s: s.strip().strip("'\"")
-    inline = lines[at].split("#")[0].split(":", 1)[1].strip()
+    inline = heads[at].group(1).strip()
     if inline.startswith("["):
-        return dict(enumerate(unquote(x) for x in inline.strip("[]").split(",") if x.strip()))
+        return dict(enumerate(unquote(x) for x in _items(inline.strip("[]"))))
     if inline.startswith("{"):
-        return {int(unquote(k)): unquote(v) for k, v in (x.split(":", 1) for x in inline.strip("{}").split(",") if x.strip())}
+        return {int(unquote(k)): unquote(v) for k, v in (x.split(":", 1) for x in _items(inline.strip("{}")))}
     out: dict[int, str] = {}
     for line in lines[at + 1 :]:
-        body = line.split("#")[0].rstrip()
+        body = line.strip()
         if not body:
             continue
         if not line[0].isspace() and not body.startswith("-"):
             break
-        if body.strip().startswith("-"):
-            out[len(out)] = unquote(body.strip()[1:])
+        if body.startswith("-"):
+            out[len(out)] = unquote(body[1:])
         else:
-            k, v = body.strip().split(":", 1)
+            k, v = body.split(":", 1)
             out[int(unquote(k))] = unquote(v)
     return out
 
@@ -155,13 +186,20 @@ def image_info(data: pd.Series) -> pd.DataFrame:
     return out.astype({c: "Int32" for c in IMAGE.names[1:]})
 
 
+#: Bytes of an image file that its header is looked for in; metadata may stand before the size.
+HEADER_BYTES = 1 << 20
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, size and header of the images in a folder, image_id by name from 1 (a folder listing fits one task)."""
-    from pyspark.sql import Window
+    """file_name, size and header of the images in a folder, image_id by name from 1.
 
+    Only sizes and headers leave the readers; names are numbered over range
+    partitions, of which one offset each is shared.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path)
-    rows = files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), F.col("length").alias("size"), image_info("content").alias("i"))
-    return rows.select(F.row_number().over(Window.orderBy("file_name")).alias("image_id"), "file_name", "size", "i.*")
+    head = F.substring("content", 1, HEADER_BYTES)
+    rows = files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), F.col("length").alias("size"), image_info(head).alias("i"))
+    return numbered(rows, "file_name").select((F.col("position") + 1).alias("image_id"), "file_name", "size", "i.*")
 
 
 def coco_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -173,7 +211,3 @@ def coco_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     )
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
     return {t: doc.select(F.explode(t).alias("x")).select("x.*") for t in ("images", "annotations", "categories")}
-
-
-def sheet_schema() -> T.StructType:
-    return SHEET

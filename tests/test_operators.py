@@ -208,6 +208,42 @@ def test_limiter(spark, tmp_path):
     assert {r.event_id for r in spark.table("admitted").filter("admitted").collect()} == ADMITTED
 
 
+def test_limiter_on_many_batches_equals_the_batch(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    rows, at = [], 0
+    for i in range(240):
+        at += r.choice((0, 5, 40, 900))
+        rows.append((i, r.randrange(3), at, r.choice((1, 2, 3, -1))))
+    late = sorted(rows, key=lambda x: x[2] + r.randrange(0, 500))  # out of order, within the allowed delay
+    schema = "event_id long, user_id long, at long, units int"
+    for k in range(6):
+        part = late[k * 40 : k * 40 + 40]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(999, 77, at + 100_000, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = {(x.event_id, x.admitted) for x in limiter.admit_batch(spark.createDataFrame(rows, schema), 5, 3600).collect()}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = limiter.admit_stream(stream, 5, 3600, "600 seconds").writeStream.format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert {(x.event_id, x.admitted) for x in spark.table("many").collect()} == want
+
+
+def test_limiter_gives_back_the_newest_units():
+    held = limiter.Window(5, 100)
+    assert [held.decide(0, 3), held.decide(10, 2), held.decide(20, 1), held.decide(30, -3), held.decide(40, 3), held.decide(40, -99), held.decide(41, 5)] == [True, True, False, True, True, True, True]
+    assert held.held == 5 and list(held.taken) == [[41, 5]]
+
+
+def test_names_of_every_form(tmp_path):
+    for text, want in [
+        ("names : [a, b]", {0: "a", 1: "b"}), ("names: ['a#1', b]  # two", {0: "a#1", 1: "b"}), ("nc: 2\nnames:\n- x # first\n- 'y, z'\nval: q", {0: "x", 1: "y, z"}),
+        ("names: {0: 'p:q', 3: r}", {0: "p:q", 3: "r"}), ("names:\n  1: one\n\n  2: \"t#2\"", {1: "one", 2: "t#2"}), ("names: []", {}),
+    ]:
+        (tmp_path / "d.yaml").write_text(text)
+        assert files.read_names(str(tmp_path / "d.yaml")) == want, text
+
+
 def test_windows_stream(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:01", "a", 1.0), ("2024-01-01 00:10:00", "a", 2.0), ("2024-01-01 03:00:00", "b", 3.0)], "t string, event_type string, value double").selectExpr("CAST(t AS TIMESTAMP_NTZ) AS ts", "event_type", "value")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
