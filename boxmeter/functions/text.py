@@ -92,3 +92,24 @@ def signature_valid(init_data: pd.Series, token: pd.Series) -> pd.Series:
         return hmac.compare_digest(hmac.new(key, text.encode(), hashlib.sha256).hexdigest(), given)
 
     return pd.Series([one(a, b) for a, b in zip(init_data, token)], dtype="bool")
+
+
+def still_valid(auth_seconds: Column, now: Column, max_age: int) -> Column:
+    """Whether a time of signing, as text or number, is at most ``max_age`` seconds old; null where it is no number."""
+    return now - auth_seconds.try_cast("long") <= max_age
+
+
+def local_time(at: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
+    """A UTC time without zone as text in the clock of ``zone``."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), at.cast("timestamp_ntz")), pattern)
+
+
+def data_url(data: Column, media: Column) -> Column:
+    """Bytes as base64 in a data URL; null for nulls."""
+    return F.concat(F.lit("data:"), media, F.lit(";base64,"), F.regexp_replace(F.base64(data), "\\s", ""))
+
+
+def with_corrections(prompt: Column, attempt: Column, violations: Column, intro: str) -> Column:
+    """The prompt of a repeated attempt: the first one as it is, later ones with ``intro`` and a line for each violation of the last answer."""
+    lines = F.array_join(F.transform(violations, lambda v: F.concat(F.lit("- "), v)), "\n")
+    return F.when((attempt <= 1) | (F.size(violations) <= 0) | violations.isNull(), prompt).otherwise(F.concat(prompt, F.lit(f"\n\n{intro}\n"), lines))

@@ -279,7 +279,7 @@ def meta_fields(df: DataFrame, root: str = "meta") -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (p for batch in batches for p in parts_of(batch, "content")):
             x = index(_bytes(b["content"]))
-            inside = Members(x)
+            inside = Members(x, 2)
             found: list = [None] * len(b)
             for top in inside[-1]:
                 found[x.doc[top]] = _meta(x, inside, top, root)
@@ -318,7 +318,7 @@ def changes(files: DataFrame) -> DataFrame:
     over the driver.
     """
     spark = files.sparkSession
-    keyed = _signed_fields(files).select(F.coalesce("series", F.lit("")).alias("series_key"), "written_at", "run_id", "fields")
+    keyed = cut(_signed_fields(files)).select(F.coalesce("series", F.lit("")).alias("series_key"), "written_at", "run_id", "fields")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(
         keyed.repartitionByRange(parts, "series_key", "written_at", "run_id")

@@ -13,19 +13,28 @@ def merge_photos(damages: DataFrame) -> DataFrame:
     """One row per key, part and type: the same damage seen on several photos.
 
     ``damages`` has key, position, part, damage_type, severity, action,
-    confidence.  Confidence is the mean, severity the worst, the action that of
+    confidence, and may have description.  Confidence is the mean, severity the worst, the action that of
     the most confident sight (the first on ties); first_seen orders the rows.
     An unknown severity fails.
     """
     ranks = F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])
     names = F.array(*[F.lit(s) for s in SEVERITY_RANK])
     ranked = damages.withColumn("rank", F.coalesce(F.try_element_at(ranks, F.col("severity")), F.raise_error(F.concat(F.lit("unknown severity "), F.coalesce("severity", F.lit("null")))).cast("int")))
+    best = F.struct("confidence", (-F.col("position")).alias("p"))
+    more = [F.max_by("description", best).alias("description")] if "description" in damages.columns else []
     return ranked.groupBy("key", "part", "damage_type").agg(
         F.min("position").alias("first_seen"), F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.element_at(names, F.max("rank") + 1).alias("severity"),
-        F.max_by("action", F.struct("confidence", (-F.col("position")).alias("p"))).alias("action"),
+        F.max_by("action", best).alias("action"), *more,
     )
 
 
+def merged_status(answers: DataFrame) -> DataFrame:
+    """key, status, n_photos, n_failed: a report is an error only where all its photos failed."""
+    ok = F.col("status") == "success"
+    t = answers.groupBy("key").agg(F.count("*").alias("n_photos"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_failed"))
+    return t.select("key", F.when(F.col("n_failed") < F.col("n_photos"), "success").otherwise("error").alias("status"), "n_photos", "n_failed")
+
+
 def overall_score(merged: DataFrame) -> DataFrame:
     """key, overall_score: the sum over merged damages of (rank + 1) x 20 x confidence, 100 at most."""
     ranks = F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])

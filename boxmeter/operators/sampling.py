@@ -82,3 +82,14 @@ def per_class_images(df: DataFrame, classes: list[str]) -> DataFrame:
 def newest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
+
+
+def images_by_class(annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """(class, image_id): every image of each category once; annotations of unknown categories and nulls are skipped."""
+    named = annotations.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("class")), "category_id")
+    return named.filter("class IS NOT NULL AND image_id IS NOT NULL").select("class", "image_id").distinct()
+
+
+def unknown_classes(categories: DataFrame, classes: list[str]) -> DataFrame:
+    """The category names that are not among ``classes``, to be warned about."""
+    return categories.filter(F.col("name").isNotNull() & ~F.col("name").isin(classes)).select("name").distinct()

@@ -66,3 +66,36 @@ def same_run(meta: dict[str, str], earlier: dict[str, str], keys: tuple[str, ...
     other = [k for k in keys if meta.get(k) != earlier.get(k)]
     if other:
         raise ValueError(f"the earlier run differs in {', '.join(other)}")
+
+
+def find(table: DataFrame, key: str, value, owner: str | None = None, user=None) -> DataFrame:
+    """The rows of a key; with ``owner`` those of another user are as if they were not there."""
+    rows = table.filter(F.col(key) == F.lit(value))
+    return rows if owner is None else rows.filter(F.col(owner) == F.lit(user))
+
+
+def decoded_photos(photos: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Photos in order of idx with their JSON columns (name: schema) decoded; broken and null JSON is null."""
+    for name, schema in columns.items():
+        photos = photos.withColumn(name, F.from_json(name, schema))
+    return photos.orderBy("inspection_id", "idx")
+
+
+def new_inspections(rows: DataFrame, last_seq: int = 0) -> DataFrame:
+    """Rows to append to the inspections: the caller's inspection_id, and seq in order of created_at behind ``last_seq``."""
+    from boxmeter.operators.resample import numbered
+
+    placed = numbered(rows.withColumn("order", F.struct("created_at", "inspection_id")), "order")
+    return placed.withColumn("seq", F.col("position") + last_seq + 1).drop("order", "position")
+
+
+def new_photos(photos: DataFrame) -> DataFrame:
+    """Rows to append to the photos: damages as JSON without nulls where the analysis succeeded, else the empty list."""
+    ok = F.col("status") == "success"
+    return photos.withColumn("damages_json", F.when(ok & F.col("damages").isNotNull(), F.to_json("damages")).otherwise("[]")).drop("damages")
+
+
+def comparison_totals(states: DataFrame, key: str) -> DataFrame:
+    """key, n_new, n_existing, n_not_compared of compared damages (``matching.existing_before``)."""
+    count = lambda s: F.count_if(F.col("state") == s)
+    return states.groupBy(key).agg(count("NEW").alias("n_new"), count("EXISTING").alias("n_existing"), count("NOT_COMPARED").alias("n_not_compared"))

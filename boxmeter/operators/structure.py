@@ -338,8 +338,10 @@ def whole_values(df: DataFrame, id_column: str, text_column: str, by_column: str
 class Members:
     """The values in each container, in document order; container -1 holds the values at the top."""
 
-    def __init__(self, x: Index):
-        self.order = np.argsort(x.parent, kind="stable")
+    def __init__(self, x: Index, deepest: int | None = None):
+        """Down to ``deepest``, if that is given."""
+        near = np.arange(len(x.parent)) if deepest is None else np.flatnonzero(x.depth <= deepest)
+        self.order = near[np.argsort(x.parent[near], kind="stable")]
         self.edges = np.searchsorted(x.parent[self.order], np.arange(-1, len(x.parent) + 1))
 
     def __getitem__(self, i: int) -> list[int]:
@@ -355,12 +357,12 @@ def members(x: Index) -> dict[int, list[int]]:
 _DAMAGE_FIELDS = ("damage_type", "part", "severity", "action", "confidence", "annotation_id", "description")
 _IMAGE_FIELDS = ("status", "file_name", "width", "height", "overall_score", "attempts", "vehicle_visible", "error_message")
 _BOX_NAMES = ("bounding_box", "bbox")
-_TEXTS = ("meta", *_IMAGE_FIELDS, *_DAMAGE_FIELDS)
-FLAT = (
-    "kind string, doc_id long, digest long, image_no long, image_id string, damage_no long, box_no long, "
-    + ", ".join(f"{c} string" for c in _TEXTS)
-    + ", number double"
-)
+#: The columns of the flat table: those of every row, and those of a kind.
+_LINKS = ["kind string", "doc_id long", "digest long", "image_no long", "image_id string", "damage_no long"]
+_OF_KIND = {
+    "document": ["meta string"], "image": [f"{c} string" for c in _IMAGE_FIELDS], "damage": [f"{c} string" for c in _DAMAGE_FIELDS],
+    "box": ["box_no long", "number double"],
+}
 
 
 def _entries(x: Index, inside: Members, top: int) -> Iterator[tuple[int, str | None, dict[str, int], dict[str, int]]]:
@@ -456,7 +458,7 @@ def flat_tables(
     An image row has damage_no -1 where the image has no damage object.  Without
     damage and box in ``kinds`` damages come as rows of kind place that only
     hold the links; the places are the same.  A document row holds ``meta`` as
-    JSON text.
+    JSON text.  The table has the columns of the wanted kinds.
     Rows with the same id are copies or damaged deliveries: of the whole texts
     of a document the one of smallest digest counts (of ``by_column``, if it is
     given).  Entries may stand in an object by image id or in a list; damages in
@@ -464,8 +466,10 @@ def flat_tables(
     Null entries and invalid texts give nothing.
     """
 
+    flat_columns = [*_LINKS, *[c for k, columns in _OF_KIND.items() if k in kinds for c in columns]]
+    names = [c.split()[0] for c in flat_columns]
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FLAT.split(", ")]
         for b in (p for batch in batches for p in parts_of(batch, "text")):
             out: list[dict] = []
             _emit(index(_bytes(b["text"])), b["doc_id"].to_numpy(), b["digest"].to_numpy(), kinds, out)
@@ -476,7 +480,7 @@ def flat_tables(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
     # copies fall together before one delivery per document is chosen; whole texts never move
-    flat = cut(texts.mapInPandas(rows, FLAT).distinct())
+    flat = cut(texts.mapInPandas(rows, ", ".join(flat_columns)).distinct())
     first = flat.filter("kind = 'document'").groupBy("doc_id").agg(F.min("digest").alias("digest"))
     return flat.join(first, ["doc_id", "digest"], "left_semi").drop("digest")
 

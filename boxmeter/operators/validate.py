@@ -26,6 +26,23 @@ def parse_answer(raw: Column) -> tuple[Column, Column]:
     return F.when(problem.isNull(), parsed), problem
 
 
+def judged_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:
+    """``answers`` with answer and problem, as ``parse_answer`` gives them; every text is parsed once.
+
+    Text and parsed struct go through a generator of one row, which no
+    projection is merged with, so what refers to them doesn't parse again.
+    """
+    text = F.trim(strip_fence(F.trim(F.col(raw))))
+    once = answers.select("*", F.explode(F.array(text)).alias("_text"))
+    once = once.select("*", F.explode(F.array(F.from_json("_text", _CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))).alias("_parsed"))
+    problem = (
+        F.when(F.col(raw).isNull() | (F.trim(raw) == ""), "empty answer")
+        .when(~F.col("_text").startswith("{"), "answer is not a JSON object")
+        .when(F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull(), "answer is not valid JSON")
+    )
+    return once.select(*answers.columns, F.when(problem.isNull(), F.col("_parsed")).alias("answer"), problem.alias("problem"))
+
+
 def _number(x: Column) -> Column:
     return x.cast("string")
 
@@ -86,10 +103,10 @@ def first_valid_attempt(answers: DataFrame, max_attempts: int = 3) -> DataFrame:
     ``answers`` has key, attempt (from 1), raw (null: the call failed).  Result:
     key, status, attempts, damages (number), error_message.
     """
-    answer, problem = parse_answer(F.col("raw"))
-    judged = answers.filter(F.col("attempt") <= max_attempts).withColumn("answer", without_vehicle(answer)).withColumn("problem", problem)
+    judged = judged_answers(answers.filter(F.col("attempt") <= max_attempts).select("key", "attempt", "raw"))
+    judged = judged.withColumn("answer", without_vehicle(F.col("answer")))
     found = F.when(F.col("raw").isNull(), F.array(F.lit("model call failed"))).when(F.col("problem").isNotNull(), F.array("problem")).otherwise(violations(F.col("answer")))
-    judged = judged.select("key", "attempt", F.size(F.col("answer.damages")).alias("damages"), found.alias("found"))
+    judged = judged.select("key", "attempt", F.size(F.col("answer.damages")).alias("damages"), F.explode(F.array(found)).alias("found"))
     log = F.concat(F.lit("attempt "), F.col("attempt").cast("string"), F.lit(": "), F.array_join("found", "; "))
     per = judged.groupBy("key").agg(
         F.min(F.when(F.size("found") == 0, F.struct("attempt", "damages"))).alias("ok"), F.max("attempt").alias("n"),

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxmeter.functions import text
-from boxmeter.operators import agreement, conversion, evaluate, geometry, matching, merging, resample, runs, sampling, store, validate
+from boxmeter.operators import agreement, conversion, detector, evaluate, geometry, matching, merging, resample, runs, sampling, store, validate
 from boxmeter.plans import views
 from boxmeter.plans.views import LABELS, PAIRS, read
 from boxmeter.schemas import CALIBRATION_BINS, DAMAGE_TYPES, LABEL_FIELDS, SEVERITIES, THRESHOLDS
-from boxmeter.streaming import limiter, windows
+from boxmeter.streaming import keyed, limiter, windows
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -237,7 +237,15 @@ def suppressed_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return matching.suppress_duplicates(views.boxes(spark, d).filter("is_pred = 1"), 0.4)
 
 
-@query(None)
+_LOOK = _DUPLICATES.replace(
+    "p AS (SELECT * FROM box WHERE is_pred = 1)",
+    f"""p AS (SELECT * FROM box a WHERE is_pred = 1 AND NOT EXISTS (
+  SELECT 1 FROM (SELECT b.k, {_SAME} AS i, a.w * a.h AS aa, b.w * b.h AS ba FROM box b WHERE b.is_pred = 0 AND b.image_id = a.image_id AND b.damage_type = a.damage_type)
+  WHERE i > 0 AND (i / (aa + ba - i) >= 0.4 OR i / least(aa, ba) >= 0.8)))""",
+).replace("SELECT image_id, unnest(kept) AS idx FROM walk", "SELECT image_id, k AS idx, 1 AS look FROM box WHERE is_pred = 0 UNION ALL SELECT image_id, unnest(kept), 2 FROM walk")
+
+
+@query(_LOOK)
 def second_look_merge(spark: SparkSession, d: str) -> DataFrame:
     """Reference boxes as the first look, predictions as the second."""
     b = views.boxes(spark, d)
@@ -255,6 +263,36 @@ def before_and_after(spark: SparkSession, d: str) -> DataFrame:
     return matching.existing_before(p.filter("late = 0 AND view <> 'purchase'"), p.filter("late = 1"), 0.15 + 1e-12).select("event_id", "state")
 
 
+@query(
+    """WITH p_ AS (""" + views.PHOTOS_SQL + """), s AS (SELECT a.user_id, CASE WHEN a.view NOT IN (SELECT view FROM p_ WHERE late = 0 AND view <> 'purchase') THEN 'NOT_COMPARED'
+    WHEN EXISTS (SELECT 1 FROM p_ b WHERE b.late = 0 AND b.view <> 'purchase' AND b.view = a.view AND b.damage_type = a.damage_type AND b.part = a.part AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= 0.15 + 1e-12) THEN 'EXISTING' ELSE 'NEW' END AS state
+    FROM (SELECT p_.*, e.user_id FROM p_ JOIN events e USING (event_id) WHERE late = 1) a)
+  SELECT user_id, count(*) FILTER (state = 'NEW') AS n_new, count(*) FILTER (state = 'EXISTING') AS n_existing, count(*) FILTER (state = 'NOT_COMPARED') AS n_not_compared FROM s GROUP BY user_id"""
+)
+def comparison_totals(spark: SparkSession, d: str) -> DataFrame:
+    p = views.photos(spark, d)
+    states = matching.existing_before(p.filter("late = 0 AND view <> 'purchase'"), p.filter("late = 1"), 0.15 + 1e-12)
+    return store.comparison_totals(states.join(read(spark, d, "events").select("event_id", "user_id"), "event_id"), "user_id")
+
+
+_CENTRES = "SELECT l_orderkey AS image_id, l_suppkey * 1000 + l_linenumber AS position, l_partkey % 6 AS class_id, (l_partkey % 9973) / 9973.0::DOUBLE AS confidence, (l_orderkey % 101) / 100.0::DOUBLE AS cx, (l_suppkey % 97) / 96.0::DOUBLE AS cy, (1 + l_partkey % 50) / 100.0::DOUBLE AS w, (1 + l_linenumber * 7) / 100.0::DOUBLE AS h"
+_KINDS = {**dict(enumerate(DAMAGE_TYPES)), 4: "wheel", 5: "plate"}
+_DETECTED = f"""
+WITH raw AS (SELECT DISTINCT * FROM ({_CENTRES} FROM lineitem)),
+c AS (SELECT *, CASE class_id WHEN 0 THEN 'glass_shatter' WHEN 1 THEN 'lamp_broken' WHEN 2 THEN 'crack' ELSE 'scratch' END AS damage_type, least(greatest(cx - w / 2, 0.0), 1.0) AS x, least(greatest(cy - h / 2, 0.0), 1.0) AS y FROM raw WHERE class_id < 4)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY round_even(confidence, 4) DESC, position, damage_type, round_even(x, 6)) - 1 AS idx, damage_type, round_even(confidence, 4) AS confidence,
+  round_even(x, 6) AS x, round_even(y, 6) AS y, round_even(least(w, 1.0 - x), 6) AS w, round_even(least(h, 1.0 - y), 6) AS h FROM c
+"""
+
+
+@query(_DETECTED)
+def detector_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Items as a detector's centre boxes, in the corner form of predictions."""
+    raw = read(spark, d, "lineitem").selectExpr(*[x.replace("::DOUBLE", "D") for x in _CENTRES.removeprefix("SELECT ").split(", ")]).withColumn("class_id", F.col("class_id").cast("int")).distinct()
+    found = detector.detector_damages(raw, _KINDS)
+    return found.select("image_id", "idx", "damage_type", "confidence", *[F.col("box")[i].alias(c) for i, c in enumerate("xywh")])
+
+
 _TILES = [(1, 1, 0.0), (2, 2, 0.2), (3, 2, 0.1), (1, 4, 0.25)]
 
 
@@ -402,10 +440,9 @@ m AS (SELECT event_id, problem, CASE WHEN problem IS NULL THEN list_filter([
 
 @query(_JUDGED + "SELECT event_id, problem, len(messages)::INT AS n, array_to_string(messages, '; ') AS messages FROM m")
 def answer_violations(spark: SparkSession, d: str) -> DataFrame:
-    answer, problem = validate.parse_answer(F.col("raw"))
-    judged = views.answers(spark, d).select("event_id", answer.alias("a"), problem.alias("problem"))
-    found = F.when(F.col("problem").isNull(), validate.violations(F.col("a"))).otherwise(F.array().cast("array<string>"))
-    return judged.select("event_id", "problem", found.alias("m")).select("event_id", "problem", F.size("m").alias("n"), F.array_join("m", "; ").alias("messages"))
+    judged = validate.judged_answers(views.answers(spark, d).select("event_id", "raw"))
+    found = F.when(F.col("problem").isNull(), validate.violations(F.col("answer"))).otherwise(F.array().cast("array<string>"))
+    return judged.select("event_id", "problem", F.explode(F.array(found)).alias("m")).select("event_id", "problem", F.size("m").alias("n"), F.array_join("m", "; ").alias("messages"))
 
 
 @query(
@@ -597,6 +634,39 @@ def session_sizes(spark: SparkSession, d: str) -> DataFrame:
     return windows.sessions(read(spark, d, "events"), "4 hours").groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
 
 
+@query(
+    """WITH o AS (SELECT user_id AS key, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) <= INTERVAL '3 hours' THEN 0 ELSE 1 END AS fresh FROM events),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS s FROM o)
+  SELECT key::VARCHAR AS key, arg_max(event_type, (ts, event_type)) AS value, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at, count(*) AS n FROM s GROUP BY key, s"""
+)
+def key_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user before a pause of more than three hours."""
+    e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.col("event_type").alias("value"))
+    return keyed.stretches_batch(e, 3 * 3600).select("key", "value", F.unix_micros("first_at").alias("first_at"), F.unix_micros("last_at").alias("last_at"), "n")
+
+
+@query("SELECT DISTINCT damage_type AS class, image_id FROM labels_test_b WHERE image_id IS NOT NULL AND damage_type IN ('glass_shatter', 'lamp_broken', 'crack')")
+def class_images(spark: SparkSession, d: str) -> DataFrame:
+    """The images of each category; scratches have no category here."""
+    categories = spark.createDataFrame([(i, t) for i, t in enumerate(DAMAGE_TYPES[:3])], "id int, name string")
+    ids = F.create_map(*[F.lit(x) for i, t in enumerate(DAMAGE_TYPES) for x in (t, i)])
+    return sampling.images_by_class(read(spark, d, "labels_test_b").select("image_id", F.try_element_at(ids, F.col("damage_type")).alias("category_id")), categories)
+
+
+@query("SELECT event_id AS inspection_id, event_id % 4 AS idx, (props ->> '$.k')::INT AS k FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+def photos_of_user(spark: SparkSession, d: str) -> DataFrame:
+    """The photos of one user's inspections with their JSON decoded."""
+    inspections, photos, _ = _history(spark, d)
+    user = inspections.agg(F.min("user_id")).first()[0]
+    own = store.find(inspections, "user_id", user).select("inspection_id")
+    return store.decoded_photos(photos.join(own, "inspection_id", "left_semi"), {"damages_json": "k int"}).select("inspection_id", "idx", "damages_json.k")
+
+
+@query("SELECT event_id AS inspection_id, user_id, row_number() OVER (ORDER BY ts, event_id) + 7 AS seq FROM events")
+def numbered_inspections(spark: SparkSession, d: str) -> DataFrame:
+    return store.new_inspections(_history(spark, d)[0].drop("seq"), 7).select("inspection_id", "user_id", "seq")
+
+
 # ---------------------------------------------------------------- relational floor, beyond the operators of evaluation
 
 

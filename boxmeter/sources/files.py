@@ -211,3 +211,49 @@ def coco_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     )
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
     return {t: doc.select(F.explode(t).alias("x")).select("x.*") for t in ("images", "annotations", "categories")}
+
+
+def photo_bytes(spark: SparkSession, folder: str, idx: int) -> DataFrame:
+    """content of the file of a photo, named by its number whatever the extension; no row where there is none."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"{idx}.*").load(folder).select("content")
+
+
+def write_disagreements(rows: DataFrame, path: str) -> None:
+    """Disagreements as separated files with header and byte-order mark, one per partition."""
+    columns = ["image_id", "file_name", "annotation_id", "damage_type", "field", "annotator_a", "annotator_b"]
+    head = [F.lit("").cast("string").alias(c) if c not in rows.columns else F.col(c).cast("string").alias(c) for c in columns]
+    marked = rows.select(*head).withColumnRenamed("image_id", "\ufeffimage_id")
+    marked.write.option("header", True).option("sep", ";").option("emptyValue", "").csv(path)
+
+
+def write_sample(sample: DataFrame, path: str, position: str = "position") -> None:
+    """A sample as ``ids`` (text, each image once, in order of its first place) and ``rows`` (JSON lines)."""
+    first = sample.groupBy("image_id").agg(F.min(position).alias(position))
+    first.repartitionByRange(position).sortWithinPartitions(position).select(F.col("image_id").cast("string")).write.text(f"{path}/ids")
+    sample.drop(position).write.json(f"{path}/rows")
+
+
+def write_pools(images: DataFrame, annotations: DataFrame, pools: DataFrame, path: str) -> None:
+    """Images and annotations in folders ``pool=dev`` and ``pool=test``; ``pools`` has image_id and pool, and an image of no pool is an error."""
+    pool = F.coalesce("pool", F.raise_error(F.concat(F.lit("no pool for image "), F.col("image_id").cast("string"))).cast("string"))
+    for name, table in (("images", images), ("annotations", annotations)):
+        table.join(pools.select("image_id", "pool"), "image_id", "left").withColumn("pool", pool).write.partitionBy("pool").json(f"{path}/{name}")
+
+
+def write_label_folder(boxes: DataFrame, path: str, names: list[str]) -> None:
+    """Label text in folders split=.../stem=..., and the dataset description; ``boxes`` as ``yolo_lines`` takes them."""
+    yolo_lines(boxes).repartition("split", "stem").write.partitionBy("split", "stem").text(f"{path}/labels")
+    listed = "".join(f"  {i}: {n}\n" for i, n in enumerate(names))
+    description = boxes.sparkSession.createDataFrame([(f"path: {path}\ntrain: images/train\nval: images/val\nnames:\n{listed}".rstrip("\n"),)], "value string")
+    description.coalesce(1).write.text(f"{path}/data")
+
+
+def append_answers(answers: DataFrame, path: str, key: str = "image_id") -> None:
+    """Append answers to those of a run; ones that the run has already are left out, so a broken run is simply repeated."""
+    spark = answers.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    new = answers.dropDuplicates([key])
+    if there:
+        new = new.join(spark.read.schema(answers.schema).json(path).select(key).distinct(), key, "left_anti")
+    new.write.mode("append").json(path)

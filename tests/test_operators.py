@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxmeter.functions import text
-from boxmeter.operators import conversion, merging, runs, sampling, store, validate
+from boxmeter.operators import conversion, detector, merging, runs, sampling, store, validate
 from boxmeter.sources import files
-from boxmeter.streaming import limiter, windows
+from boxmeter.streaming import keyed, limiter, windows
 
 DAMAGE = {"damage_type": "crack", "part": "door", "severity": "minor", "action": "repair", "confidence": 0.5, "bounding_box": [0.1, 0.1, 0.2, 0.2]}
 
@@ -287,3 +287,80 @@ def test_the_query_checks_all_sheets_and_kinds(spark, data):
     missing = sample.select("image_id").distinct().join(labels, "image_id", "left_anti").count()
     assert rows.filter("error = 'image is not in the annotation file'").count() == missing * annotators > 0
     assert rows.select("annotator").distinct().count() == annotators > 1
+
+
+def test_detector_output(spark):
+    rows = [(1, 0, 0.90004, 0.05, 0.5, 0.2, 0.2, 0), (1, 1, 0.95, 0.9, 0.9, 0.4, 0.4, 1), (1, 9, 0.99, 0.5, 0.5, 0.1, 0.1, 2), (2, 2, 0.9, 0.5, 0.5, 0.1, 0.1, 0)]
+    boxes = spark.createDataFrame(rows, "image_id int, class_id int, confidence double, cx double, cy double, w double, h double, position int")
+    got = [(r.image_id, r.idx, r.damage_type, r.confidence, r.box) for r in detector.detector_damages(boxes, {0: "crack", 1: "scratch", 2: "wheel"}).orderBy("image_id", "idx").collect()]
+    assert got == [(1, 0, "scratch", 0.95, [0.7, 0.7, 0.3, 0.3]), (1, 1, "crack", 0.9, [0.0, 0.4, 0.2, 0.2])]
+    assert detector.detector_damages(boxes, {0: "wheel"}).count() == 0 and detector.detector_damages(boxes.filter("false"), {0: "crack"}).count() == 0
+    sample = spark.createDataFrame([(1,), (1,), (None,)], "image_id int")
+    assert detector.beside_sample(spark.createDataFrame([(1, "x"), (3, "y")], "image_id int, a string"), sample).count() == 1
+    with pytest.raises(ValueError, match="image 1"):
+        detector.beside_sample(spark.createDataFrame([(3, "y")], "image_id int, a string"), sample)
+
+
+def test_store_reads_and_writes(spark, tmp_path):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id int, user_id string")
+    assert store.find(table, "id", 1, "user_id", "a").count() == 1 and store.find(table, "id", 1, "user_id", "b").count() == 0 and store.find(table, "id", 2).count() == 1
+    photos = spark.createDataFrame([(1, 1, '{"k": 2}'), (1, 0, "x"), (1, 2, None)], "inspection_id int, idx int, meta string")
+    assert [(r.idx, r.meta and r.meta.k) for r in store.decoded_photos(photos, {"meta": "k int"}).collect()] == [(0, None), (1, 2), (2, None)]
+    new = spark.createDataFrame([(1, "success", [("crack", None)]), (2, "error", [("crack", "x")]), (3, "success", None)], "idx int, status string, damages array<struct<t:string,d:string>>")
+    assert [r.damages_json for r in store.new_photos(new).orderBy("idx").collect()] == ['[{"t":"crack"}]', "[]", "[]"]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "3.jpg").write_bytes(b"abc")
+    assert [bytes(r.content) for r in files.photo_bytes(spark, str(tmp_path / "p"), 3).collect()] == [b"abc"] and files.photo_bytes(spark, str(tmp_path / "p"), 4).count() == 0
+    merged = merging.merged_status(spark.createDataFrame([(1, "success"), (1, "error"), (2, None), (2, "error")], "key int, status string"))
+    assert {tuple(r) for r in merged.collect()} == {(1, "success", 2, 1), (2, "error", 2, 2)}
+
+
+def test_sinks(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    sample = spark.createDataFrame([(5, "a.png", "crack", 1), (7, "b.png", "crack", 0), (5, "a.png", "scratch", 2)], "image_id int, file_name string, class_selected_for string, position int")
+    files.write_sample(sample, at("sample"))
+    assert [r.value for r in spark.read.text(at("sample/ids")).collect()] == ["7", "5"] and spark.read.json(at("sample/rows")).count() == 3
+    images = spark.createDataFrame([(5, "a.png"), (7, "b.png")], "image_id int, file_name string")
+    pools = spark.createDataFrame([(5, "dev"), (7, "test")], "image_id int, pool string")
+    files.write_pools(images, images, pools, at("pools"))
+    assert {(r.image_id, r.pool) for r in spark.read.json(at("pools/annotations")).collect()} == {(5, "dev"), (7, "test")}
+    with pytest.raises(Exception, match="no pool for image 7"):
+        files.write_pools(images, images, pools.filter("image_id = 5"), at("bad"))
+    boxes = spark.createDataFrame([("train", "a", 0, "0 1 2 3 4"), ("train", "a", 1, "1 1 2 3 4"), ("val", "b", 0, "2 1 2 3 4")], "split string, stem string, idx int, line string")
+    files.write_label_folder(boxes, at("yolo"), ["crack", "scratch"])
+    assert [r.value for r in spark.read.text(at("yolo/labels/split=train/stem=a")).collect()] == ["0 1 2 3 4", "1 1 2 3 4"]
+    data = next((tmp_path / "yolo" / "data").glob("part-*"))
+    assert files.read_names(str(data)) == {0: "crack", 1: "scratch"}
+    answers = spark.createDataFrame([("1", "success"), ("2", "error"), ("2", "error")], "image_id string, status string")
+    files.append_answers(answers.filter("image_id = '1'"), at("run"))
+    files.append_answers(answers, at("run"))
+    files.append_answers(answers, at("run"))
+    assert sorted(r.image_id for r in spark.read.json(at("run")).collect()) == ["1", "2"]
+    files.write_disagreements(spark.createDataFrame([(1, "a.png", 2, "crack", "part", "door", None)], "image_id int, file_name string, annotation_id int, damage_type string, field string, annotator_a string, annotator_b string"), at("dis"))
+    assert next((tmp_path / "dis").glob("part-*.csv")).read_text(encoding="utf-8-sig").splitlines() == ["image_id;file_name;annotation_id;damage_type;field;annotator_a;annotator_b", "1;a.png;2;crack;part;door;"]
+
+
+def test_more_scalars(spark):
+    df = spark.createDataFrame([("100", 150, b"ab", ["x is missing", "y"])], "a string, now int, b binary, v array<string>")
+    row = df.select(
+        text.still_valid(F.col("a"), F.col("now"), 50).alias("in"), text.still_valid(F.col("a"), F.col("now"), 49).alias("out"), text.still_valid(F.lit("x"), F.col("now"), 9).alias("none"),
+        text.data_url(F.col("b"), F.lit("image/png")).alias("url"), text.local_time(F.lit("2026-01-01 23:30:00"), "Europe/Berlin").alias("t"),
+        text.with_corrections(F.lit("p"), F.lit(2), F.col("v"), "Mend:").alias("again"), text.with_corrections(F.lit("p"), F.lit(1), F.col("v"), "Mend:").alias("first"),
+    ).first()
+    assert tuple(row) == (True, False, None, "data:image/png;base64,YWI=", "2026-01-02 00:30", "p\n\nMend:\n- x is missing\n- y", "p")
+    cats = spark.createDataFrame([(1, "crack"), (2, "rust"), (3, None)], "id int, name string")
+    assert [r.name for r in sampling.unknown_classes(cats, ["crack"]).collect()] == ["rust"]
+
+
+def test_stretches_of_a_stream(spark, tmp_path):
+    rows = [("a", 0, "x"), ("a", 50, "y"), ("a", 500, "z"), ("b", 10, "q"), ("b", 60, None), ("zz", 100_000, "end")]
+    df = spark.createDataFrame(rows, "key string, s long, value string").select("key", F.timestamp_seconds("s").alias("at"), "value")
+    want = {(r.key, r.value, r.n) for r in keyed.stretches_batch(df, 100).collect()}
+    assert want == {("a", "y", 2), ("a", "z", 1), ("b", None, 2), ("zz", "end", 1)}
+    for k in range(3):
+        part = spark.createDataFrame(rows[2 * k : 2 * k + 2], "key string, s long, value string").select("key", F.timestamp_seconds("s").alias("at"), "value")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = keyed.stretches_stream(stream, 100, "1000 seconds").writeStream.format("memory").queryName("stretches").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert {(r.key, r.value, r.n) for r in spark.table("stretches").collect()} == want - {("zz", "end", 1)}
