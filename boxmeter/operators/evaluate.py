@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmeter.operators.matching import IOU_THRESHOLD, greedy_match
+from boxmeter.operators.matching import FOLD_BOXES, IOU_THRESHOLD, match_in_rounds, matched_array
 from boxmeter.schemas import CALIBRATION_BINS, DAMAGE_TYPES, SEVERITIES, THRESHOLDS
+from boxmeter.session import cut, is_empty
 
 FIELDS = ["damage_type", "severity", "part", "action"]
 
@@ -45,30 +46,78 @@ def counted(images: DataFrame, gt: DataFrame, pred: DataFrame) -> tuple[DataFram
     return gt.join(images.select("image_id"), "image_id", "left_semi"), pred.join(good, "image_id", "left_semi")
 
 
-def check_classes(df: DataFrame) -> DataFrame:
-    """Fail on classes outside the enumeration instead of dropping them."""
-    ok = F.col("damage_type").isin(DAMAGE_TYPES)
-    return df.withColumn("damage_type", F.when(ok, F.col("damage_type")).otherwise(F.raise_error(F.concat(F.lit("unknown damage_type "), F.coalesce("damage_type", F.lit("null"))))))
+def _boxes(df: DataFrame, *more: str) -> Column:
+    there = [c for c in ("idx", "box", *FIELDS, *more) if c in df.columns]
+    return F.struct(*[F.col(c).cast("long").alias(c) if c == "idx" else F.col(c) for c in there])
 
 
-def matched_pairs(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOLD) -> DataFrame:
-    """One row per pair: image_id, gt, pred, iou, confidence, and g_ / p_ of each field."""
+def parts(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOLD, fold_boxes: int = FOLD_BOXES) -> DataFrame:
+    """image_id, status, gts, preds, pairs: the boxes of an image, its counted predictions and what was matched, from which all metrics are sums.
+
+    Every side is read and moved once.  pairs holds (g, p, iou), places from 1
+    in the arrays.  An image of more than ``fold_boxes`` boxes of a side stands
+    in several rows of few boxes each.
+    """
+    sides = gt.select("image_id", F.lit(0).alias("side")).union(pred.select("image_id", F.lit(1).alias("side")))
+    big = cut(sides.groupBy("image_id", "side").count().filter(F.col("count") > fold_boxes).select("image_id").distinct())
+    if is_empty(big):
+        return _folded_parts(images, gt, pred, threshold)
+    small, crowded = (tuple(df.join(big, "image_id", how) for df in (images, gt, pred)) for how in ("left_anti", "left_semi"))
+    g, p = counted(*crowded)
+    return _folded_parts(*small, threshold).unionByName(parts_of_pairs(*crowded, match_in_rounds(g, p, threshold)))
+
+
+def _folded_parts(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
+    g = gt.groupBy("image_id").agg(F.array_sort(F.collect_list(_boxes(gt))).alias("gts"))
+    ranked = F.struct((-F.col("confidence")).alias("rank"), _boxes(pred, "confidence").alias("b"))
+    p = pred.groupBy("image_id").agg(F.array_sort(F.collect_list(ranked)).alias("ranked"))
+    all_ = images.select("image_id", "status").join(g, "image_id", "left").join(p, "image_id", "left")
+    good = F.when(F.col("status") == "success", F.col("ranked"))
+    kept = F.coalesce(good, F.array().cast(p.schema["ranked"].dataType))
+    rows = all_.select("image_id", "status", F.coalesce("gts", F.array().cast(g.schema["gts"].dataType)).alias("gts"), F.transform(kept, lambda x: x["b"]).alias("preds"))
+    places = lambda c, rank: F.transform(F.col(c), lambda x, i: F.struct(*([(-x["confidence"]).alias("rank")] if rank else []), (i + 1).cast("long").alias("idx"), x["box"].alias("box")))
+    found = matched_array(places("gts", False), places("preds", True), threshold)
+    pairs = F.transform(found, lambda m: F.struct(m["gt"].cast("int").alias("g"), m["pred"].cast("int").alias("p"), m["iou"].alias("iou")))
+    # a generator of one row, which no projection is merged with: the matching runs once
+    return rows.select("image_id", "status", "gts", "preds", F.explode(F.array(pairs)).alias("pairs"))
+
+
+def parts_of_pairs(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``parts`` of boxes that were matched before (image_id, gt, pred, iou): a row per image, per pair, and per box without a partner."""
     g, p = counted(images, gt, pred)
-    pairs = greedy_match(g, p, threshold)
-    g = g.select("image_id", F.col("idx").alias("gt"), *[F.col(f).alias(f"g_{f}") for f in FIELDS])
-    p = p.select("image_id", F.col("idx").alias("pred"), "confidence", *[F.col(f).alias(f"p_{f}") for f in FIELDS])
-    return pairs.join(g, ["image_id", "gt"]).join(p, ["image_id", "pred"])
+    g = g.select("image_id", F.col("idx").cast("long").alias("gt"), _boxes(gt).alias("gb"))
+    p = p.select("image_id", F.col("idx").cast("long").alias("pred"), _boxes(pred, "confidence").alias("pb"))
+    met = pairs.select("image_id", F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), "iou")
+    none = {c: F.lit(None).cast(df.schema[c].dataType).alias(c) for df, c in ((g, "gb"), (p, "pb"), (met, "iou"))}
+    left = g.join(met, ["image_id", "gt"], "left").join(p, ["image_id", "pred"], "left").select("image_id", "gb", "pb", "iou")
+    right = p.join(met, ["image_id", "pred"], "left_anti").select("image_id", none["gb"], "pb", none["iou"])
+    whole = images.select("image_id", none["gb"], none["pb"], none["iou"])
+    one = lambda c: F.array_compact(F.array(c))
+    link = F.struct(F.lit(1).alias("g"), F.lit(1).alias("p"), "iou")
+    rows = left.unionByName(right).unionByName(whole).select("image_id", one("gb").alias("gts"), one("pb").alias("preds"), one(F.when(F.col("iou").isNotNull(), link)).alias("pairs"))
+    return rows.join(images.select("image_id", "status"), "image_id").select("image_id", "status", "gts", "preds", "pairs")
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """One row per pair of ``parts``: image_id, gt, pred, iou, confidence, and g_ / p_ of each field."""
+    each = rows.select("image_id", "gts", "preds", F.explode("pairs").alias("m")).select("image_id", "m.iou", F.element_at("gts", F.col("m.g")).alias("g"), F.element_at("preds", F.col("m.p")).alias("p"))
+    return each.select("image_id", F.col("p.idx").alias("pred"), F.col("g.idx").alias("gt"), "iou", *[F.col(f"g.{f}").alias(f"g_{f}") for f in FIELDS], "p.confidence", *[F.col(f"p.{f}").alias(f"p_{f}") for f in FIELDS])
+
+
+def matched_pairs(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOLD) -> DataFrame:
+    """``pairs_of`` the ``parts`` of a set of images."""
+    return pairs_of(parts(images, gt, pred, threshold))
 
 
 def per_image(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    return per_image_of(parts_of_pairs(images, gt, pred, pairs))
+
+
+def per_image_of(rows: DataFrame) -> DataFrame:
     """image_id, status, tp, fp, fn of every image."""
-    g, p = counted(images, gt, pred)
-    n = lambda df, c: df.groupBy("image_id").agg(F.count("*").alias(c))
-    all_ = images.join(n(g, "n_gt"), "image_id", "left").join(n(p, "n_pred"), "image_id", "left").join(n(pairs, "n"), "image_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return all_.select(
-        "image_id", "status", zero("n").alias("tp"), (zero("n_pred") - zero("n")).alias("fp"), (zero("n_gt") - zero("n")).alias("fn")
-    )
+    n = [F.sum(F.size(c)).alias(c) for c in ("gts", "preds", "pairs")]
+    t = rows.groupBy("image_id").agg(F.min("status").alias("status"), *n)
+    return t.select("image_id", "status", F.col("pairs").alias("tp"), (F.col("preds") - F.col("pairs")).alias("fp"), (F.col("gts") - F.col("pairs")).alias("fn"))
 
 
 def detection(report: DataFrame) -> DataFrame:
@@ -85,16 +134,25 @@ def _dense(spark, values: list[str], name: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], f"{name} string")
 
 
+def _known_class(c: Column) -> Column:
+    """Fail on classes outside the enumeration instead of dropping them."""
+    return F.when(c.isin(DAMAGE_TYPES), c).otherwise(F.raise_error(F.concat(F.lit("unknown damage_type "), F.coalesce(c, F.lit("null")))).cast("string"))
+
+
 def per_class(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    return per_class_of(parts_of_pairs(images, gt, pred, pairs))
+
+
+def per_class_of(rows: DataFrame) -> DataFrame:
     """Class counts on top of class-agnostic pairs: a wrong type is a false alarm of its own class and a miss of the true one.  Every class has a row."""
-    g, p = counted(images, check_classes(gt), check_classes(pred))
-    n = lambda df, key, c: df.groupBy(F.col(key).alias("damage_type")).agg(F.count("*").alias(c))
-    right = n(pairs.filter("g_damage_type = p_damage_type"), "g_damage_type", "tp")
-    out = _dense(gt.sparkSession, DAMAGE_TYPES, "damage_type")
-    for part in (n(g, "damage_type", "n_gt"), n(p, "damage_type", "n_pred"), right):
-        out = out.join(part, "damage_type", "left")
+    said = lambda c, side: F.transform(F.col(c), lambda x: F.struct(F.lit(side).alias("side"), x["damage_type"].alias("damage_type")))
+    right = F.filter(F.transform("pairs", lambda m: F.struct(F.element_at("gts", m["g"])["damage_type"].alias("g"), F.element_at("preds", m["p"])["damage_type"].alias("p"))), lambda m: m["g"] == m["p"])
+    hits = F.transform(right, lambda m: F.struct(F.lit("tp").alias("side"), m["g"].alias("damage_type")))
+    each = rows.select(F.explode(F.concat(said("gts", "gt"), said("preds", "pred"), hits)).alias("x")).select("x.side", _known_class(F.col("x.damage_type")).alias("damage_type"))
+    got = each.groupBy("damage_type").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("gt", "pred", "tp")])
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = out.select("damage_type", zero("tp").alias("tp"), (zero("n_pred") - zero("tp")).alias("fp"), (zero("n_gt") - zero("tp")).alias("fn"))
+    out = _dense(rows.sparkSession, DAMAGE_TYPES, "damage_type").join(got, "damage_type", "left")
+    out = out.select("damage_type", zero("n_tp").alias("tp"), (zero("n_pred") - zero("n_tp")).alias("fp"), (zero("n_gt") - zero("n_tp")).alias("fn"))
     out = out.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
@@ -165,6 +223,10 @@ def image_level(images: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def selective_curve(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    return selective_curve_of(parts_of_pairs(images, gt, pred, pairs))
+
+
+def selective_curve_of(rows: DataFrame) -> DataFrame:
     """What remains above each threshold of confidence.
 
     Greedy matching by confidence keeps its pairs when weak predictions go, so
@@ -172,32 +234,26 @@ def selective_curve(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: Da
     predictions clear the threshold (also where it has none), and perfect where
     besides all are right and as many as the reference boxes.
     """
-    spark = gt.sparkSession
-    g, p = counted(images, gt, pred)
-    hit = pairs.select("image_id", F.col("pred").alias("idx"), F.lit(True).alias("matched"), (F.col("g_damage_type") == F.col("p_damage_type")).alias("right"))
-    records = p.join(hit, ["image_id", "idx"], "left").select(
-        "image_id", "confidence", F.coalesce("matched", F.lit(False)).alias("matched"), F.coalesce("right", F.lit(False)).alias("right")
-    )
-    levels = spark.createDataFrame([(t,) for t in THRESHOLDS], "threshold double")  # eight rows
-    upto = lambda c: F.explode(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: t <= F.col(c))).alias("threshold")
-    kept = records.select("matched", "right", upto("confidence"))
-    at = kept.groupBy("threshold").agg(F.count("*").alias("accepted"), F.count_if("matched").alias("matched"), F.count_if(F.col("matched") & F.col("right")).alias("right"))
-    facts = (
-        images.select("image_id")
-        .join(g.groupBy("image_id").agg(F.count("*").alias("n_gt")), "image_id", "left")
-        .join(records.groupBy("image_id").agg(F.count("*").alias("n"), F.min("confidence").alias("low"), F.bool_and(F.col("matched") & F.col("right")).alias("all_right")), "image_id", "left")
-        .select(F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("low", F.lit(float("inf"))).alias("low"), F.coalesce("all_right", F.lit(True)).alias("all_right"))
+    hits = F.transform(
+        "pairs", lambda m: F.struct(F.element_at("preds", m["p"])["confidence"].alias("c"), (F.element_at("gts", m["g"])["damage_type"] == F.element_at("preds", m["p"])["damage_type"]).alias("right"))
     )
-    auto = facts.select("n", "n_gt", "all_right", upto("low")).groupBy("threshold").agg(
-        F.count("*").alias("images_all_predictions_accepted"), F.count_if((F.col("n") == F.col("n_gt")) & F.col("all_right")).alias("images_fully_correct_and_accepted")
-    )
-    totals = records.select(F.lit(1).alias("p")).unionByName(g.select(F.lit(0).alias("p"))).agg(F.count_if(F.col("p") == 1).alias("n_pred"), F.count_if(F.col("p") == 0).alias("n_gt"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return (
-        levels.join(at, "threshold", "left").join(auto, "threshold", "left").withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one")  # totals are one row
-        .select(
-            "threshold", zero("accepted").alias("accepted"), ratio(zero("accepted"), F.col("n_pred")).alias("coverage"), ratio(F.col("matched"), F.col("accepted")).alias("precision"),
-            ratio(F.col("right"), F.col("matched")).alias("type_accuracy"), ratio(zero("matched"), F.col("n_gt")).alias("recall"),
-            zero("images_all_predictions_accepted").alias("images_all_predictions_accepted"), zero("images_fully_correct_and_accepted").alias("images_fully_correct_and_accepted"),
-        )
+    levels = F.array(*[F.lit(t) for t in THRESHOLDS])
+    above = lambda array, test: F.transform(levels, lambda t: F.size(F.filter(array, lambda x: test(x, t))).cast("long"))
+    of_row = rows.select(
+        "image_id", F.size("gts").alias("n_gt"), F.size("preds").alias("n"), F.array_min(F.transform("preds", lambda p: p["confidence"])).alias("low"), F.size(F.filter(hits, lambda h: h["right"])).alias("n_right"),
+        above(F.col("preds"), lambda p, t: p["confidence"] >= t).alias("accepted"), above(hits, lambda h, t: h["c"] >= t).alias("matched"), above(hits, lambda h, t: (h["c"] >= t) & h["right"]).alias("right"),
+    )
+    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(len(THRESHOLDS))]).alias(c)
+    of_image = of_row.groupBy("image_id").agg(F.sum("n_gt").alias("n_gt"), F.sum("n").alias("n"), F.min("low").alias("low"), F.sum("n_right").alias("n_right"), *[add(c) for c in ("accepted", "matched", "right")])
+    perfect = (F.col("n") == F.col("n_gt")) & (F.col("n_right") == F.col("n"))
+    clear = lambda also: F.transform(levels, lambda t: ((F.coalesce("low", F.lit(float("inf"))) >= t) & also).cast("long"))
+    facts = of_image.select("n_gt", "n", "accepted", "matched", "right", clear(F.lit(True)).alias("auto"), clear(perfect).alias("perfect"))
+    counts = ("accepted", "matched", "right", "auto", "perfect")
+    sums = facts.agg(F.coalesce(F.sum("n_gt"), F.lit(0)).alias("n_gt"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pred"), *[add(c) for c in counts])
+    at = sums.select("n_gt", "n_pred", F.posexplode(levels).alias("i", "threshold"), *counts)
+    v = {c: F.coalesce(F.element_at(c, F.col("i") + 1), F.lit(0)) for c in counts}
+    return at.select(
+        "threshold", v["accepted"].alias("accepted"), ratio(v["accepted"], F.col("n_pred")).alias("coverage"), ratio(v["matched"], v["accepted"]).alias("precision"),
+        ratio(v["right"], v["matched"]).alias("type_accuracy"), ratio(v["matched"], F.col("n_gt")).alias("recall"),
+        v["auto"].alias("images_all_predictions_accepted"), v["perfect"].alias("images_fully_correct_and_accepted"),
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxmeter.operators.evaluate import counted, f1, ratio
+from boxmeter.operators.evaluate import f1, parts_of_pairs, ratio
 from boxmeter.schemas import DAMAGE_TYPES
 from boxmeter.session import cut
 
@@ -26,16 +26,27 @@ _FIELD = ["severity", "part", "action"]
 
 
 def statistics(images: DataFrame, gt: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per image: tp, fp, fn, the class counts, and the sums behind accuracies and the Brier score."""
-    g, p = counted(images, gt, pred)
-    of = lambda df, prefix: df.groupBy("image_id").agg(F.count("*").alias(f"{prefix}_n"), *[F.count_if(F.col("damage_type") == t).alias(f"{prefix}_{t}") for t in DAMAGE_TYPES])
-    right = F.col("g_damage_type") == F.col("p_damage_type")
-    m = pairs.groupBy("image_id").agg(
-        F.count("*").alias("tp"), F.count_if(right).alias("right"), F.sum(F.pow(F.col("confidence") - right.cast("double"), F.lit(2))).alias("brier_sum"),
-        *[F.count_if(right & (F.col("g_damage_type") == t)).alias(f"tp_{t}") for t in DAMAGE_TYPES],
-        *[F.count_if(F.col(f"p_{f}").isNotNull()).alias(f"n_{f}") for f in _FIELD], *[F.count_if(F.col(f"p_{f}") == F.col(f"g_{f}")).alias(f"right_{f}") for f in _FIELD],
-    )
-    all_ = images.select("image_id").join(of(g, "g"), "image_id", "left").join(of(p, "p"), "image_id", "left").join(m, "image_id", "left").fillna(0)
+    return statistics_of(parts_of_pairs(images, gt, pred, pairs))
+
+
+def statistics_of(rows: DataFrame) -> DataFrame:
+    """One row per image of ``evaluate.parts``: tp, fp, fn, the class counts, and the sums behind accuracies and the Brier score."""
+    many = lambda array, test=None: F.size(F.filter(array, test) if test else array).cast("long")
+    met = F.col("met")
+    rows = rows.select("image_id", "gts", "preds", F.explode(F.array(F.transform("pairs", lambda m: F.struct(F.element_at("gts", m["g"]).alias("g"), F.element_at("preds", m["p"]).alias("p"))))).alias("met"))
+    of_type = lambda t: lambda x: x["damage_type"] == t
+    right = lambda m: m["g"]["damage_type"] == m["p"]["damage_type"]
+    right_of = lambda t: lambda m: right(m) & (m["g"]["damage_type"] == t)
+    said = lambda f: lambda m: m["p"][f].isNotNull()
+    equal = lambda f: lambda m: m["p"][f] == m["g"][f]
+    brier = F.aggregate(met, F.lit(0.0), lambda a, m: a + F.pow(m["p"]["confidence"] - F.coalesce(right(m), F.lit(False)).cast("double"), F.lit(2)))
+    each = {
+        "tp": many(met), "p_n": many("preds"), "g_n": many("gts"), "right": many(met, right), "brier_sum": brier,
+        **{f"tp_{t}": many(met, right_of(t)) for t in DAMAGE_TYPES},
+        **{f"p_{t}": many("preds", of_type(t)) for t in DAMAGE_TYPES}, **{f"g_{t}": many("gts", of_type(t)) for t in DAMAGE_TYPES},
+        **{f"n_{f}": many(met, said(f)) for f in _FIELD}, **{f"right_{f}": many(met, equal(f)) for f in _FIELD},
+    }
+    all_ = rows.select("image_id", *[v.alias(k) for k, v in each.items()]).groupBy("image_id").agg(*[F.sum(k).alias(k) for k in each])
     return all_.select(
         "image_id", "tp", (F.col("p_n") - F.col("tp")).alias("fp"), (F.col("g_n") - F.col("tp")).alias("fn"), "right", "brier_sum",
         *[F.col(f"tp_{t}") for t in DAMAGE_TYPES], *[(F.col(f"p_{t}") - F.col(f"tp_{t}")).alias(f"fp_{t}") for t in DAMAGE_TYPES],

@@ -70,7 +70,7 @@ _PER_IMAGE = PAIRS + """, report AS (
 
 @query(_PER_IMAGE + "SELECT image_id, status, tp, np - tp AS fp, ng - tp AS fn FROM report")
 def per_image_report(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_image(*views.pairs(spark, d))
+    return evaluate.per_image_of(views.parts(spark, d))
 
 
 @query(
@@ -79,7 +79,7 @@ def per_image_report(spark: SparkSession, d: str) -> DataFrame:
   SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM r"""
 )
 def detection_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.detection(evaluate.per_image(*views.pairs(spark, d)))
+    return evaluate.detection(evaluate.per_image_of(views.parts(spark, d)))
 
 
 _CLASSES = PAIRS + f""", c AS (
@@ -93,12 +93,12 @@ classes AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * reca
 
 @query(_CLASSES + "SELECT * FROM classes")
 def per_class_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_class(*views.pairs(spark, d))
+    return evaluate.per_class_of(views.parts(spark, d))
 
 
 @query(_CLASSES + "SELECT round(avg(coalesce(f1, 0.0)), 9) AS macro_f1 FROM classes WHERE tp + fp + fn > 0")
 def macro_f1(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.macro_f1(evaluate.per_class(*views.pairs(spark, d))).select(_r("macro_f1"))
+    return evaluate.macro_f1(evaluate.per_class_of(views.parts(spark, d))).select(_r("macro_f1"))
 
 
 _FIELD_COLUMNS = {"damage_type": ("gt_type", "p_type"), "severity": ("gs", "ps"), "part": ("gp", "pp"), "action": ("ga", "pa")}
@@ -111,14 +111,14 @@ _FIELD_COLUMNS = {"damage_type": ("gt_type", "p_type"), "severity": ("gs", "ps")
     )
 )
 def field_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.field_accuracy(views.pairs(spark, d)[3])
+    return evaluate.field_accuracy(views.pairs(spark, d))
 
 
 @query(
     PAIRS + "SELECT gt, " + ", ".join(f"(SELECT count(*) FROM pairs WHERE gs = gt AND ps = '{s}') AS {s}" for s in SEVERITIES) + f" FROM {_values(SEVERITIES, 'gt')}"
 )
 def severity_confusion(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.severity_confusion(views.pairs(spark, d)[3])
+    return evaluate.severity_confusion(views.pairs(spark, d))
 
 
 @query(
@@ -126,7 +126,7 @@ def severity_confusion(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT confidence, CASE WHEN gt_type = p_type THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM pairs)"""
 )
 def confidence_scores(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.confidence_scores(views.pairs(spark, d)[3]).select("n", _r("brier"), _r("pearson"))
+    return evaluate.confidence_scores(views.pairs(spark, d)).select("n", _r("brier"), _r("pearson"))
 
 
 @query(
@@ -138,7 +138,7 @@ def confidence_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def calibration_table(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.calibration(views.pairs(spark, d)[3]).select("confidence_range", "count", "empirical_accuracy", _r("mean_confidence"))
+    return evaluate.calibration(views.pairs(spark, d)).select("confidence_range", "count", "empirical_accuracy", _r("mean_confidence"))
 
 
 @query(
@@ -163,7 +163,7 @@ def image_level_presence(spark: SparkSession, d: str) -> DataFrame:
   FROM records, (VALUES {", ".join(f"({t})" for t in THRESHOLDS)}) AS v(t) GROUP BY t"""
 )
 def selective_curve(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.selective_curve(*views.pairs(spark, d))
+    return evaluate.selective_curve_of(views.parts(spark, d))
 
 
 _HALVES = " ".join(f", ('0x' || substr(md5('image|' || image_id), {1 + 7 * k}, 7))::BIGINT AS h{k + 1}" for k in range(2))
@@ -198,7 +198,7 @@ def _intervals_sql(*metrics: str) -> str:
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
-    values = resample.poisson_metrics(resample.statistics(*views.pairs(spark, d)))
+    values = resample.poisson_metrics(resample.statistics_of(views.parts(spark, d)))
     return resample.intervals(values).select("metric", _r("ci95_low"), _r("ci95_high"), "resamples_used")
 
 

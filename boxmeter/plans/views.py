@@ -47,9 +47,12 @@ def evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     return images, b.filter("is_pred = 0").select(*columns), b.filter("is_pred = 1").select(*columns, "confidence")
 
 
-def pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    images, gt, pred = evaluation(spark, d)
-    return images, gt, pred, evaluate.matched_pairs(images, gt, pred)
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.parts(*evaluation(spark, d))
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.pairs_of(parts(spark, d))
 
 
 #: gt, pred (of successful images), images and pairs of the greedy matching as a recursion over ranked predictions.

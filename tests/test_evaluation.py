@@ -87,6 +87,21 @@ def test_nothing_matched_and_empty_tables(spark):
     assert evaluate.selective_curve(images, gt, pred, pairs).filter("accepted = 0 AND coverage IS NULL").count() == 8
 
 
+def test_crowded_images_give_the_same_metrics(spark):
+    r = random.Random(9)
+    box = lambda: [r.randint(0, 12) / 10, r.randint(0, 12) / 10, 0.3, 0.3]
+    gt = table(spark, [(str(k % 3), k, box(), r.choice(("crack", "scratch")), "minor") for k in range(60)])
+    pred = table(spark, [(str(k % 4), k, box(), r.choice(("crack", "scratch")), r.choice(("minor", "severe")), r.choice((0.35, 0.6, 0.95))) for k in range(60)], True)
+    images = spark.createDataFrame([("0", "success"), ("1", "success"), ("2", "error"), ("5", "missing")], "image_id string, status string")
+    ways = [evaluate.parts(images, gt, pred, fold_boxes=n) for n in (1000, 5)]
+    assert ways[1].count() > ways[0].count() == 4
+    for metric in (evaluate.per_image_of, evaluate.per_class_of, evaluate.selective_curve_of, evaluate.pairs_of):
+        a, b = (sorted(tuple(x) for x in metric(w).collect()) for w in ways)
+        assert a == b and a, metric
+    a, b = ({x.image_id: [round(v, 9) for v in x[1:]] for x in resample.statistics_of(w).collect()} for w in ways)
+    assert a == b and len(a) == 4
+
+
 def test_unknown_class_fails(spark):
     gt = table(spark, [("a", 0, [0, 0, 1, 1], "rust", "minor")])
     images = spark.createDataFrame([("a", "success")], "image_id string, status string")
