@@ -37,7 +37,12 @@ def annotate(boxes: DataFrame, parts: DataFrame) -> DataFrame:
     good = boxes.filter("problem IS NULL")
     flat = F.array("corners.x0", "corners.y0", "corners.x1", "corners.y1")
     own = parts.filter(F.size("polygon") >= 6).select("image_id", "part_no", F.col("name").alias("source"), map_name(F.col("name"), PART_RULES, "other").alias("part"), "polygon")
-    scored = good.join(own, "image_id").withColumn("c", coverage_udf(F.col("polygon"), flat)).filter("c > 0")
+    # polygons that do not even reach the box's frame drop out before they are measured
+    every_other = lambda k: lambda v, i: i % 2 == k
+    ends = [f(F.filter("polygon", every_other(k))) for k in (0, 1) for f in (F.array_min, F.array_max)]
+    own = own.select("*", *[e.alias(c) for e, c in zip(ends, ("px0", "px1", "py0", "py1"))])
+    near = good.join(own, "image_id").filter("px0 <= corners.x1 AND px1 >= corners.x0 AND py0 <= corners.y1 AND py1 >= corners.y0")
+    scored = near.withColumn("c", coverage_udf(F.col("polygon"), flat)).filter("c > 0")
     best = scored.groupBy("image_id", "line_no").agg(F.max(F.struct("c", (-F.col("part_no")).alias("p"), "part", "source")).alias("b"))
     out = good.join(best, ["image_id", "line_no"], "left")
     c = F.coalesce("b.c", F.lit(0.0))

@@ -164,11 +164,59 @@ UNION ALL SELECT DISTINCT src, doc_id, image_id, damage_no::BIGINT FROM pred_row
 """
 
 
+_ENTRIES = """
+WITH gt AS (
+  SELECT doc_id, images, unnest(range(len(images))) AS image_no FROM (SELECT DISTINCT doc_id, images FROM gt_dev)
+), gt_images AS (
+  SELECT doc_id, image_no, images[image_no + 1] AS im FROM gt WHERE images[image_no + 1] IS NOT NULL
+), gt_damages AS (
+  SELECT doc_id, image_no, im.image_id AS image_id, damage_no, im.damages[damage_no + 1] AS d
+  FROM (SELECT *, unnest(range(len(im.damages))) AS damage_no FROM gt_images) WHERE im.damages[damage_no + 1] IS NOT NULL
+), files AS (
+  SELECT run_id, any_value(content)::JSON AS j FROM (SELECT DISTINCT run_id, content FROM predictions_dev_v3 WHERE json_valid(content)) GROUP BY run_id
+), entries AS (
+  SELECT run_id, image_no, ks[image_no + 1] AS image_id, json_extract(j, '$.predictions."' || ks[image_no + 1] || '"') AS own
+  FROM (SELECT run_id, j, json_keys(j, '$.predictions') AS ks, unnest(range(len(json_keys(j, '$.predictions')))) AS image_no FROM files WHERE json_type(j, '$.predictions') = 'OBJECT')
+  UNION ALL
+  SELECT run_id, image_no, coalesce(own ->> '$.image_id', own ->> '$.image.image_id', own ->> '$.result.image_id'), own
+  FROM (SELECT run_id, image_no, json_extract(j, '$.predictions[' || image_no || ']') AS own
+        FROM (SELECT run_id, j, unnest(range(json_array_length(j, '$.predictions')::BIGINT)) AS image_no FROM files WHERE json_type(j, '$.predictions') = 'ARRAY'))
+), pred_images AS (
+  SELECT run_id AS doc_id, image_no, image_id, own, CASE WHEN json_type(own, '$.result') = 'OBJECT' AND json_type(own, '$.damages') IS NULL THEN json_extract(own, '$.result') ELSE own END AS e
+  FROM entries WHERE json_type(own) = 'OBJECT'
+), listed AS (
+  SELECT *, CASE WHEN json_type(e, '$.damages') = 'VARCHAR' THEN try_cast(e ->> '$.damages' AS JSON) ELSE json_extract(e, '$.damages') END AS l FROM pred_images
+), lists AS (
+  SELECT *, CASE json_type(l) WHEN 'ARRAY' THEN json_extract(l, '$[*]')
+    WHEN 'OBJECT' THEN CASE WHEN json_exists(l, '$."0"') THEN list_transform(list_sort(list_transform(json_keys(l), lambda k: k::INT)), lambda k: json_extract(l, '$."' || k || '"')) WHEN len(json_keys(l)) > 0 THEN [l] ELSE [] END ELSE [] END AS parts
+  FROM listed
+), pred_damages AS (
+  SELECT doc_id, image_no, image_id, damage_no, parts[damage_no + 1] AS d FROM (SELECT *, unnest(range(len(parts))) AS damage_no FROM lists) WHERE json_type(parts[damage_no + 1]) = 'OBJECT'
+)
+"""
+_LATER = [c for c in structure._IMAGE_FIELDS if c not in ("file_name", "width", "height")]
+_ENTRY_SQL = {
+    "p2_images": _ENTRIES
+    + "SELECT 'gt' AS src, doc_id, image_no, im.image_id AS image_id, im.file_name AS file_name, im.width::VARCHAR AS width, im.height::VARCHAR AS height, " + ", ".join(f"NULL::VARCHAR AS {c}" for c in _LATER)
+    + " FROM gt_images UNION ALL SELECT 'pred', doc_id, image_no, image_id, " + ", ".join(f"coalesce(e ->> '$.{c}', own ->> '$.{c}')" for c in ["file_name", "width", "height", *_LATER]) + " FROM pred_images",
+    "p2_damages": _ENTRIES
+    + "SELECT 'gt' AS src, doc_id, image_no, image_id, damage_no, d.annotation_id::VARCHAR AS annotation_id, d.damage_type AS damage_type, d.part AS part, d.severity AS severity, d.action AS action, NULL AS confidence, NULL AS description"
+    + " FROM gt_damages UNION ALL SELECT 'pred', doc_id, image_no, image_id, damage_no, " + ", ".join(f"d ->> '$.{c}'" for c in ("annotation_id", "damage_type", "part", "severity", "action", "confidence", "description")) + " FROM pred_damages",
+    "p2_boxes": _ENTRIES
+    + "SELECT 'gt' AS src, doc_id, image_no, image_id, damage_no, box_no, CASE WHEN NOT isnan(d.bbox[box_no + 1]) THEN d.bbox[box_no + 1] END AS number FROM (SELECT *, unnest(range(len(d.bbox))) AS box_no FROM gt_damages) UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'pred', doc_id, image_no, image_id, damage_no, box_no, CASE WHEN json_type(d, '$.{b}[' || box_no || ']') NOT IN ('VARCHAR', 'NULL', 'OBJECT', 'ARRAY', 'BOOLEAN') THEN (d ->> ('$.{b}[' || box_no || ']'))::DOUBLE END"
+        f" FROM (SELECT *, unnest(range(json_array_length(d, '$.{b}')::BIGINT)) AS box_no FROM pred_damages WHERE json_type(d, '$.{b}') = 'ARRAY')" for b in structure._BOX_NAMES
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     kinds = {"image_id": "BIGINT", "annotation_id": "BIGINT"} | {c: "DOUBLE" for c in _NAMES[4:8]}
     typed = ", ".join(f"try_cast(nullif({c}, '') AS {kinds.get(c, 'VARCHAR')}) AS {c}" for c in _NAMES)
     return {
         "p2_found": _P2,
+        **_ENTRY_SQL,
         "p3_found": _LINES + "SELECT sheet, line_no, reason FROM judged WHERE reason IS NOT NULL",
         "p3_loaded": _LINES + f"SELECT sheet, line_no, {typed} FROM judged WHERE reason IS NULL",
     }

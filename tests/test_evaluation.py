@@ -229,6 +229,23 @@ def test_polygons(spark):
     assert [(r.c, r.a) for r in got] == [(0.5, 4.0), (None, None), (0.0, 0.0)]
 
 
+def test_coverage_column_equals_clipping(spark):
+    r = random.Random(12)
+    rows = []
+    for _ in range(200):
+        k = r.randint(3, 9)
+        turns = sorted(r.random() * 2 * math.pi for _ in range(k))  # simple polygons, often concave, of either orientation
+        points = [(5 + r.uniform(0.5, 5) * math.cos(t), 5 + r.uniform(0.5, 5) * math.sin(t)) for t in turns][:: r.choice((1, -1))]
+        if r.random() < 0.3:
+            points = [(float(round(x)), float(round(y))) for x, y in points]
+        x, y = r.uniform(-1, 8), r.uniform(-1, 8)
+        rows.append(([v for p in points for v in p], [x, y, x + r.uniform(0.1, 6), y + r.uniform(0.1, 6)]))
+    df = spark.createDataFrame(rows, "p array<double>, b array<double>")
+    got = [x.c for x in df.select(geometry.coverage_udf("p", "b").alias("c")).collect()]
+    want = [geometry.coverage(list(zip(p[0::2], p[1::2])), tuple(b)) for p, b in rows]
+    assert got == pytest.approx(want, abs=1e-9) and sum(w > 0 for w in want) > 100
+
+
 def test_tiles(spark):
     grid = geometry.tile_grid(spark.createDataFrame([(2, 2, 0.2)], "rows int, cols int, overlap double")).orderBy("row", "col").collect()
     assert grid[3].tile.x + grid[3].tile.w == pytest.approx(1) and grid[1].tile.x == pytest.approx(1 - grid[1].tile.w)
