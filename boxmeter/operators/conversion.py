@@ -42,7 +42,7 @@ def annotate(boxes: DataFrame, parts: DataFrame) -> DataFrame:
     ends = [f(F.filter("polygon", every_other(k))) for k in (0, 1) for f in (F.array_min, F.array_max)]
     own = own.select("*", *[e.alias(c) for e, c in zip(ends, ("px0", "px1", "py0", "py1"))])
     near = good.join(own, "image_id").filter("px0 <= corners.x1 AND px1 >= corners.x0 AND py0 <= corners.y1 AND py1 >= corners.y0")
-    scored = near.withColumn("c", coverage_udf(F.col("polygon"), flat)).filter("c > 0")
+    scored = near.withColumn("c", F.round(coverage_udf(F.col("polygon"), flat), 12)).filter("c > 0")  # equal coverages tie whatever the order of sums
     best = scored.groupBy("image_id", "line_no").agg(F.max(F.struct("c", (-F.col("part_no")).alias("p"), "part", "source")).alias("b"))
     out = good.join(best, ["image_id", "line_no"], "left")
     c = F.coalesce("b.c", F.lit(0.0))

@@ -9,7 +9,7 @@ from boxmeter.functions import text
 from boxmeter.operators import agreement, conversion, detector, evaluate, geometry, matching, merging, resample, runs, sampling, store, validate
 from boxmeter.plans import views
 from boxmeter.plans.views import LABELS, PAIRS, read
-from boxmeter.schemas import CALIBRATION_BINS, DAMAGE_TYPES, LABEL_FIELDS, SEVERITIES, THRESHOLDS
+from boxmeter.schemas import CALIBRATION_BINS, DAMAGE_TYPES, GENERAL_DAMAGE_TYPES, GENERAL_PARTS, LABEL_FIELDS, PARTS, SEVERITIES, THRESHOLDS
 from boxmeter.streaming import keyed, limiter, windows
 
 _Q: dict = {}
@@ -352,6 +352,64 @@ def combined_tiles(spark: SparkSession, d: str) -> DataFrame:
     return merging.combine_parts(parts).withColumn("overall_score", F.round("overall_score", 9))
 
 
+# ---------------------------------------------------------------- raw labels to annotations
+
+_WIDTH, _HEIGHT = 1000, 800
+_RAW_NAMES = ["broken-glass", "Front_Lamp", "deep crack", "Scratch"]
+_PART_NAMES = ["front-left_door", "Side Mirror", "rear quarter", "front panel", "rocker", "unheard of"]
+_LINES_SQL = "WITH box AS (" + views._text(views.BOXES, False).replace("ORDERS", "orders") + f"""), raw AS (
+  SELECT image_id, k AS line_no, k % 4 AS class_id, greatest(0.0, (x + w / 2 - w / 2) * {_WIDTH}) AS x0, greatest(0.0, (y + h / 2 - h / 2) * {_HEIGHT}) AS y0,
+    least({_WIDTH}.0, (x + w / 2 + w / 2) * {_WIDTH}) AS x1, least({_HEIGHT}.0, (y + h / 2 + h / 2) * {_HEIGHT}) AS y1 FROM box WHERE is_pred = 1 AND k % 11 <> 0
+), part AS (
+  SELECT image_id, k AS part_no, [{", ".join(f"'{n}'" for n in _PART_NAMES)}][k // 2 % {len(_PART_NAMES)} + 1] AS name, x * {_WIDTH} AS px0, y * {_HEIGHT} AS py0, (x + w) * {_WIDTH} AS px1, (y + h) * {_HEIGHT} AS py1 FROM box WHERE is_pred = 0
+), met AS (
+  SELECT r.image_id, r.line_no, p.part_no, p.name, round(greatest(0.0, least(x1, px1) - greatest(x0, px0)) * greatest(0.0, least(y1, py1) - greatest(y0, py0)) / ((x1 - x0) * (y1 - y0)), 12) AS c
+  FROM raw r JOIN part p USING (image_id) WHERE x1 > x0 AND y1 > y0
+)"""
+
+
+def _raw_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Damage lines (every eleventh has too few values) and parts as rectangles drawn as polygons, of images of one size."""
+    b = views.boxes(spark, d)
+    centre = F.array(F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, "w", "h")
+    lines = b.filter("is_pred = 1").select(F.col("image_id").cast("string").alias("stem"), F.col("k").alias("line_no"), (F.col("k") % 4).cast("int").alias("class_id"), F.when(F.col("k") % 11 == 0, F.array("x")).otherwise(centre).alias("values"))
+    images = b.select("image_id").distinct().select("image_id", F.col("image_id").cast("string").alias("stem"), F.lit(_WIDTH).alias("width"), F.lit(_HEIGHT).alias("height"))
+    names = spark.createDataFrame(list(enumerate(_RAW_NAMES)), "class_id int, name string")
+    x0, y0, x1, y1 = F.col("x") * _WIDTH, F.col("y") * _HEIGHT, (F.col("x") + F.col("w")) * _WIDTH, (F.col("y") + F.col("h")) * _HEIGHT
+    name = F.element_at(F.array(*[F.lit(n) for n in _PART_NAMES]), (F.expr("k div 2") % len(_PART_NAMES) + 1).cast("int"))
+    parts = b.filter("is_pred = 0").select("image_id", F.col("k").alias("part_no"), name.alias("name"), F.array(x0, y0, x1, y0, x1, y1, x0, y1).alias("polygon"))
+    return conversion.damage_boxes(lines, images, names), parts
+
+
+_PART_OF = "CASE name " + " ".join(f"WHEN '{n}' THEN '{p}'" for n, p in zip(_PART_NAMES, ("door", "mirror", "fender", "bumper", "other", "other"))) + " END"
+_ANNOTATED = _LINES_SQL + """, best AS (
+  SELECT image_id, line_no, max(c) AS c, arg_max(name, (c, -part_no)) AS name FROM met WHERE c > 0 GROUP BY ALL
+), annotated AS (
+  SELECT r.image_id, r.line_no, ['glass_shatter', 'lamp_broken', 'crack', 'scratch'][class_id + 1] AS damage_type, x0, y0, x1, y1, coalesce(b.c, 0) AS c, b.name AS name FROM raw r LEFT JOIN best b USING (image_id, line_no) WHERE x1 > x0 AND y1 > y0
+)"""
+
+
+@query(
+    _ANNOTATED + f""" SELECT image_id, line_no, damage_type, round_even(x0, 1) AS x, round_even(y0, 1) AS y, round_even(x1 - x0, 1) AS w, round_even(y1 - y0, 1) AS h, round_even((x1 - x0) * (y1 - y0), 1) AS area,
+  CASE WHEN damage_type = 'lamp_broken' THEN 'light' WHEN c < 0.1 THEN '' ELSE {_PART_OF} END AS auto_part,
+  CASE WHEN damage_type = 'lamp_broken' THEN 'damage type lamp_broken' WHEN c < 0.1 THEN '' ELSE name END AS auto_part_source, CASE WHEN damage_type = 'lamp_broken' THEN 1.0 ELSE round_even(c, 2) END::DOUBLE AS auto_part_coverage FROM annotated"""
+)
+def annotated_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Damage lines as annotations with the part that covers most of the box."""
+    a = conversion.annotate(*_raw_labels(spark, d))
+    return a.select("image_id", "line_no", "damage_type", *[F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")], "area", "auto_part", "auto_part_source", "auto_part_coverage")
+
+
+@query(
+    _ANNOTATED + """ SELECT t AS counter, (SELECT count(*) FROM annotated WHERE damage_type = t) AS n FROM (VALUES ('glass_shatter'), ('lamp_broken'), ('crack'), ('scratch')) AS v(t)
+  UNION ALL SELECT 'skipped_bad_damage_line', (SELECT count(*) FROM box WHERE is_pred = 1 AND k % 11 = 0) UNION ALL SELECT 'skipped_empty_box', (SELECT count(*) FROM raw WHERE x1 <= x0 OR y1 <= y0)
+  UNION ALL SELECT 'no_auto_part', (SELECT count(*) FROM annotated WHERE c < 0.1)"""
+)
+def conversion_counters(spark: SparkSession, d: str) -> DataFrame:
+    boxes, parts = _raw_labels(spark, d)
+    return conversion.conversion_report(boxes, conversion.annotate(boxes, parts))
+
+
 # ---------------------------------------------------------------- agreement
 
 _KAPPA = """, cells AS (SELECT a.field, a.rater AS ra, b.rater AS rb, a.value AS va, b.value AS vb FROM labels a JOIN labels b ON a.item = b.item AND a.field = b.field AND a.rater < b.rater),
@@ -425,23 +483,36 @@ def label_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- answers
 
-_JUDGED = f"""
+def _judged(types: list[str], parts: list[str]) -> str:
+    return f"""
 WITH answers AS ({views.ANSWERS_SQL}), t AS (SELECT event_id, raw, CASE WHEN raw LIKE '```%' THEN trim(regexp_extract(raw, '(?s)^```[^\\n]*\\n(.*)```', 1), ' ' || chr(10)) ELSE raw END AS x FROM answers),
 p AS (SELECT event_id, CASE WHEN x NOT LIKE '{{%' THEN 'answer is not a JSON object' WHEN NOT json_valid(x) THEN 'answer is not valid JSON' END AS problem, CASE WHEN json_valid(x) THEN x::JSON END AS j FROM t),
 m AS (SELECT event_id, problem, CASE WHEN problem IS NULL THEN list_filter([
   CASE WHEN (j ->> '$.overall_score')::DOUBLE > 100 THEN 'overall_score must be in [0, 100], was ' || (j ->> '$.overall_score') END,
-  CASE WHEN (j ->> '$.damages[0].damage_type') NOT IN ({", ".join(repr(x) for x in DAMAGE_TYPES)}) THEN 'damages[0].damage_type has unknown value ''' || (j ->> '$.damages[0].damage_type') || '''' END,
-  CASE WHEN (j ->> '$.damages[0].part') NOT IN ({", ".join(repr(x) for x in LABEL_FIELDS["part"])}) THEN 'damages[0].part has unknown value ''' || (j ->> '$.damages[0].part') || '''' END,
+  CASE WHEN (j ->> '$.damages[0].damage_type') NOT IN ({", ".join(repr(x) for x in types)}) THEN 'damages[0].damage_type has unknown value ''' || (j ->> '$.damages[0].damage_type') || '''' END,
+  CASE WHEN (j ->> '$.damages[0].part') NOT IN ({", ".join(repr(x) for x in parts)}) THEN 'damages[0].part has unknown value ''' || (j ->> '$.damages[0].part') || '''' END,
   CASE WHEN (j ->> '$.damages[0].action') IS NULL THEN 'damages[0].action is missing' END,
   CASE WHEN (j ->> '$.damages[0].confidence')::DOUBLE > 1 THEN 'damages[0].confidence must be in [0, 1], was ' || (j ->> '$.damages[0].confidence') END,
   CASE WHEN (j ->> '$.damages[0].bounding_box[2]')::DOUBLE > 1 THEN 'damages[0].bounding_box values must be normalized to [0, 1], was [0.25, 0.25, 1.5, 0.25]' END], lambda s: s IS NOT NULL) ELSE [] END AS messages FROM p)
 """
 
 
+_JUDGED = _judged(DAMAGE_TYPES, PARTS)
+
+
 @query(_JUDGED + "SELECT event_id, problem, len(messages)::INT AS n, array_to_string(messages, '; ') AS messages FROM m")
 def answer_violations(spark: SparkSession, d: str) -> DataFrame:
+    return _violations(spark, d, "benchmark")
+
+
+@query(_judged(GENERAL_DAMAGE_TYPES, GENERAL_PARTS) + "SELECT event_id, problem, len(messages)::INT AS n, array_to_string(messages, '; ') AS messages FROM m")
+def general_violations(spark: SparkSession, d: str) -> DataFrame:
+    return _violations(spark, d, "general")
+
+
+def _violations(spark: SparkSession, d: str, profile: str) -> DataFrame:
     judged = validate.judged_answers(views.answers(spark, d).select("event_id", "raw"))
-    found = F.when(F.col("problem").isNull(), validate.violations(F.col("answer"))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("problem").isNull(), validate.violations(F.col("answer"), profile)).otherwise(F.array().cast("array<string>"))
     return judged.select("event_id", "problem", F.explode(F.array(found)).alias("m")).select("event_id", "problem", F.size("m").alias("n"), F.array_join("m", "; ").alias("messages"))
 
 
