@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,8 +249,8 @@ def _lookup(block: Block, own, shared) -> list[np.ndarray] | None:
     return _tables_of(flat[np.searchsorted(names, block.names)])
 
 
-def _round(blocks: DataFrame, tables: _Tables | None, types: list[Types] | None) -> DataFrame:
-    """Expected counts per annotator from all blocks; the row marked total holds the sums of the truths."""
+def _round(blocks: DataFrame, tables: _Tables | None, types: list[Types] | None) -> tuple[DataFrame, Broadcast]:
+    """Expected counts per annotator from all blocks, the row marked total holds the sums of the truths; and the broadcast they were made with."""
     sc = blocks.sparkSession.sparkContext
     shared = sc.broadcast((tables.names, tables.flat) if tables and tables.names is not None else None)
     priors = [t.prior for t in types] if types else [None] * len(FIELDS)
@@ -275,7 +276,7 @@ def _round(blocks: DataFrame, tables: _Tables | None, types: list[Types] | None)
     parts = _with_tables(blocks, tables).mapInPandas(sums, _STAT)
     # a row per task and annotator holds all its sums, so they move and are added as one row
     added = parts.groupBy("total", "annotator").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(_WIDTH)])
-    return added.select("total", "annotator", F.array(*[f"c{i}" for i in range(_WIDTH)]).alias("counts"))
+    return added.select("total", "annotator", F.array(*[f"c{i}" for i in range(_WIDTH)]).alias("counts")), shared
 
 
 @dataclass
@@ -319,12 +320,13 @@ def fit(labels: DataFrame, rounds: int = 400, tolerance: float = 1e-4, broadcast
     tables: _Tables | None = None
     few = None
     for done in range(1, rounds + 1):
-        stats = _round(blocks, tables, types if tables else None)
+        stats, shared = _round(blocks, tables, types if tables else None)
         if few is None:
             stats = cut(stats)
             few = stats.count() - 1 <= broadcast_annotators
         if few:  # a row per annotator, bounded
             pdf = stats.toPandas()
+            shared.destroy()
             truths = np.sum(pdf[pdf["total"]]["counts"].tolist() or [np.zeros(_WIDTH)], axis=0)
             pdf = pdf[~pdf["total"]].sort_values("annotator")
             names = pdf["annotator"].to_numpy(np.int64)
