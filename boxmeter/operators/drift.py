@@ -124,7 +124,7 @@ def sign(raw: str) -> Sign:
         k, digest, members = json.loads(raw[1:])
         return k, digest, tuple(members)
     try:
-        value, whole = content(raw), _load(raw)
+        value, whole = content(raw), _load(raw) if raw.lstrip()[:1] == "{" else None
     except RecursionError:  # nested too deep to look into
         value, whole = raw, None
     # moments compare equal to times, whatever they are written as
