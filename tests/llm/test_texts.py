@@ -120,3 +120,15 @@ def test_few_and_no_texts(spark):
     schema = "doc_id long, text string, source string"
     assert X.truncated(spark.createDataFrame([], schema)).count() == 0
     assert X.truncated(spark.createDataFrame([(1, "only one text here", "x"), (2, "w" * 200000, "x"), (3, "?", "x")], schema)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,last",
+    [
+        ("a b c" + " .." * 30000, "c"), ("a b c" + "\n-- x" * 30000, "c"), ("a" + " " * 100000 + "b.", "b"), ("a" + " \n" * 50000 + "b c", "c"), ("x" * 200000, "x" * 200000), ("1." * 50000 + "1", "0"),
+        ("?!" * 50000, None), ("a " + "[..] " * 20000, "a"), ("a \x1e b", "b"),
+    ],
+)
+def test_extreme_texts_end_where_they_end(spark, text, last):
+    df = spark.createDataFrame([(1, text), (2, "fine text here.")], "doc_id long, text string")
+    assert {r.doc_id: r.c for r in X.endings(df).collect()} == {2: "here"} | ({1: last} if last else {})
