@@ -336,7 +336,7 @@ def test_sinks(spark, tmp_path):
     files.append_answers(answers, at("run"))
     files.append_answers(answers, at("run"))
     assert sorted(r.image_id for r in spark.read.json(at("run")).collect()) == ["1", "2"]
-    files.write_disagreements(spark.createDataFrame([(1, "a.png", 2, "crack", "part", "door", None)], "image_id int, file_name string, annotation_id int, damage_type string, field string, annotator_a string, annotator_b string"), at("dis"))
+    files.write_disagreements(spark.createDataFrame([(1, "a.png", 2, "crack", "part", "door", None)], "image_id int, file_name string, annotation_id int, damage_type string, field string, annotator_a string, annotator_b string").coalesce(1), at("dis"))
     assert next((tmp_path / "dis").glob("part-*.csv")).read_text(encoding="utf-8-sig").splitlines() == ["image_id;file_name;annotation_id;damage_type;field;annotator_a;annotator_b", "1;a.png;2;crack;part;door;"]
 
 
