@@ -64,7 +64,7 @@ def parts(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float =
         return _folded_parts(images, gt, pred, threshold)
     small, crowded = (tuple(df.join(big, "image_id", how) for df in (images, gt, pred)) for how in ("left_anti", "left_semi"))
     g, p = counted(*crowded)
-    return _folded_parts(*small, threshold).unionByName(parts_of_pairs(*crowded, match_in_rounds(g, p, threshold)))
+    return _folded_parts(*small, threshold).unionByName(parts_of_pairs(*crowded, match_in_rounds(g, p, threshold, fold_boxes)))
 
 
 def _folded_parts(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:

@@ -31,8 +31,12 @@ def area(a: Column) -> Column:
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union; 0 where the union is empty; null for null boxes."""
-    inter = intersection(a, b)
-    union = area(a) + area(b) - inter
+    return overlap_ratio(intersection(a, b), area(a) + area(b))
+
+
+def overlap_ratio(inter: Column, areas: Column) -> Column:
+    """``iou`` from the intersection and the sum of both areas."""
+    union = areas - inter
     return F.when(union > 0, F.try_divide(inter, union)).when(union.isNotNull(), 0.0)
 
 

@@ -2,8 +2,8 @@
 
 Images of usual size are folded in the JVM: their boxes stand in arrays and a
 higher-order aggregate walks the predictions.  Images beyond ``FOLD_BOXES`` are
-matched in rounds over candidate pairs from a grid, so that no image has to fit
-into one task; both ways give the same pairs.
+matched in rounds over candidate pairs, those of many predictions from a grid, so
+that no image has to fit into one task; both ways give the same pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxmeter.operators.geometry import area, intersection, iou, same_place
+from boxmeter.operators.geometry import area, box_columns, intersection, iou, overlap_ratio, same_place
 from boxmeter.session import cut, cut_table, is_empty
 
 IOU_THRESHOLD = 0.5
@@ -65,7 +65,39 @@ def matched_array(gts: Column, preds: Column, threshold: float) -> Column:
 LEAST_GRID_OVERLAP = 0.3
 
 
-def _candidates(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
+def _candidates(gt: DataFrame, pred: DataFrame, threshold: float, fold_boxes: int) -> DataFrame:
+    """Pairs that may match, once for each pair of rows or less.
+
+    A box of an image of up to ``fold_boxes`` predictions meets all of them,
+    which are fewer than the cells that a grid would copy it to; other images
+    go through the grid.
+    """
+    g, p = (df.select("image_id", F.col("idx").cast("long").alias("idx"), *columns, "box") for df, columns in ((gt, []), (pred, ["confidence"])))
+    crowded = cut(p.groupBy("image_id").count().filter(F.col("count") > fold_boxes).select("image_id"))
+    if is_empty(crowded):
+        return _all_pairs(g, p, threshold)
+    few, many = (tuple(df.join(crowded, "image_id", how) for df in (g, p)) for how in ("left_anti", "left_semi"))
+    return _all_pairs(*few, threshold).union(_grid_pairs(*many, threshold))
+
+
+def _all_pairs(g: DataFrame, p: DataFrame, threshold: float) -> DataFrame:
+    def flat(df: DataFrame, at: str, *columns: str) -> DataFrame:
+        x, y, w, h = box_columns(F.col("box"))
+        ends = [x.alias(f"{at}x"), y.alias(f"{at}y"), (x + w).alias(f"{at}r"), (y + h).alias(f"{at}b"), area(F.col("box")).alias(f"{at}a")]
+        return df.filter("box IS NOT NULL").select("image_id", *columns, *ends)
+
+    # every pair is looked at, by numbers that stand ready: over arrays the overlap is more code than the JVM compiles
+    pairs = flat(g, "g", F.col("idx").alias("gt")).join(flat(p, "p", F.col("idx").alias("pred"), "confidence"), "image_id")
+    width, height = (F.greatest(F.lit(0.0), F.least(f"g{end}", f"p{end}") - F.greatest(f"g{at}", f"p{at}")) for at, end in ("xr", "yb"))
+    return _near(pairs, overlap_ratio(width * height, F.col("ga") + F.col("pa")), threshold)
+
+
+def _near(pairs: DataFrame, overlap: Column, threshold: float) -> DataFrame:
+    pairs = pairs.withColumn("iou", overlap)
+    return pairs.filter(F.col("iou") >= threshold if threshold > 0 else F.col("iou") > 0).select("image_id", "gt", "pred", "confidence", "iou")
+
+
+def _grid_pairs(g: DataFrame, p: DataFrame, threshold: float) -> DataFrame:
     """Pairs that may match, by a grid, without looking at all pairs of an image.
 
     An overlap of t makes sides differ by a factor of 1 / t at most and centres
@@ -73,7 +105,6 @@ def _candidates(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
     size meets the boxes of few sizes from few cells around; for small t all
     boxes that overlap at all are met.
     """
-    g, p = (df.select("image_id", F.col("idx").cast("long").alias("idx"), *columns, "box") for df, columns in ((gt, []), (pred, ["confidence"])))
     if threshold < LEAST_GRID_OVERLAP:
         typed = lambda df: df.withColumn("damage_type", F.lit(None).cast("string"))
         met = _met(typed(g), typed(p)).select("image_id", F.col("a").alias("gt"), F.col("b").alias("pred"), F.col("a_box").alias("gb"), F.col("b_box").alias("pb"))
@@ -90,30 +121,29 @@ def _candidates(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
         pairs = p.select("image_id", "kx", "ky", "cx", "cy", F.col("idx").alias("pred"), "confidence", F.col("box").alias("pb")).join(
             g.select("image_id", "kx", "ky", "cx", "cy", F.col("idx").alias("gt"), F.col("box").alias("gb")), ["image_id", "kx", "ky", "cx", "cy"]
         )
-    return pairs.withColumn("iou", iou(F.col("gb"), F.col("pb"))).filter((F.col("iou") >= threshold) & (F.col("iou") > 0)).select("image_id", "gt", "pred", "confidence", "iou").distinct()
+    return _near(pairs, iou(F.col("gb"), F.col("pb")), threshold).distinct()
 
 
-def match_in_rounds(gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOLD) -> DataFrame:
+def match_in_rounds(gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOLD, fold_boxes: int = FOLD_BOXES) -> DataFrame:
     """The pairs (image_id, gt, pred, iou) of greedy matching, found in rounds over candidate pairs.
 
     In a round every free prediction looks at its best free box; it takes the
-    box if no prediction before it could want that box.
+    box if no prediction before it could want that box.  A round moves the pairs
+    left at most twice, by box and by prediction.
     """
-    left = cut(_candidates(gt, pred, threshold))
+    at = lambda c, *order: Window.partitionBy("image_id", c).orderBy(*order)
+    of_gt = at("gt", F.desc("take"), F.desc_nulls_first("confidence"), "pred")
+    of_pred = at("pred", F.desc("iou"), "gt")
+    left = _candidates(gt, pred, threshold, fold_boxes).withColumn("take", F.lit(False))
     done: DataFrame | None = None
-    while not is_empty(left):
-        best = left.groupBy("image_id", "pred").agg(F.min(F.struct((-F.col("iou")).alias("n"), "gt")).alias("b"))
-        first = left.groupBy("image_id", "gt").agg(F.min(F.struct((-F.col("confidence")).alias("n"), "pred")).alias("f"))
-        take = cut_table(
-            best.select("image_id", "pred", F.col("b.gt").alias("gt"), (-F.col("b.n")).alias("iou"))
-            .join(first, ["image_id", "gt"])
-            .filter(F.col("f.pred") == F.col("pred"))
-            .select("image_id", "gt", "pred", "iou")
-        )
+    while done is None or not is_empty(left.filter("NOT take")):
+        # a box that was taken goes with all its pairs; the others are wanted by the first prediction left
+        wanted = left.select("*", F.first("take").over(of_gt).alias("gone"), F.first("pred").over(of_gt).alias("by")).filter("NOT gone")
+        best = wanted.select("*", F.row_number().over(of_pred).alias("place"), (F.first("by").over(of_pred) == F.col("pred")).alias("found"))
+        left = cut_table(best.filter("NOT found OR place = 1").select("image_id", "gt", "pred", "confidence", "iou", F.col("found").alias("take")))
+        take = left.filter("take").select("image_id", "gt", "pred", "iou")
         done = take if done is None else done.union(take)
-        left = cut(left.join(take.select("image_id", "gt"), ["image_id", "gt"], "left_anti").join(take.select("image_id", "pred"), ["image_id", "pred"], "left_anti"))
-    empty = left.select("image_id", "gt", "pred", "iou")
-    return done if done is not None else empty
+    return done
 
 
 def greedy_match(gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOLD, fold_boxes: int = FOLD_BOXES) -> DataFrame:
@@ -126,7 +156,7 @@ def greedy_match(gt: DataFrame, pred: DataFrame, threshold: float = IOU_THRESHOL
     big = g.groupBy("image_id").count().union(p.groupBy("image_id").count()).filter(F.col("count") > fold_boxes).select("image_id").distinct()
     if not is_empty(big := cut(big)):
         small_g, small_p = g.join(big, "image_id", "left_anti"), p.join(big, "image_id", "left_anti")
-        rest = match_in_rounds(g.join(big, "image_id", "left_semi"), p.join(big, "image_id", "left_semi"), threshold)
+        rest = match_in_rounds(g.join(big, "image_id", "left_semi"), p.join(big, "image_id", "left_semi"), threshold, fold_boxes)
         return _fold(small_g, small_p, threshold).unionByName(rest)
     return _fold(g, p, threshold)
 

@@ -175,6 +175,39 @@ def test_rounds_serve_every_threshold(spark, threshold):
     assert ways[0] == ways[1] == plain(g, p, threshold) and ways[0]
 
 
+def shuffled_rows(spark):
+    jvm, store = spark.sparkContext._gateway.jvm, spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rounds_over_usual_images_move_few_rows(spark):
+    images, r = 400, random.Random(15)
+    gt, pred, want = [], [], set()
+    for image in range(images):
+        box = lambda: [r.randint(0, 3) * 15 / 100, r.randint(0, 3) * 15 / 100, r.randint(30, 49) / 100, r.randint(30, 49) / 100]
+        g, p = [box() for _ in range(5)], [(box(), r.choice((0.3, 0.5, 0.9))) for _ in range(5)]
+        gt += [(str(image), i, b, "crack", "minor") for i, b in enumerate(g)]
+        pred += [(str(image), i, b, "crack", "minor", c) for i, (b, c) in enumerate(p)]
+        want |= {(str(image), a, b) for a, b in plain(g, p)}
+    before = shuffled_rows(spark)
+    got = [(x.image_id, x.gt, x.pred) for x in matching.match_in_rounds(table(spark, gt), table(spark, pred, True)).collect()]
+    assert sorted(got) == sorted(want)
+    # a grid copies each of the boxes 81 times
+    assert shuffled_rows(spark) - before < 10 * (len(gt) + len(pred))
+
+
+def test_copies_of_boxes_make_one_pair(spark):
+    unit = [0, 0, 1, 1]
+    gt = table(spark, [("a", 0, unit, "crack", "minor"), ("a", 0, unit, "crack", "minor"), ("a", 1, unit, "crack", "minor"), ("b", 0, unit, "crack", "minor")])
+    pred = table(spark, [("a", 0, unit, "crack", "minor", 0.5), ("a", 0, unit, "crack", "minor", 0.5), ("a", 1, unit, "crack", "minor", 0.5), ("b", 0, [3, 3, 1, 1], "crack", "minor", 0.5)], True)
+    for fold_boxes in (400, 1):
+        got = matching.match_in_rounds(gt, pred, fold_boxes=fold_boxes)
+        assert sorted((x.image_id, x.gt, x.pred, x.iou) for x in got.collect()) == [("a", 0, 0, 1.0), ("a", 1, 1, 1.0)]
+    assert matching.match_in_rounds(gt.filter("image_id = 'b'"), pred.filter("image_id = 'b'")).count() == 0
+
+
 def test_poisson_resamples(spark):
     import numpy as np
 
